@@ -50,15 +50,19 @@ def map_rows(
     ``key_cols`` are carried through unchanged (also when null).
     """
     names = [f.name for f in out.fields]
-    src = df.select(*[F.col(f"`{c}`") for c in key_cols], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in key_cols])
+    # A text that is carried through anyway isn't sent twice.
+    at = key_cols.index(text_col) if text_col in key_cols else len(key_cols)
+    if at == len(key_cols):
+        src = df.select(*[F.col(f"`{c}`") for c in key_cols], F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = T.StructType([src.schema[c] for c in key_cols] + list(out.fields))
     arrow_out = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in split_batch(batch, len(key_cols)):
-                got = fn(part.column(len(key_cols)).to_pylist())
+            for part in split_batch(batch, at):
+                got = fn(part.column(at).to_pylist())
                 cols = [part.column(i) for i in range(len(key_cols))]
                 cols += [pa.array(got[n], type=arrow_out.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, names=[*key_cols, *names])
@@ -101,3 +105,15 @@ def bounded_sample(df: DataFrame, by: list[str], id_col: str, per_group: int) ->
             same = same & F.col(c).eqNullSafe(F.lit(r[c]))
         keep = keep | (same & (u < F.lit(min(1.0, per_group / max(r["count"], 1)))))
     return df.filter(keep)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str, text_col: str):
+    """(labels that aren't null, pandas rows of about ``per_class`` labelled documents of each label, by id).
+
+    The sample is drawn from the narrow labels first, so what is broadcast and brought in has that bound, and texts
+    are never shuffled.
+    """
+    known = labels.select(F.col(f"`{id_col}`"), F.col(f"`{label_col}`")).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    chosen = F.broadcast(bounded_sample(known, [label_col], id_col, per_class))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).join(chosen, id_col)
+    return known, rows.select(id_col, text_col, label_col).toPandas().sort_values(id_col, kind="stable").reset_index(drop=True)
