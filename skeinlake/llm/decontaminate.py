@@ -73,17 +73,19 @@ def tile(text: list[int], item: list[int], least: int = TILE) -> list[tuple[int,
         if longer > 2 * search:
             search = longer
             continue
+        covered = False
         for k in sorted(matches, reverse=True):
             for p, t in matches[k]:
                 if not any(used_t[t : t + k]) and not any(used_i[p : p + k]):
                     used_t[t : t + k] = used_i[p : p + k] = [True] * k
                     tiles.append((t, p, k))
-                elif k > least:
-                    # Partly covered by a longer one: what is left is found at a smaller search length.
-                    continue
-        if search == least:
-            return tiles
-        search = max(least, search // 2)
+                else:
+                    covered = True
+        # What a longer tile left of a match is looked for again at the same length.
+        if not covered:
+            if search == least:
+                return tiles
+            search = max(least, search // 2)
 
 
 def running(ids: list[int], used: list[bool], length: int):

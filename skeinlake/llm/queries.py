@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fm, langid, packing, quality_rules, secrets, sharding, simhash
+from . import decontaminate, fm, langid, packing, quality_rules, secrets, sharding, simhash, token_rollup, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_query,
     "op2_secret_scan": secrets.op2_query,
     "op3_packing": packing.op3_query,
     "op4_simhash": simhash.op4_query,
+    "op5_token_rollup": token_rollup.op5_query,
     "op6_decontaminate": decontaminate.op6_query,
+    "op7_toxicity": toxicity.op7_query,
     "op8_sharding": sharding.op8_query,
     "op9_quality_rules": quality_rules.op9_query,
     "op10_factorisation_machine": fm.op10_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_token_rollup": token_rollup.OP5_SQL}
