@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import q_lookup  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
