@@ -274,18 +274,19 @@ def choose_landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]])
     """Telling words and beginnings of words of toxic documents, most telling first and unlike those before; then clean
     words like them."""
 
-    def found(docs):
+    def found(docs, among=None):
         out = Counter()
         for d in docs:
             words = {w for s in d for w in s if 3 <= len(w) <= PART}
             mine = Counter(w[:n] for w in words for n in (4, 5, 6, 7, 8) if n <= len(w))
             mine.update(w for w in words if len(w) not in (4, 5, 6, 7, 8))
-            out.update({w: min(n, 6) for w, n in mine.items()})
+            out.update({w: min(n, 6) for w, n in mine.items() if among is None or w in among})
         return out
 
-    t, c = found(toxic), found(clean)
+    t = {w: n for w, n in found(toxic).items() if n >= 4}
+    c = found(clean, t)
     scale = len(toxic) / max(len(clean), 1)
-    odds = {w: n * np.log((n + 1) / (scale * c[w] + 1)) for w, n in t.items() if n >= 4 and n > 5 * scale * c[w]}
+    odds = {w: n * np.log((n + 1) / (scale * c[w] + 1)) for w, n in t.items() if n > 5 * scale * c[w]}
     picked: list[str] = []
     for w in sorted(odds, key=lambda w: (-odds[w], -len(w), w))[:1500]:
         if len(picked) == TOXIC_LANDMARKS:
@@ -333,11 +334,13 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 0.0
     return w
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of: int = 2) -> Model:
-    """Fit on labelled texts; each toxic one stands for its ``worst_of`` worst sentences."""
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of: tuple[int, int] = (8, 2)) -> Model:
+    """Fit on labelled texts; clean and toxic ones each stand for so many of their worst sentences, found anew in every
+    round (the clean ones' are the hardest to tell apart)."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     plain = Model([], np.zeros(0), 0.0, np.array([float(np.log(share / (1 - share))), 0, 0, 0]))
-    docs = [sentences(t) for t in texts]
+    same: dict[str, str] = {}  # one object for equal words
+    docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     is_toxic = labels.astype(bool)
     toxic, clean = ([d for d, y in zip(docs, is_toxic, strict=True) if y == want] for want in (True, False))
     landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
@@ -354,20 +357,21 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of
     rows = np.zeros((len(vocabulary), len(landmarks)), np.float32)
     np.add.at(rows, [i for i, _ in pieces], kernel([p for _, p in pieces]))
     doc_of = np.array([n for n, d in enumerate(docs) for _ in (d or [[]])])
-    raw = np.array([rows[sorted({index[w] for w in s})].sum(axis=0) for d in docs for s in (d or [[]])], np.float64)
-    x = raw @ nystroem
-    value = raw[:, : sum(i < TOXIC_LANDMARKS for i in range(len(landmarks)))].max(axis=1)
+    raw = np.empty((len(doc_of), len(landmarks)), np.float32)
+    for n, s in enumerate(s for d in docs for s in (d or [[]])):
+        raw[n] = rows[sorted({index[w] for w in s})].sum(axis=0)
+    del rows, pieces, vocabulary, index, same, docs, toxic, clean
+    value = raw[:, :TOXIC_LANDMARKS].max(axis=1).astype(np.float64)
     negative = ~is_toxic[doc_of]
-    weights, bias = np.zeros(x.shape[1]), 0.0
+    weights, bias = np.zeros(nystroem.shape[1]), 0.0
     for _ in range(rounds):
         order = np.lexsort((-value, doc_of))
         rank = np.arange(len(order)) - np.searchsorted(doc_of[order], doc_of[order])
-        use = negative.copy()
-        use[order[(rank < worst_of) & ~negative[order]]] = True
+        use = order[rank < np.where(negative[order], *worst_of)]
         y = np.where(negative[use], -1.0, 1.0)
         cost = np.where(y > 0, 1.0, max(0.02, (y > 0).sum() / max((y < 0).sum(), 1)))
-        weights, bias = squared_hinge(x[use], y, 10 * cost)
-        value = x @ weights + bias
+        weights, bias = squared_hinge(raw[use].astype(np.float64) @ nystroem, y, 10 * cost)
+        value = raw @ (nystroem @ weights) + bias
     model = Model(landmarks, nystroem @ weights, bias, plain.curve)
     scorer = model.scorer()
     seen = [scorer.measure(texts[k : k + 200]) for k in range(0, len(texts), 200)]
@@ -376,7 +380,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on about ``per_class`` documents of each label (the documented bound of the sample)."""
     _, rows = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
     return train(rows[text_col].tolist(), rows[label_col].to_numpy() > 0)
