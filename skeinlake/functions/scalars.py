@@ -68,7 +68,7 @@ def enum_of(col: Column, synonyms: dict[str, list[str]], default: str) -> Column
 
 def split_patterns(col: Column, delimiters: str = "[,;/|、，；。\\n]+") -> Column:
     """A delimited string as its trimmed, distinct, non-empty parts. (F-10, F-11 by delimiters)"""
-    return F.array_distinct(F.filter(F.transform(F.split(col, delimiters), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(col, delimiters), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def count_patterns(col: Column, delimiters: str = "[,;/|、，；。\\n]+") -> Column:
@@ -137,7 +137,7 @@ def bullets(col: Column, n: int) -> Column:
 
 def split_tokens(col: Column, separators: str = r"[+/,|、，]", limit: int | None = None) -> Column:
     """Parts between separators, trimmed, distinct without regard to case (the first spelling stays). (F-23)"""
-    parts = F.filter(F.transform(F.split(col, separators), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(col, separators), lambda x: F.trim(x)), lambda x: x != "")
     lowered = F.transform(parts, F.lower)
     first = F.filter(parts, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
     return F.slice(first, 1, limit) if limit else first

@@ -49,7 +49,11 @@ def bm25(docs: DataFrame, query: str, k: int, doc_id: str = "chunk_id", text: st
     """(id, score): the k best documents that ``keep`` lets through, ties by id. No terms give no rows. (R-01, D-02)"""
     terms = query_terms(query)
     toks = docs.select(F.col(doc_id), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("toks"), (keep if keep is not None else F.lit(True)).alias("__keep"))
-    counted = toks.select(doc_id, "__keep", F.size("toks").alias("len"), *[F.size(F.filter("toks", lambda x, t=t: x == t)).alias(f"c{i}") for i, t in enumerate(terms)])
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("toks", lambda x: x == term))
+
+    counted = toks.select(doc_id, "__keep", F.size("toks").alias("len"), *[times(t).alias(f"c{i}") for i, t in enumerate(terms)])
     if not terms:
         return counted.select(doc_id, F.lit(0.0).alias("score")).limit(0)
     row = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()

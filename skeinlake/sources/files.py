@@ -13,7 +13,7 @@ from ..functions.scalars import chapter_of_path, section, stats_field
 from ..schemas import PAYLOAD, SCHEMAS
 
 
-def table(spark: SparkSession, path: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+def table(spark: SparkSession, path: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A Parquet table; a missing one is empty if its record type is known. (A-01..A-03, A-12, C-27)"""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
@@ -93,11 +93,12 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def payloads(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) ingest records: parsed under the declared type, missing lists empty; a record without a
     chapter above 0, or that doesn't parse, is rejected with its reason. (A-14)"""
-    got = raw.select(F.col(col).alias("raw"), F.from_json(col, PAYLOAD).alias("p"))
-    lists = {f.name: F.coalesce(F.col(f"p.{f.name}"), F.array().cast(f.dataType)).alias(f.name) for f in PAYLOAD.fields if isinstance(f.dataType, T.ArrayType)}
+    kind = T.StructType.fromDDL(PAYLOAD)
+    got = raw.select(F.col(col).alias("raw"), F.from_json(col, kind).alias("p"))
+    lists = {f.name: F.coalesce(F.col(f"p.{f.name}"), F.array().cast(f.dataType)).alias(f.name) for f in kind.fields if isinstance(f.dataType, T.ArrayType)}
     why = F.when(F.try_parse_json("raw").isNull(), "malformed").when(F.coalesce(F.col("p.chapter"), F.lit(0)) <= 0, "no chapter")
     got = got.withColumn("reason", why)
-    fine = got.filter("reason is null").select(*[lists.get(f.name, F.col(f"p.{f.name}")) for f in PAYLOAD.fields])
+    fine = got.filter("reason is null").select(*[lists.get(f.name, F.col(f"p.{f.name}")) for f in kind.fields])
     return fine, got.filter("reason is not null").select("raw", "reason")
 
 
