@@ -19,6 +19,7 @@ parts; null ids keep their rows; repeated rows score alike.
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -41,6 +42,9 @@ PAIRS = 1500
 SPELLED = 4
 #: A word is telling above this value.
 TELLING = 0.25
+#: Characters put into words for training, and what a text so changed counts for beside its original.
+COPY_WEIGHT = 0.3
+FILLERS = "abcdefghijklmnopqrstuvwxyz.-*_"
 MARK = "^"
 
 
@@ -217,6 +221,8 @@ class Scorer:
 
     def learn(self) -> None:
         fresh, known = self.words.fresh, self.known
+        if not fresh:
+            return
         plain = [letters(t) for t in fresh]
         new = sorted({w for w in plain if w not in known})
         known.update(zip(new, self.values(new).tolist(), strict=True))
@@ -322,19 +328,52 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 0.05) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, ridge: float = 0.05) -> np.ndarray:
     """Weights of a logistic curve over columns of which the first is 1, by damped Newton steps."""
     w, pull = np.zeros(x.shape[1]), ridge * np.array([0.0] + [1.0] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(pull + 1e-9), x.T @ (p - y) + pull * w)
+        step = np.linalg.solve(x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + np.diag(pull + 1e-9), x.T @ (weight * (p - y)) + pull * w)
         w -= np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of: tuple[int, int] = (8, 2)) -> Model:
+def blurred(text: str | None, scorer: Scorer, rng: random.Random) -> str:
+    """The text with a character put inside each telling word: what such a word looks like when it is to be missed."""
+
+    def one(token: str) -> str:
+        word = letters(token.lower())
+        if len(word) < 4 or scorer.known.get(word, 0.0) <= TELLING:
+            return token
+        at = rng.randint(1, len(token) - 1)
+        return token[:at] + rng.choice(FILLERS) + token[at:]
+
+    return " ".join(one(t) for t in (text or "").split(" "))
+
+
+def train(texts: list[str | None], labels: np.ndarray, share: float | None = None) -> Model:
+    """Fit on labelled texts, then once more with a blurred copy of every toxic one. ``share`` is the share of toxic
+    documents that scores are to reflect, by default that among the texts."""
+    model = train_once(texts, labels)
+    if not model.landmarks:
+        return model
+    scorer, rng = model.scorer(), random.Random(5)
+    toxic = [t for t, y in zip(texts, labels, strict=True) if y]
+    for k in range(0, len(toxic), 200):
+        scorer.measure(toxic[k : k + 200])
+    copies = [blurred(t, scorer, rng) for t in toxic]
+    del scorer
+    seen = float(np.mean(labels))
+    share = seen if share is None else min(max(share, 1e-3), 1 - 1e-3)
+    # Copies count for COPY_WEIGHT of a document; together, toxic documents are to have their share.
+    weight = np.where(labels, share / seen, (1 - share) / (1 - seen))
+    weight = np.concatenate([np.where(labels, weight / (1 + COPY_WEIGHT), weight), np.full(len(copies), COPY_WEIGHT / (1 + COPY_WEIGHT) * share / seen)])
+    return train_once([*texts, *copies], np.append(labels, np.ones(len(copies), bool)), model.landmarks, weight)
+
+
+def train_once(texts: list[str | None], labels: np.ndarray, landmarks: list[str] | None = None, weight: np.ndarray | None = None, rounds: int = 4, worst_of: tuple[int, int] = (8, 2)) -> Model:
     """Fit on labelled texts; clean and toxic ones each stand for so many of their worst sentences, found anew in every
     round (the clean ones' are the hardest to tell apart)."""
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -343,7 +382,8 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of
     docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     is_toxic = labels.astype(bool)
     toxic, clean = ([d for d, y in zip(docs, is_toxic, strict=True) if y == want] for want in (True, False))
-    landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
+    if landmarks is None:
+        landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
     if not landmarks:
         return plain
     kernel = Kernel(landmarks)
@@ -376,14 +416,15 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 4, worst_of
     scorer = model.scorer()
     seen = [scorer.measure(texts[k : k + 200]) for k in range(0, len(texts), 200)]
     worst, total, words = (np.concatenate(m) for m in zip(*seen, strict=True))
-    model.curve = logistic(measures(worst + bias, total, words), is_toxic.astype(float))
+    model.curve = logistic(measures(worst + bias, total, words), is_toxic.astype(float), np.ones(len(texts)) if weight is None else weight)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on about ``per_class`` documents of each label (the documented bound of the sample)."""
-    _, rows = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
-    return train(rows[text_col].tolist(), rows[label_col].to_numpy() > 0)
+    known, rows = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
+    share = known.agg(F.avg((F.col(label_col) > 0).cast("double"))).first()[0]
+    return train(rows[text_col].tolist(), rows[label_col].to_numpy() > 0, share)
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
