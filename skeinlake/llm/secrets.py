@@ -31,7 +31,8 @@ KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 SSH = re.compile(r"(?a:\b)(ssh-rsa|ssh-ed25519|ssh-dss|ecdsa-sha2-nistp\d{3}) +(AAAA[A-Za-z0-9+/]{16,}={0,2})")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: A candidate starts where a run starts, so a text is walked once.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEXBLOB = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 MAGIC = b"openssh-key-v1\x00"
