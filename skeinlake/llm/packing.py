@@ -39,8 +39,8 @@ def encoder(vocabulary: str = VOCABULARY, folder: str | None = None):
 
     ``folder`` holds ``<vocabulary>.json`` and the same vocabulary as ranks, ``<vocabulary>.tiktoken``; by default it
     is that of the installed ``public_tokenizers``. The rank form encodes several times faster and splits every code
-    point alike (a test compares them); texts with a special token's string take the other library, so ids are always
-    those of ``tokenizers``.
+    point alike (a test compares them); texts with a special token's string, and those it can't split, take the other
+    library, so ids are always those of ``tokenizers``.
     """
     import public_tokenizers
     import tiktoken
@@ -56,9 +56,12 @@ def encoder(vocabulary: str = VOCABULARY, folder: str | None = None):
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its splitter gives up on runs of about a million white-space characters
+                pass
+        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
