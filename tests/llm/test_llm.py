@@ -719,9 +719,10 @@ def test_quality_counts_on_odd_texts(spark):
 
 
 def test_quality_posterior_follows_labels(spark):
-    got = quality_rules.op9_query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "label")
+    got = quality_rules.op9_query(spark, "/root/testdata/sf0.01").join(labels, "doc_id").toPandas()
     got = got[~got.base_failed]
-    assert got[got.quality.iloc[:, 1] == 1].kept.mean() > 0.99 if got.quality.ndim > 1 else True
+    assert got[got.label == 1].kept.mean() > 0.99 and got[got.label == 0].kept.mean() < 0.05
 
 
 def test_estimate_recovers_planted_rules():
