@@ -126,7 +126,7 @@ def compact(col: Column, budget: int, marker: str = "...[cut]...", share: float
 
 def section(col: Column, title: str) -> Column:
     """The trimmed body under the Markdown heading of that title, up to the next heading. (F-21)"""
-    return F.trim(F.regexp_extract(col, rf"(?ms)^#+\s*\Q{title}\E\s*$\n(.*?)(?=^#|\z)", 1))
+    return F.btrim(F.regexp_extract(col, rf"(?ms)^#+\s*\Q{title}\E\s*$\n(.*?)(?=^#|\z)", 1), F.lit(" \t\r\n"))
 
 
 def bullets(col: Column, n: int) -> Column:

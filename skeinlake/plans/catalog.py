@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_analytic, q_lookup, q_retrieval, q_scalar, q_state  # noqa: F401
+from . import q_analytic, q_lookup, q_more, q_retrieval, q_scalar, q_state  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
