@@ -20,7 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents with a null id stay."""
+    """The document with the smallest id of each component. Documents with a null id stay, and repeated rows of one id
+    are one document, which stays or goes as a whole."""
     found = simhash.near_duplicates(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

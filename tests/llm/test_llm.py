@@ -814,3 +814,59 @@ def test_pipeline_against_plain_stages(spark, data_dir, tmp_path):
         assert t == secrets.redact_text(start[i]) and not secrets.all_spans(t)[1]
     check_packed(docs.collect(), kept["secrets"])
     assert sorted(map(tuple, P.run(spark, data_dir).select("doc_id", "start", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.ids_crc32) for r in docs.collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_edges(spark, edges, data_dir, k):
+    import corpus_pipeline as P
+
+    name, stage = P.STAGES[k]
+    for docs in (edges, clashing(edges), empty(spark)):
+        got = stage(spark, docs, data_dir)
+        rows = got.collect()
+        if k < 4:
+            assert got.columns == docs.columns
+            ids = [r.doc_id for r in rows]
+            if docs.count():
+                # Of the empty texts (1, 2, 3) and the equal ones (4, 5) near-duplicate removal keeps the first.
+                gone = {2, 3, 5} if name == "near_duplicates" else set()
+                assert sorted(map(str, ids)) == sorted(str(r[0]) for r in EDGES if r[0] not in gone)
+        if not docs.limit(1).count():
+            assert rows == []
+
+
+# --- properties
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_PIECES = st.lists(st.sampled_from(["token", "API_KEY", "passwd", "=", ":", " ", "  ", '"', "'", "abc", "Zz9/+=", "AKIA", "AKIAB2", "0123456789abcdef", "deadbeef", ".", "\n", "é", "ſecret", "x" * 7]), max_size=40).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_PIECES)
+def test_base_spans_equal_contract_on_any_text(text):
+    assert secrets.join_spans(secrets.base_spans(text)) == base_by_contract(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "Éa", "\x85", "\x0b", " ", "\n", "word", "漢"]), max_size=60).map(" ".join))
+def test_fingerprint_equals_contract_on_any_text(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=80, unique=True), st.integers(0, 6))
+def test_gray_index_on_any_fingerprints(prints, bound):
+    fps = np.array(prints, np.uint64)
+    got = {(int(a), int(b)) for x, y in simhash.GrayIndex(fps).links(fps, bound, step=64) for a, b in zip(x, y, strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bound
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=200))
+def test_spans_lie_in_the_text(text):
+    for a, b, _ in secrets.all_spans(text)[1]:
+        assert 0 <= a < b <= len(text)
+    assert toxicity.sentences(text) is not None and decontaminate.tokens(text) is not None
