@@ -106,10 +106,12 @@ def count_of(col: Column, word: str) -> Column:
 
 
 def head(col: Column, n: int = 300) -> Column:
+    """The first characters. (F-19)"""
     return F.left(col, F.lit(n))
 
 
 def tail(col: Column, n: int = 300) -> Column:
+    """The last characters. (F-19)"""
     return F.right(col, F.lit(n))
 
 
@@ -208,8 +210,31 @@ def normal_outline(col: Column) -> Column:
 
 
 def to_double(col: Column, default: float = 0.0) -> Column:
+    """A number of any text, the default where it is none. (F-36)"""
     return F.coalesce(col.try_cast("double"), F.lit(default))
 
 
 def to_long(col: Column, default: int = 0) -> Column:
+    """A whole number of any text, the default where it is none. (F-36)"""
     return F.coalesce(col.try_cast("double").cast("long"), F.lit(default))
+
+
+def json_field(col: Column, ddl: str) -> Column:
+    """A JSON text under a declared type; malformed text gives null. (F-05)"""
+    return F.from_json(col, ddl)
+
+
+def coalesce_keys(col: Column, keys: list[str]) -> Column:
+    """The first of several synonymous keys of a JSON text that is set. (F-12, F-13)"""
+    return F.coalesce(*[F.get_json_object(col, f"$.{k}") for k in keys])
+
+
+def grouped(col: Column, places: int = 2, most: int = 20) -> Column:
+    """A number with grouped digits, cut to a width. (F-34)"""
+    return F.left(F.format_number(col, places), F.lit(most))
+
+
+def round_half_up(col: Column, places: int) -> Column:
+    """Rounding as SQL does it, half away from zero on the decimal text; halves of binary fractions can differ from
+    rounding to even. (F-37)"""
+    return F.round(col, places)

@@ -52,7 +52,7 @@ def subgraph(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> tuple[l
 
 
 def subgraph_frame(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> DataFrame:
-    """The edges of ``subgraph`` as a frame."""
+    """The edges of ``subgraph`` as a frame. (G-05)"""
     got, _ = subgraph(edges, center, depth, cap)
     kinds = dict(edges.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*EDGE, "chapter"]) + ", hop int"

@@ -13,7 +13,7 @@ def order_key(spec: str) -> Column:
 
 
 def where(df: DataFrame, **equal) -> DataFrame:
-    """Rows equal in every given column; None leaves a column free. (C-01..C-10, C-17, C-20, C-24, C-25)"""
+    """Rows equal in every given column; None leaves a column free. (C-01..C-10, C-17, C-19, C-20, C-24, C-25)"""
     for name, value in equal.items():
         if value is not None:
             df = df.filter(F.col(name) == F.lit(value))

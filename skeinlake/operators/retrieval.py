@@ -117,7 +117,7 @@ def hybrid(
 
     ``full_scan`` None decides by the number of vectors; without a full scan, only BM25's best and the most recent
     documents are compared by vector. Without a query vector the full path is BM25 alone and the prefiltered path is
-    empty. ``rerank`` maps (id, rrf, ...) to (id, score); without it the fused order stays, scored as ``scale`` says:
+    empty (Y-07). ``rerank`` maps (id, rrf, ...) to (id, score); without it the fused order stays, scored as ``scale`` says:
     "reference" keeps each hit's own score (the vector's where it has one), "rrf" the fused one.
     """
     n, vector_k, bm25_k = n or cfg.rerank_top_n, vector_k or cfg.vector_top_k, bm25_k or cfg.bm25_top_k

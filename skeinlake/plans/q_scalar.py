@@ -19,7 +19,7 @@ simple(
     "select vec_id, round(list_dot_product(e, r) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(r, r))), 6) as score from (select vec_id, e, list_reverse(e) as r from (select vec_id, embedding::double[] as e from embeddings))",
 )
 simple("float32_F04", lambda b: b.t.orders.select("o_orderkey", F.element_at(S.float32(F.array("o_totalprice")), 1).cast("double").alias("v")), "select o_orderkey, cast(cast(o_totalprice as float) as double) as v from orders")
-simple("json_field_F05", lambda b: b.t.events.select("event_id", F.from_json("props", "k long").getField("k").alias("k")), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+simple("json_field_F05", lambda b: b.t.events.select("event_id", S.json_field(F.col("props"), "k long").getField("k").alias("k")), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 simple(
     "json_merge_F06",
     lambda b: b.t.customer.select("c_custkey", S.merge_maps(F.create_map(F.lit("tier"), F.lit("old"), F.lit("name"), F.col("c_name")), F.create_map(F.lit("tier"), F.col("c_mktsegment"))).alias("m")).select("c_custkey", F.col("m")["tier"].alias("tier"), F.col("m")["name"].alias("name"), F.size("m").cast("long").alias("n")),
@@ -34,7 +34,7 @@ simple(
 )
 simple("split_patterns_F10", lambda b: b.t.part.select("p_partkey", F.array_join(S.split_patterns(F.regexp_replace("p_name", " ", " ; ")), "|").alias("p")), "select p_partkey, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then split_part(p_name, ' ', 1) else replace(p_name, ' ', '|') end as p from part")
 simple("count_patterns_F11", lambda b: b.t.part.select("p_partkey", S.count_patterns(F.regexp_replace("p_name", " ", ",")).cast("long").alias("n")), "select p_partkey, len(list_distinct(string_split(p_name, ' '))) as n from part")
-simple("coalesce_synonyms_F12", lambda b: b.t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.k")).alias("v")), "select event_id, json_extract_string(props, '$.k') as v from events")
+simple("coalesce_synonyms_F12", lambda b: b.t.events.select("event_id", S.coalesce_keys(F.col("props"), ["missing", "k"]).alias("v")), "select event_id, json_extract_string(props, '$.k') as v from events")
 simple("recency_F14", lambda b: b.chapters.select("chapter", F.round(S.recency(F.col("chapter"), F.lit(150)), 6).alias("r")), "select chapter, round(1.0 / (1 + greatest(0, 150 - chapter)), 6) as r from chapters")
 simple("frequency_F15", lambda b: b.appearances.select("entity_id", "chapter", F.round(S.frequency(F.col("mentions")), 6).alias("f")), "select entity_id, chapter, round(least(1.0, ln(1 + mentions) / ln(11.0)), 6) as f from appearances")
 simple("length_score_F16", lambda b: b.chapters.select("chapter", F.round(S.length_score(F.col("summary")), 6).alias("s")), "select chapter, round(least(length(summary) / 1200.0, 1.0) * 0.2, 6) as s from chapters")
@@ -66,7 +66,7 @@ simple(
     "select chapter, case when b then 'battle' when t then 'tension' when d then 'dialogue' else 'description' end as class, concat_ws(',', case when b then 'battle' end, case when t then 'tension' end, case when d then 'dialogue' end) as tags from (select chapter, contains(summary, 'idiot') or contains(summary, 'scum') as b, contains(summary, 'error') or contains(summary, 'trash') as t, contains(summary, 'the') as d from chapters)",
 )
 simple("outline_query_F32", lambda b: b.chapters.select("chapter", F.left(S.normal_outline(F.col("summary")), F.lit(120)).alias("q")), "select chapter, left(trim(regexp_replace(regexp_replace(summary, '(?m)^#+\\s*', '', 'g'), '\\s+', ' ', 'g')), 120) as q from chapters")
-simple("format_F34", lambda b: b.t.customer.select("c_custkey", F.left(F.format_number("c_acctbal", 2), F.lit(20)).alias("f")), "select c_custkey, format('{:,.2f}', c_acctbal) as f from customer")
+simple("format_F34", lambda b: b.t.customer.select("c_custkey", S.grouped(F.col("c_acctbal")).alias("f")), "select c_custkey, format('{:,.2f}', c_acctbal) as f from customer")
 simple("extract_chapter_F35", lambda b: b.t.part.select("p_partkey", S.first_positive(F.lit("none"), F.col("p_name"), F.col("p_size")).alias("c")), "select p_partkey, nullif(p_size, 0) as c from part")
 simple("total_casts_F36", lambda b: b.t.part.select("p_partkey", S.to_double(F.col("p_name"), -1.0).alias("d"), S.to_long(F.col("p_size").cast("string"), 0).alias("l")), "select p_partkey, coalesce(try_cast(p_name as double), -1.0) as d, p_size as l from part")
-simple("rounding_F37", lambda b: b.t.lineitem.groupBy("l_returnflag").agg(F.round(F.avg("l_discount"), 4).alias("r")), "select l_returnflag, round(avg(l_discount), 4) as r from lineitem group by 1")
+simple("rounding_F37", lambda b: b.t.lineitem.groupBy("l_returnflag").agg(S.round_half_up(F.avg("l_discount"), 4).alias("r")), "select l_returnflag, round(avg(l_discount), 4) as r from lineitem group by 1")
