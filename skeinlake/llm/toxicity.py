@@ -62,7 +62,8 @@ def parts(word: str) -> list[str]:
 
 def encode(words: list[str], pad: int) -> np.ndarray:
     width = max(map(len, words), default=1)
-    return np.array([[ord(c) for c in w] + [pad] * (width - len(w)) for w in words], np.int32).reshape(len(words), width)
+    flat = "".join([w.ljust(width, chr(pad)) for w in words]).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(flat, np.int32).reshape(len(words), width)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -118,6 +119,8 @@ class Kernel:
             bits = letter_bits(codes)
             near = np.bitwise_count(bits[:, None] & self.bits[None, :]) >= self.least[None, :]
             z, w = np.nonzero(near.T)
+            long = self.common(codes, z, w) >= ORDER
+            z, w = z[long], w[long]
             if not len(w):
                 continue
             used, inverse = np.unique(w, return_inverse=True)
@@ -131,6 +134,26 @@ class Kernel:
             out[np.array(pick)[w], z] = np.where(base > 0, vals / np.where(base > 0, base, 1), 0) ** POWER
         return out
 
+    def common(self, codes: np.ndarray, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each pair, by bit vectors: below ORDER the kernel is 0."""
+        chars, at = np.unique(codes, return_inverse=True)
+        at = at.reshape(codes.shape)
+        masks = np.zeros((len(self.landmarks), len(chars)), np.uint64)
+        place = {c: i for i, c in enumerate(chars.tolist())}
+        for n, word in enumerate(self.landmarks):
+            for k, c in enumerate(word):
+                if ord(c) in place:
+                    masks[n, place[ord(c)]] |= np.uint64(1 << k)
+        out = np.empty(len(z), np.uint8)
+        for s in range(0, len(z), 1 << 14):
+            zs, ws = z[s : s + (1 << 14)], at[w[s : s + (1 << 14)]]
+            v = np.full(len(zs), ~np.uint64(0))
+            for j in range(codes.shape[1]):
+                u = v & masks[zs, ws[:, j]]
+                v = (v + u) | (v - u)
+            out[s : s + (1 << 14)] = np.bitwise_count(~v)
+        return out
+
     @staticmethod
     def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.concatenate([subsequence_kernel(a[s : s + PAIRS], b[s : s + PAIRS]) for s in range(0, len(a), PAIRS)])
@@ -244,7 +267,8 @@ class Scorer:
         at = np.array(ids, np.int64)
         sentence = np.concatenate([[0], np.cumsum(self.ends[at])[:-1]])
         doc_of = np.searchsorted(base, np.arange(len(at)), side="right") - 1
-        once = np.unique(sentence * len(self.value) + at)
+        worth_something = np.flatnonzero(self.value[at])
+        once = np.unique(sentence[worth_something] * len(self.value) + at[worth_something])
         total = np.bincount(once // len(self.value), self.value[once % len(self.value)], int(sentence[-1]) + 1)
         doc = np.zeros(len(total), np.int64)
         doc[sentence] = doc_of
