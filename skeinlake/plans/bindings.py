@@ -20,12 +20,12 @@ VIEWS: dict[str, str] = {
     "relationship_events": "select event_id as id, user_id as from_entity, cast(json_extract_string(props, '$.k') as bigint) as to_entity, 'link' as type, case event_type when 'error' then 'remove' when 'signup' then 'create' else 'update' end as action, least(1.0, value / 100) as strength, date_diff('day', date '2024-01-01', cast(ts as date)) + 1 as chapter from events",
     "links": "select user_id as from_entity, cast(json_extract_string(props, '$.k') as bigint) as to_entity, 'link' as type, max(date_diff('day', date '2024-01-01', cast(ts as date)) + 1) as chapter from events where event_type <> 'error' group by 1, 2",
     "contracts": "select o_orderkey as id, year(o_orderdate) * 12 + month(o_orderdate) as chapter, o_orderpriority as constraint_type, o_custkey as constraint_id, year(o_orderdate) * 12 + month(o_orderdate) + 3 as due_chapter, case o_orderstatus when 'O' then 'pending' when 'F' then 'fulfilled' else 'cancelled' end as status from orders",
-    "debts": "select o_orderkey as id, o_orderpriority as debt_type, o_totalprice as original_amount, o_totalprice as current_amount, 0.1 as interest_rate, year(o_orderdate) * 12 + month(o_orderdate) as source_chapter, year(o_orderdate) * 12 + month(o_orderdate) + 3 as due_chapter, o_custkey as override_contract_id, case o_orderstatus when 'O' then 'active' when 'F' then 'paid' else 'overdue' end as status from orders",
-    "debt_events": "select l_orderkey as debt_id, l_extendedprice as amount, year(l_shipdate) * 12 + month(l_shipdate) as chapter, l_linenumber as n from lineitem",
+    "debts": "select o_orderkey as id, o_orderpriority as debt_type, o_totalprice as original_amount, o_totalprice as current_amount, cast(0.1 as double) as interest_rate, year(o_orderdate) * 12 + month(o_orderdate) as source_chapter, year(o_orderdate) * 12 + month(o_orderdate) + 3 as due_chapter, o_custkey as override_contract_id, case o_orderstatus when 'O' then 'active' when 'F' then 'paid' else 'overdue' end as status from orders",
+    "debt_events": "select l_orderkey as debt_id, l_extendedprice as amount, year(l_shipdate) * 12 + month(l_shipdate) as chapter, cast(l_linenumber as bigint) as n from lineitem",
     "reading_power": "select p_partkey as chapter, p_brand as hook_type, p_type as hook_strength, string_split(p_name, ' ') as coolpoint_patterns, p_retailprice as debt_balance from part",
     "reviews": "select year(o_orderdate) * 12 + month(o_orderdate) as end_chapter, year(o_orderdate) * 12 + month(o_orderdate) as start_chapter, avg(o_totalprice) / 5000 as overall_score from orders group by 1, 2",
     "review_parts": "select year(o_orderdate) * 12 + month(o_orderdate) as end_chapter, o_orderpriority as name, avg(o_totalprice) as score, count(*) as n from orders group by 1, 2",
-    "checklists": "select year(l_shipdate) * 12 + month(l_shipdate) as chapter, count(*) as total_items, count_if(l_returnflag = 'R') as required_items, count_if(l_linestatus = 'F') as completed_items, count_if(l_linestatus = 'F' and l_returnflag = 'R') as completed_required, round(count_if(l_linestatus = 'F') * 1.0 / count(*), 4) as completion_rate, avg(l_quantity) as score from lineitem group by 1",
+    "checklists": "select year(l_shipdate) * 12 + month(l_shipdate) as chapter, count(*) as total_items, count(*) filter (l_returnflag = 'R') as required_items, count(*) filter (l_linestatus = 'F') as completed_items, count(*) filter (l_linestatus = 'F' and l_returnflag = 'R') as completed_required, round(count(*) filter (l_linestatus = 'F') * 1.0 / count(*), 4) as completion_rate, avg(l_quantity) as score from lineitem group by 1",
     "invalid_facts": "select doc_id as source_id, case when toxic = 1 then 'confirmed' else 'pending' end as status from labels where toxic = 1 or quality = 0",
     "samples": "select p_partkey as id, p_type as scene_type, p_name as content, p_retailprice as score from part",
     "tool_calls": "select event_id as id, event_type as tool_name, event_type <> 'error' as success, ts from events",

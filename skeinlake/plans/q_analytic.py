@@ -61,7 +61,7 @@ def parents_first(spark, folder):
     long = scenes.filter("location = 'assistant'").orderBy(F.desc(F.length("summary")), "chapter", "scene_index").limit(10)
     ranked = W.ranks(long.select((F.col("chapter") * 1000 + F.col("scene_index")).alias("chunk_id"), (F.col("chapter") * 1000).alias("parent_chunk_id"), F.length("summary").alias("score")), "score", "chunk_id")
     parents = scenes.filter("scene_index = 0").select((F.col("chapter") * 1000).alias("chunk_id"))
-    return J.parents_first(ranked, parents).withColumnRenamed("chunk_id", "id")
+    return J.parents_first(ranked, parents).withColumnRenamed("chunk_id", "id").withColumn("position", F.col("position").cast("long"))
 
 
 _TERMS = {"a": ["idiot", "clown"], "b": ["the", "and"], "c": ["que", "and"]}
@@ -118,7 +118,7 @@ simple("debt_balance_E02", lambda b: A.balance(b.debts).select(F.round("balance"
 simple(
     "debt_summary_E03",
     lambda b: A.debt_summary(b.debts, b.contracts).select("active_debts", "overdue_debts", "pending_contracts", *[F.round(c, 2).alias(c) for c in ("active_total", "overdue_total", "total")]),
-    "select count_if(status = 'active') as active_debts, count_if(status = 'overdue') as overdue_debts, (select count_if(status = 'pending') from contracts) as pending_contracts, round(sum(current_amount) filter (status = 'active'), 2) as active_total, round(sum(current_amount) filter (status = 'overdue'), 2) as overdue_total, round(sum(current_amount) filter (status in ('active', 'overdue')), 2) as total from debts",
+    "select count(*) filter (status = 'active') as active_debts, count(*) filter (status = 'overdue') as overdue_debts, (select count(*) filter (status = 'pending') from contracts) as pending_contracts, round(sum(current_amount) filter (status = 'active'), 2) as active_total, round(sum(current_amount) filter (status = 'overdue'), 2) as overdue_total, round(sum(current_amount) filter (status in ('active', 'overdue')), 2) as total from debts",
 )
 
 
@@ -134,7 +134,7 @@ def _stats(b):
 simple(
     "index_stats_E04",
     _stats,
-    "select (select count(*) from chapters) as chapters, (select max(chapter) from chapters) as max_chapter, (select sum(word_count) from chapters) as words, (select count(*) from scenes) as scenes, (select count(*) from entities) as entities, (select count_if(is_archived) from entities) as archived, (select count(distinct type) from entities) as types, (select count(*) from aliases) as aliases, (select count(*) from relationships) as relationships, (select count(*) from state_changes) as state_changes, (select count_if(status = 'active') from debts) as active_debts, (select count(*) from tool_calls) as tool_calls, (select count_if(not success) from tool_calls) as failed_calls",
+    "select (select count(*) from chapters) as chapters, (select max(chapter) from chapters) as max_chapter, (select cast(sum(word_count) as bigint) from chapters) as words, (select count(*) from scenes) as scenes, (select count(*) from entities) as entities, (select count(*) filter (is_archived) from entities) as archived, (select count(distinct type) from entities) as types, (select count(*) from aliases) as aliases, (select count(*) from relationships) as relationships, (select count(*) from state_changes) as state_changes, (select count(*) filter (status = 'active') from debts) as active_debts, (select count(*) from tool_calls) as tool_calls, (select count(*) filter (not success) from tool_calls) as failed_calls",
 )
 simple(
     "vector_stats_E05",
@@ -156,7 +156,7 @@ simple("source_histogram_E12", lambda b: A.count_per(b.t.documents.withColumn("s
 simple(
     "strand_shares_E13",
     lambda b: A.shares(b.t.events, "event_type", ["click", "view", "purchase"], ["user_id"]).select("user_id", "n", *[F.round(f"pct_{x}", 6).alias(f"pct_{x}") for x in ("click", "view", "purchase")]),
-    "select user_id, count(*) as n, " + ", ".join(f"round(count_if(event_type = '{x}') * 100.0 / count(*), 6) as pct_{x}" for x in ("click", "view", "purchase")) + " from events group by user_id",
+    "select user_id, count(*) as n, " + ", ".join(f"round(count(*) filter (event_type = '{x}') * 100.0 / count(*), 6) as pct_{x}" for x in ("click", "view", "purchase")) + " from events group by user_id",
 )
 simple("dashboard_totals_E15", lambda b: b.t.documents.groupBy("lang").agg(F.sum("n_chars").alias("words"), F.count("*").alias("chapters")), "select lang, cast(sum(n_chars) as bigint) as words, count(*) as chapters from documents group by lang")
 simple("archive_sizes_E16", lambda b: A.count_per(b.debts, "status", "n"), "select status, count(*) as n from debts group by status")

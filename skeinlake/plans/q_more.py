@@ -32,7 +32,7 @@ simple("appended_changes_B09", lambda b: B.append_all([b.state_changes, b.t.orde
 simple("saved_reading_power_B15", lambda b: B.latest_wins(b.t.lineitem.select(F.col("l_partkey").alias("chapter"), F.col("l_shipdate").alias("at"), F.col("l_returnflag").alias("hook")).distinct(), ["chapter"], ["at", "hook"]), "select distinct l_partkey as chapter, l_shipdate as at, l_returnflag as hook from lineitem qualify row_number() over (partition by l_partkey order by l_shipdate desc, l_returnflag desc) = 1")
 simple("saved_checklist_B17", lambda b: B.latest_wins(b.t.orders.select(F.col("o_custkey").alias("chapter"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("score")), ["chapter"], ["o_orderdate", "o_orderkey"]), "select o_custkey as chapter, o_orderdate, o_orderkey, o_totalprice as score from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
 simple("marked_facts_B18", lambda b: B.append_all([b.invalid_facts, b.t.documents.filter("n_chars < 100").select(F.col("doc_id").alias("source_id"), F.lit("pending").alias("status"))]), "select * from invalid_facts union all select doc_id, 'pending' from documents where n_chars < 100")
-simple("call_log_B20", lambda b: b.tool_calls.groupBy("tool_name").agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("failed")), "select tool_name, count(*) as calls, count_if(not success) as failed from tool_calls group by 1")
+simple("call_log_B20", lambda b: b.tool_calls.groupBy("tool_name").agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("failed")), "select tool_name, count(*) as calls, count(*) filter (not success) as failed from tool_calls group by 1")
 simple("postings_B21_B22", lambda b: R.postings(b.t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content")))[0].select("chunk_id", "term", F.round("tf", 6).alias("tf")),
        "select id as chunk_id, term, round(count(*) * 1.0 / n, 6) as tf from (select conv_id * 1000 + turn as id, unnest(t) as term, len(t) as n from (select conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') as t from conversations)) group by id, term, n")
 simple("document_lengths_B22", lambda b: R.postings(b.t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content")))[1], "select conv_id * 1000 + turn as chunk_id, len(regexp_extract_all(lower(text), '[a-z]+')) as doc_length from conversations")
@@ -71,7 +71,7 @@ def backtrack(spark, folder):
     from ..operators.windows import ranks
 
     ranked = ranks(hits, "score", "chunk_id").join(c.select("chunk_id", "parent_chunk_id"), "chunk_id")
-    return J.parents_first(ranked, c.filter("turn = 0").select("chunk_id")).withColumnRenamed("chunk_id", "id")
+    return J.parents_first(ranked, c.filter("turn = 0").select("chunk_id")).withColumnRenamed("chunk_id", "id").withColumn("position", F.col("position").cast("long"))
 
 
 @query("candidates_by_ids_Y02", "select vec_id, label from embeddings where vec_id in (select doc_id from documents where lang = 'de')")

@@ -133,7 +133,7 @@ def snippets(spark, folder):
     return R.snippets(R.bm25(docs, QUERY, 5, "doc_id", "text"), docs, "doc_id", "text")
 
 
-@query("hydrated_parents_Y03", "select conv_id, turn, 0.0 as score, 'parent' as source from conversations where turn = 0 and conv_id in (select conv_id from conversations where turn > 3)")
+@query("hydrated_parents_Y03", "select conv_id, turn, cast(0.0 as double) as score, 'parent' as source from conversations where turn = 0 and conv_id in (select conv_id from conversations where turn > 3)")
 def hydrated_parents(spark, folder):
     c = Bound(spark, folder).t.conversations
     ids = c.filter("turn > 3").select("conv_id").distinct()

@@ -56,8 +56,8 @@ simple(
     lambda b: b.contracts.select("id", S.range_of(F.concat("chapter", F.lit("-"), "due_chapter")).alias("r")).select("id", "r.first", "r.last"),
     "select id, chapter as first, due_chapter as last from contracts",
 )
-simple("review_end_F27", lambda b: b.contracts.select("id", S.review_end(F.concat(F.lit("Review_"), "chapter", F.lit("-"), "due_chapter", F.lit(".md"))).alias("e"), S.review_end(F.lit("none")).alias("z")), "select id, due_chapter as e, 0 as z from contracts")
-simple("polarity_F29", lambda b: b.t.events.select("event_id", S.polarity(F.col("event_type"), ["err"], ["purch", "sign"]).cast("long").alias("p")), "select event_id, case when contains(event_type, 'err') then -1 when contains(event_type, 'purch') or contains(event_type, 'sign') then 1 else 0 end as p from events")
+simple("review_end_F27", lambda b: b.contracts.select("id", S.review_end(F.concat(F.lit("Review_"), "chapter", F.lit("-"), "due_chapter", F.lit(".md"))).alias("e"), S.review_end(F.lit("none")).alias("z")), "select id, due_chapter as e, cast(0 as bigint) as z from contracts")
+simple("polarity_F29", lambda b: b.t.events.select("event_id", S.polarity(F.col("event_type"), ["err"], ["purch", "sign"]).cast("long").alias("p")), "select event_id, cast(case when contains(event_type, 'err') then -1 when contains(event_type, 'purch') or contains(event_type, 'sign') then 1 else 0 end as bigint) as p from events")
 simple("confidence_band_F30", lambda b: b.appearances.select("entity_id", "chapter", S.confidence_band(F.col("confidence")).alias("band")), "select entity_id, chapter, case when confidence >= 0.8 then 'auto' when confidence >= 0.5 then 'warn' else 'manual' end as band from appearances")
 _CLASSES = {"battle": ["idiot", "scum"], "tension": ["error", "trash"], "dialogue": ["the"]}
 simple(
@@ -67,6 +67,6 @@ simple(
 )
 simple("outline_query_F32", lambda b: b.chapters.select("chapter", F.left(S.normal_outline(F.col("summary")), F.lit(120)).alias("q")), "select chapter, left(trim(regexp_replace(regexp_replace(summary, '(?m)^#+\\s*', '', 'g'), '\\s+', ' ', 'g')), 120) as q from chapters")
 simple("format_F34", lambda b: b.t.customer.select("c_custkey", S.grouped(F.col("c_acctbal")).alias("f")), "select c_custkey, format('{:,.2f}', c_acctbal) as f from customer")
-simple("extract_chapter_F35", lambda b: b.t.part.select("p_partkey", S.first_positive(F.lit("none"), F.col("p_name"), F.col("p_size")).alias("c")), "select p_partkey, nullif(p_size, 0) as c from part")
-simple("total_casts_F36", lambda b: b.t.part.select("p_partkey", S.to_double(F.col("p_name"), -1.0).alias("d"), S.to_long(F.col("p_size").cast("string"), 0).alias("l")), "select p_partkey, coalesce(try_cast(p_name as double), -1.0) as d, p_size as l from part")
+simple("extract_chapter_F35", lambda b: b.t.part.select("p_partkey", S.first_positive(F.lit("none"), F.col("p_name"), F.col("p_size")).alias("c")), "select p_partkey, cast(nullif(p_size, 0) as bigint) as c from part")
+simple("total_casts_F36", lambda b: b.t.part.select("p_partkey", S.to_double(F.col("p_name"), -1.0).alias("d"), S.to_long(F.col("p_size").cast("string"), 0).alias("l")), "select p_partkey, coalesce(try_cast(p_name as double), -1.0) as d, cast(p_size as bigint) as l from part")
 simple("rounding_F37", lambda b: b.t.lineitem.groupBy("l_returnflag").agg(S.round_half_up(F.avg("l_discount"), 4).alias("r")), "select l_returnflag, round(avg(l_discount), 4) as r from lineitem group by 1")

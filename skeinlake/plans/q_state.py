@@ -53,7 +53,7 @@ simple("remove_alias_B08", lambda b: B.remove_keys(b.aliases, b.aliases.filter("
 simple("upsert_relationship_B10", lambda b: B.latest_wins(b.relationship_events.drop("strength"), ["from_entity", "to_entity", "type"], ["chapter", "id"]), "select id, from_entity, to_entity, type, action, chapter from relationship_events qualify row_number() over (partition by from_entity, to_entity, type order by chapter desc, id desc) = 1")
 
 
-@query("clean_events_B11", sql("select event_id, event_type as type, case when event_type in ('click', 'view') then 'update' else 'create' end as action, case event_type when 'error' then -1 when 'purchase' then 1 else 0 end as polarity, least(greatest(value / 50, 0.0), 1.0) as strength from events where event_type <> 'signup'"))
+@query("clean_events_B11", sql("select event_id, event_type as type, case when event_type in ('click', 'view') then 'update' else 'create' end as action, cast(case event_type when 'error' then -1 when 'purchase' then 1 else 0 end as bigint) as polarity, least(greatest(value / 50, 0.0), 1.0) as strength from events where event_type <> 'signup'"))
 def clean_events(spark, folder):
     e = Bound(spark, folder).t.events
     raw = e.select(
@@ -129,7 +129,7 @@ def accrue(spark, folder):
     return L.accrue(b.debts, past, 23970)[0].select("id", F.round("current_amount", 3).alias("current_amount"), "status")
 
 
-@query("accrual_events_L01_L03", sql("select id as debt_id, 'interest_accrued' as event_type, round(current_amount * interest_rate, 3) as amount, 23970 as chapter from debts where status in ('active', 'overdue') union all select id, 'overdue', round(current_amount + current_amount * interest_rate, 3), 23970 from debts where status = 'active' and due_chapter < 23970"))
+@query("accrual_events_L01_L03", sql("select id as debt_id, 'interest_accrued' as event_type, round(current_amount * interest_rate, 3) as amount, cast(23970 as bigint) as chapter from debts where status in ('active', 'overdue') union all select id, 'overdue', round(current_amount + current_amount * interest_rate, 3), 23970 from debts where status = 'active' and due_chapter < 23970"))
 def accrual_events(spark, folder):
     b = Bound(spark, folder)
     none = b.debt_events.select("debt_id", "chapter", F.lit("x").alias("event_type")).limit(0)
@@ -193,7 +193,7 @@ from (select *, case when status <> 'cancelled' then due_chapter + 60 end as t,
 @query("strand_violations_K03", """with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events),
 runs as (select user_id, f, m, count(*) as len from (select user_id, f, m, n - row_number() over (partition by user_id, f, m order by n) as g from (select user_id, n, x.f, event_type = x.f as m from e, (values ('click'), ('view'), ('purchase')) x(f))) group by user_id, f, m, g),
 s as (select user_id, coalesce(max(len) filter (f = 'click' and m), 0) as streak, coalesce(max(len) filter (f = 'view' and not m), 0) as g2, coalesce(max(len) filter (f = 'purchase' and not m), 0) as g3 from runs group by 1),
-p as (select user_id, count_if(event_type = 'click') * 100.0 / count(*) as p1, count_if(event_type = 'view') * 100.0 / count(*) as p2, count_if(event_type = 'purchase') * 100.0 / count(*) as p3 from events group by 1)
+p as (select user_id, count(*) filter (event_type = 'click') * 100.0 / count(*) as p1, count(*) filter (event_type = 'view') * 100.0 / count(*) as p2, count(*) filter (event_type = 'purchase') * 100.0 / count(*) as p3 from events group by 1)
 select user_id, streak, concat_ws(',', case when streak > 5 then 'streak' end, case when g2 > 10 then 'gap_second' end, case when g3 > 15 then 'gap_third' end, case when p1 < 55 or p1 > 65 then 'pct_1' end, case when p2 < 20 or p2 > 30 then 'pct_2' end, case when p3 < 10 or p3 > 20 then 'pct_3' end) as violations from s join p using (user_id)""")
 def strand_violations(spark, folder):
     from ..operators.aggregates import shares
@@ -224,7 +224,7 @@ simple(
     "risk_flags_K07",
     lambda b: K.risk_flags(b.t.orders.groupBy("o_custkey").agg((F.avg("o_totalprice") / 3000).alias("overall_avg"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("critical"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("high"), (F.min("o_totalprice") / 1000).alias("checklist_avg"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("completion"))).select("o_custkey", F.array_join("flags", ",").alias("flags")),
     """select o_custkey, coalesce(nullif(concat_ws(',', case when o < 75 then 'low_overall' end, case when c > 0 then 'critical' when h >= 5 then 'many_high' end, case when l < 80 then 'low_checklist' end, case when d < 0.7 then 'low_completion' end), ''), 'stable') as flags
-from (select o_custkey, avg(o_totalprice) / 3000 as o, count_if(o_orderpriority = '1-URGENT') as c, count_if(o_orderpriority = '2-HIGH') as h, min(o_totalprice) / 1000 as l, avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) as d from orders group by 1)""",
+from (select o_custkey, avg(o_totalprice) / 3000 as o, count(*) filter (o_orderpriority = '1-URGENT') as c, count(*) filter (o_orderpriority = '2-HIGH') as h, min(o_totalprice) / 1000 as l, avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) as d from orders group by 1)""",
 )
 simple("opening_checks_K09", lambda b: b.chapters.select("chapter", *[c.alias(n) for n, c in K.opening_checks(F.col("summary"), {"hook": (["idiot", "que", "the"], 2), "setting": (["der"], 1)}).items()]), "select chapter, cast(contains(summary, 'idiot') as int) + cast(contains(summary, 'que') as int) + cast(contains(summary, 'the') as int) >= 2 as hook, contains(summary, 'der') as setting from chapters")
 simple("parse_tags_K10", lambda b: b.t.pages.select("page_id", K.parse_tags(F.col("html"), ["title", "h1"]).alias("x")).select("page_id", F.col("x.title").alias("title")), "select page_id, nullif(regexp_extract(html, '(?s)<title>\\s*(.*?)\\s*</title>', 1), '') as title from pages")
@@ -252,12 +252,12 @@ simple("rank_alerts_X06", lambda b: X.rank_alerts(b.t.events.select("event_id",
 simple(
     "budgets_X08",
     lambda b: X.budgets(b.chapters.select("chapter", F.col("location").alias("section"), F.col("summary").alias("content")), {"en": 0.4, "de": 0.1}, 1000, ["fr"]).select("chapter", F.col("budget").cast("long").alias("budget"), F.char_length("text").cast("long").alias("n")),
-    "select chapter, case location when 'en' then 400 when 'de' then 100 when 'fr' then 800 end as budget, least(length(summary), case location when 'en' then 400 when 'de' then 100 when 'fr' then 800 else length(summary) end) as n from chapters",
+    "select chapter, cast(case location when 'en' then 400 when 'de' then 100 when 'fr' then 800 end as bigint) as budget, least(length(summary), case location when 'en' then 400 when 'de' then 100 when 'fr' then 800 else length(summary) end) as n from chapters",
 )
 
 
-@query("checklist_score_X10", """select l_orderkey as chapter, count(*) as total_items, count_if(r) as required_items, count_if(d) as completed_items, round(count_if(d) * 1.0 / count(*), 4) as completion_rate,
-round(greatest(0.0, least(100.0, 100.0 * (0.5 * (coalesce(sum(w) filter (d), 0.0) / sum(w)) + 0.3 * (case when count_if(r) > 0 then count_if(d and r) * 1.0 / count_if(r) else 1.0 end) + 0.2 * (count_if(d) * 1.0 / count(*))))), 2) as score
+@query("checklist_score_X10", """select l_orderkey as chapter, count(*) as total_items, count(*) filter (r) as required_items, count(*) filter (d) as completed_items, round(count(*) filter (d) * 1.0 / count(*), 4) as completion_rate,
+round(greatest(0.0, least(100.0, 100.0 * (0.5 * (coalesce(sum(w) filter (d), 0.0) / sum(w)) + 0.3 * (case when count(*) filter (r) > 0 then count(*) filter (d and r) * 1.0 / count(*) filter (r) else 1.0 end) + 0.2 * (count(*) filter (d) * 1.0 / count(*))))), 2) as score
 from (select l_orderkey, l_returnflag = 'R' as r, l_linestatus = 'F' as d, l_quantity as w from lineitem) group by 1""")
 def checklist_score(spark, folder):
     items = Bound(spark, folder).t.lineitem.select(F.col("l_orderkey").alias("chapter"), (F.col("l_returnflag") == "R").alias("required"), (F.col("l_linestatus") == "F").alias("done"), F.col("l_quantity").alias("weight"))
