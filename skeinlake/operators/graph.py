@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import fill_from_snapshot, latest_as_of
+from .storage import materialize
 
 EDGE = ["from_entity", "to_entity", "type"]
 
@@ -69,15 +70,13 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
 
     Each hop is one join; nodes reached before are removed, lineage is cut once per hop by a checkpoint.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skeinlake")
     both = edges.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b")).unionByName(edges.select(F.col("to_entity").alias("a"), F.col("from_entity").alias("b"))).distinct()
     reached = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, hops + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
+        frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = materialize(frontier)
         reached = reached.unionByName(frontier)
     return reached
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.scalars import cosine, tokenize
+from .storage import materialize
 from .windows import keep_max, ranks
 
 CJK_RUN = re.compile(r"[一-鿿]")
@@ -45,17 +46,20 @@ def _idf(n: int, df: int) -> float:
     return math.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def _same(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, query: str, k: int, doc_id: str = "chunk_id", text: str = "content", keep: Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """(id, score): the k best documents that ``keep`` lets through, ties by id. No terms give no rows. (R-01, D-02)"""
     terms = query_terms(query)
-    toks = docs.select(F.col(doc_id), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("toks"), (keep if keep is not None else F.lit(True)).alias("__keep"))
-
-    def times(term: str) -> Column:
-        return F.size(F.filter("toks", lambda x: x == term))
-
-    counted = toks.select(doc_id, "__keep", F.size("toks").alias("len"), *[times(t).alias(f"c{i}") for i, t in enumerate(terms)])
+    # One pass over the texts: a document's length and which query terms it has, once for each time.
+    one = F.transform(F.array(tokenize(F.coalesce(F.col(text), F.lit("")))), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(terms)).alias("hits")))
+    kept = (keep if keep is not None else F.lit(True)).alias("__keep")
+    counted = docs.select(F.col(doc_id), kept, F.element_at(one, 1).alias("s"))
     if not terms:
-        return counted.select(doc_id, F.lit(0.0).alias("score")).limit(0)
+        return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
+    counted = materialize(counted).select(doc_id, "__keep", F.col("s.len").alias("len"), *[F.size(F.filter("s.hits", _same(t))).alias(f"c{i}") for i, t in enumerate(terms)])
     row = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     n, avg = max(row["n"], 1), row["avg"] or 1.0
     score = F.lit(0.0)
