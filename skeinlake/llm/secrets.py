@@ -118,6 +118,19 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_openssh(data))
 
 
+def inner_kind(data: bytes | None) -> str | None:
+    """What a decoded candidate holds: a key, or a text form of a key or signed token that was encoded once more."""
+    if is_key(data):
+        return "der"
+    if data and data.startswith((b"-----BEGIN ", b"eyJ")):
+        text = data.decode("latin-1")
+        if (m := PEM.match(text)) and is_pem(m[1], m[2]):
+            return "pem"
+        if (m := JWT.match(text)) and is_jwt(m[0]):
+            return "jwt"
+    return None
+
+
 def is_pem(label: str, body: str) -> bool:
     data = unbase64(re.sub(r"\s+", "", body))
     if data is None:
@@ -170,11 +183,11 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
     inside = list(out)
     for m in BLOB.finditer(text):
-        if not any(a <= m.start() < b for a, b, _ in inside) and is_key(unbase64(m[0])):
-            out.append((m.start(), m.end(), "der"))
+        if not any(a <= m.start() < b for a, b, _ in inside) and (kind := inner_kind(unbase64(m[0]))):
+            out.append((m.start(), m.end(), kind))
     for m in HEXBLOB.finditer(text):
-        if is_key(binascii.unhexlify(m[0])):
-            out.append((m.start(), m.end(), "der"))
+        if kind := inner_kind(binascii.unhexlify(m[0])):
+            out.append((m.start(), m.end(), kind))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2])))
 
 

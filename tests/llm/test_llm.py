@@ -191,6 +191,8 @@ def test_secrets_structure():
     text = f"see {pem} and {jwt} and {ssh} and {b64(pkcs8)} and {pkcs1.hex()}"
     kinds = Counter(k for _, _, k in secrets.all_spans(text)[1])
     assert (kinds["pem"], kinds["jwt"], kinds["ssh"], kinds["der"]) == (1, 1, 1, 2)
+    again = f"x {b64(pem.encode())} y {jwt.encode().hex()} z"
+    assert [k for _, _, k in secrets.added_spans(again)] == ["pem", "jwt"]
     for bad in (pem.replace("MII", "MIJ", 1), f"{url({'typ': 'x'})}.{url({})}.s", "ssh-rsa " + b64(field(b"ssh-dss") + b"\0\0"), "A" * 80, "ab" * 40):
         assert not secrets.added_spans(bad)
     assert "removed" in secrets.redact_text(text) and "BEGIN" not in secrets.redact_text(text)
