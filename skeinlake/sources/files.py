@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import chapter_of_path, section, stats_field
 from ..schemas import PAYLOAD, SCHEMAS
+from ..shipping import ship_code
 
 
 def table(spark: SparkSession, path: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -113,6 +114,7 @@ Embedder = Callable[[list[str]], list[list[float] | None]]
 def embed(docs: DataFrame, make: Callable[[], Embedder], keys: list[str], text: str = "content", batch: int = 64, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """Keys and ``embedding`` by an outside service, in batches; a batch that fails after all tries, or that comes back
     short, gives nulls at its places. (A-09, A-10, B-21)"""
+    ship_code(docs.sparkSession)
     src = docs.select(*keys, F.col(text).alias("__text"))
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 

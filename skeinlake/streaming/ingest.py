@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import ingest
+from ..shipping import ship_code
 from ..sources.files import payloads
 
 
@@ -70,6 +71,7 @@ def ledger_stream(events: DataFrame) -> DataFrame:
     ``events`` has debt_id, chapter, id, kind, amount (of a payment, or the rate of an interest, or the principal of a
     creation).
     """
+    ship_code(events.sparkSession)
     out = "debt_id long, balance double, n long"
     state = "balance double, n long"
 
