@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..shipping import ship_code
+
 #: Characters of text handed to one call of a row function; a single longer text is passed alone.
 CHUNK_CHARS = 2_000_000
 
@@ -49,6 +51,7 @@ def map_rows(
     ``make()`` runs once per task and returns ``fn(texts) -> {column: list or array}`` with one value per text.
     ``key_cols`` are carried through unchanged (also when null).
     """
+    ship_code(df.sparkSession)
     names = [f.name for f in out.fields]
     src = df.select(*[F.col(f"`{c}`") for c in key_cols])
     # A text that is carried through anyway isn't sent twice.

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship_code
 from .common import map_rows, materialize
 from .components import components
 
@@ -185,6 +186,7 @@ def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK) -> DataFrame:
 
     Every two fingerprints within the bound are connected by emitted edges.
     """
+    ship_code(fps.sparkSession)
     n = fps.count()
     masks = tables(blocks_for(n, bound), bound)
     keyed = fps.select(
