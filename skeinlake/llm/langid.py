@@ -9,6 +9,9 @@ Most documents stay in one language. For those the constant path is proved optim
 sum of ``m`` over consecutive words is below one penalty. Only the others run the full recursion, so results are
 those of Viterbi over every document.
 
+Where two languages hold similar shares, the opening one may be the document's own: how much being first counts for is
+fitted on the sample, as a share of letters.
+
 Defined edge results: null text, empty text and text without a letter give ``und`` with score 0; an empty training
 table gives ``und`` everywhere; ties go to the alphabetically first language; null or clashing extra columns are not
 read. Repeated rows are scored alike.
@@ -106,8 +109,8 @@ def blocks(text: str):
 class Model:
     """Per-language n-gram log-probabilities (centred), script use per language, parameters of the path."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float, prior: int):
-        self.langs, self.table, self.scripts, self.penalty, self.prior = langs, table, scripts, penalty, prior
+    def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float, opening: float = 0.0):
+        self.langs, self.table, self.scripts, self.penalty, self.opening = langs, table, scripts, penalty, opening
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores [words, langs], letters per word, start and end offset of each word."""
@@ -161,7 +164,9 @@ class Model:
             return "und", 0.0, 0, 0
         path = self.path(score)
         share = np.bincount(path, weights=letters, minlength=len(self.langs))
-        best = int(share.argmax())
+        lean = share / share.sum()
+        lean[path[0]] += self.opening
+        best = int(lean.argmax())
         rest = np.delete(score, best, axis=1)
         margin = float((score[:, best] - rest.max(axis=1)).sum()) if rest.size else 10.0
         sure = 1.0 / (1.0 + np.exp(-np.clip(margin / 4, -30, 30)))
@@ -228,8 +233,28 @@ def fit(docs: DataFrame, per_lang: int = 1500, penalty: float = 12.0, alpha: flo
         logp[part.sum(axis=1) == 0] = 0
         table[order << BITS : (order + 1) << BITS] = 0.5 * np.clip(logp, -4, 4)
     scripts = used >= 0.01 * np.maximum(used.sum(axis=0, keepdims=True), 1)
-    prior = int(used.sum(axis=0).argmax()) if langs else 0
-    return Model(langs, table, scripts, penalty, prior)
+    model = Model(langs, table, scripts, penalty)
+    model.opening = fit_opening(model, rows["text"], rows["lang"])
+    return model
+
+
+def fit_opening(model: Model, texts, labels, steps: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.6)) -> float:
+    """The bonus of the opening language that labels most sample documents of several languages right; the smallest on
+    ties."""
+    right = np.zeros(len(steps))
+    for text, label in zip(texts, labels, strict=True):
+        score, letters, _, _ = model.words(text)
+        if not len(score):
+            continue
+        path = model.path(score)
+        share = np.bincount(path, weights=letters, minlength=len(model.langs)) / letters.sum()
+        if (share > 0).sum() < 2:
+            continue
+        for i, bonus in enumerate(steps):
+            lean = share.copy()
+            lean[path[0]] += bonus
+            right[i] += model.langs[int(lean.argmax())] == label
+    return steps[int(right.argmax())]
 
 
 RESULT = T.StructType(

@@ -92,7 +92,7 @@ def test_viterbi_against_all_paths(lang_model):
             return sum(score[i, x] for i, x in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:], strict=False))
 
         best = max(map(worth, product(range(k), repeat=n)))
-        model = langid.Model(list("abc")[:k], None, None, penalty, 0)
+        model = langid.Model(list("abc")[:k], None, None, penalty)
         assert worth(langid.viterbi(score, penalty)) == pytest.approx(best)
         assert worth(model.path(score)) == pytest.approx(best)
 
@@ -113,7 +113,7 @@ def test_langid_scripts_narrow_candidates():
     table = np.zeros((3 << langid.BITS, 2), np.float32)
     scripts = np.zeros((len(langid.SCRIPTS) + 1, 2), bool)
     scripts[1, 0] = scripts[3, 1] = True
-    model = langid.Model(["en", "ru"], table, scripts, 12.0, 0)
+    model = langid.Model(["en", "ru"], table, scripts, 12.0)
     assert model.predict("просто слова")[0] == "ru"
     assert model.predict("plain words")[0] == "en"
     assert [s[2] for s in model.spans("plain words просто слова")] == ["en", "ru"]
