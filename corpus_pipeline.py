@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.llm import decontaminate, packing, secrets, simhash, toxicity
+from skeinlake.llm import decontaminate, near_copies, packing, secrets, toxicity
 from skeinlake.llm.common import crc_bucket, read_table, shared_dir
 
 
@@ -20,9 +20,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component. Documents with a null id stay, and repeated rows of one id
-    are one document, which stays or goes as a whole."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest id of each component of texts whose five-word shingles have a similarity of 0.8
+    or more. Documents with a null id stay, and repeated rows of one id are one document, which stays or goes as a whole."""
+    found = near_copies.near_copies(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
