@@ -3,7 +3,8 @@
 Three base patterns give candidate spans that are always reported. The method then decodes base64 and hex candidates
 and parses what comes out: DER key encodings with nested lengths, the OpenSSH key container, SSH public-key
 length-prefixed fields, and signed tokens whose header is JSON with an algorithm. Only what parses adds a span, of
-kinds ``pem``, ``der``, ``ssh`` and ``jwt``.
+kinds ``pem``, ``der``, ``ssh`` and ``jwt``. Line breaks inside a key may be real or escaped, as in a JSON string; lines
+of one width without armour, the last one shorter or not, are one candidate; hex may mix cases.
 
 Defined edge results: null and empty texts have no spans and the digest of the empty string; overlapping spans of
 different kinds are all kept; a text of any length is scanned whole; extra columns are not read.
@@ -29,12 +30,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+#: An escaped line break or slash, as JSON writes them; backslashes may be doubled by nesting.
+_ESCAPE = r"\\+(?:[nr/]|u000[aAdD])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|{_ESCAPE}){{16,}}?)-----END \1-----")
 SSH = re.compile(r"(?a:\b)(ssh-rsa|ssh-ed25519|ssh-dss|ecdsa-sha2-nistp\d{3}) +(AAAA[A-Za-z0-9+/]{16,}={0,2})")
 #: A candidate starts where a run starts, so a text is walked once.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEXBLOB = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+#: Whole runs of hex digits of any case.
+HEXRUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+_BREAK = r"(?:[ \t]*(?:\r\n|\n|\r)[ \t]*|(?:\\+(?:[nr]|u000[aAdD]))+)"
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Lines of base64 or hex characters; a block starts where a run does, or behind an escaped line break.
+WRAPPED = re.compile(rf"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+BREAK = re.compile(_BREAK)
 MAGIC = b"openssh-key-v1\x00"
 
 
@@ -132,7 +142,7 @@ def inner_kind(data: bytes | None) -> str | None:
 
 
 def is_pem(label: str, body: str) -> bool:
-    data = unbase64(re.sub(r"\s+", "", body))
+    data = unbase64(re.sub(rf"\s+|{_ESCAPE}", lambda m: "/" if m[0].endswith("/") else "", body))
     if data is None:
         return False
     if label == "ENCRYPTED PRIVATE KEY":
@@ -159,6 +169,53 @@ def is_jwt(token: str) -> bool:
         return False
 
 
+def decoded_kind(blob: str) -> str | None:
+    """The kind of what a run holds, read as base64, or as hex where it is hex."""
+    if kind := inner_kind(unbase64(blob)):
+        return kind
+    return inner_kind(binascii.unhexlify(blob)) if len(blob) % 2 == 0 and HEXRUN.fullmatch(blob) else None
+
+
+def der_length(line: str) -> int | None:
+    """Bytes of the DER sequence whose encoding starts with this line, by its outer length."""
+    data = unbase64(line[:12]) if len(line) >= 12 else None
+    if not data or data[0] != 0x30:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 else None
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys and tokens in lines of one width that parse once the lines are joined."""
+    out = []
+    for m in WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        while line := LINE.match(text, at, m.end()):
+            lines.append((line.start(), line.end(), line[0]))
+            gap = BREAK.match(text, line.end(), m.end())
+            at = gap.end() if gap else m.end()
+        k = 0
+        while k < len(lines):
+            width = len(lines[k][2])
+            same = k + 1
+            while same < len(lines) and len(lines[same][2]) == width:
+                same += 1
+            ends = [same + 1, same] if same < len(lines) and len(lines[same][2]) < width else [same]
+            if (n := der_length(lines[k][2])) is not None:  # keys of full lines may follow each other
+                ends.append(k - (-4 * ((n + 2) // 3) // width))
+            found = False
+            for e in dict.fromkeys(ends):
+                if k + 1 < e <= ends[0] and (kind := decoded_kind("".join(x for _, _, x in lines[k:e]))):
+                    out.append((lines[k][0], lines[e - 1][1], kind))
+                    k, found = e, True
+                    break
+            # A line that opens a DER sequence may stand behind lines of its own width.
+            k = k if found else next((j for j in range(k + 1, same) if lines[j][2][0] == "M" and der_length(lines[j][2]) is not None), same)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the base patterns, by start, then kind as listed."""
     out = []
@@ -182,12 +239,23 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
     inside = list(out)
+    if "\n" in text or "\r" in text or "\\" in text:
+        out += [s for s in wrapped_spans(text) if not any(a <= s[0] < b for a, b, _ in inside)]
+        inside = list(out)
     for m in BLOB.finditer(text):
-        if not any(a <= m.start() < b for a, b, _ in inside) and (kind := inner_kind(unbase64(m[0]))):
-            out.append((m.start(), m.end(), kind))
-    for m in HEXBLOB.finditer(text):
-        if kind := inner_kind(binascii.unhexlify(m[0])):
+        if any(a <= m.start() < b for a, b, _ in inside):
+            continue
+        if kind := inner_kind(unbase64(m[0])):
             out.append((m.start(), m.end(), kind))
+        elif m[0][0] in "nrt" and m.start() and text[m.start() - 1] == "\\" and (kind := inner_kind(unbase64(m[0][1:]))):
+            out.append((m.start() + 1, m.end(), kind))
+    for m in HEXRUN.finditer(text):
+        # The run itself, or without a digit before or after it that isn't part of it.
+        n = len(m[0])
+        cuts = [(a, b) for a in (0, 1) for b in (n, n - 1) if (b - a) % 2 == 0] + [h.span() for h in HEXBLOB.finditer(m[0])]
+        for a, b in dict.fromkeys(cuts):
+            if kind := inner_kind(binascii.unhexlify(m[0][a:b])):
+                out.append((m.start() + a, m.start() + b, kind))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
