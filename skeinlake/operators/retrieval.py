@@ -155,23 +155,34 @@ def graph_priors(score: Column, text: Column, seeds: list[str], related: list[st
     return score + bonus + cfg.prior_recency * F.greatest(F.lit(0.0), 1 - gap / 100)
 
 
-def seed_entities(query: str, entities: DataFrame, aliases: DataFrame, cap: int | None = None, cfg: Config = DEFAULT) -> list[str]:
-    """Ids named in a query: runs of 2 to 8 ideographs or identifiers of 2 to 25 characters, by alias, then by id, in
-    the order of the query. (R-08, R-09)"""
+def seed_entities(query: str, entities: DataFrame, aliases: DataFrame, cap: int | None = None, cfg: Config = DEFAULT) -> list:
+    """Ids named in a query: runs of 2 to 8 ideographs or identifiers of 2 to 25 characters, each by alias, then by id,
+    in the order of the query. (R-08, R-09)"""
     words = list(dict.fromkeys(re.findall(r"[一-鿿]{2,8}|[A-Za-z_][A-Za-z0-9_#]{1,24}", query)))
-    return normalize_ids(words, entities, aliases, cap, cfg)
+    cap = cap or cfg.graph_cap
+    ids, named = _named(words, entities, aliases, cap)
+    return list(dict.fromkeys(x for w in words for x in [*named.get(w, []), *ids.get(w, [])]))[:cap]
 
 
-def normalize_ids(words: list[str], entities: DataFrame, aliases: DataFrame, cap: int | None = None, cfg: Config = DEFAULT) -> list[str]:
+def normalize_ids(words: list[str], entities: DataFrame, aliases: DataFrame, cap: int | None = None, cfg: Config = DEFAULT) -> list:
     """Each word as the id it is, else the ids it is an alias of; distinct, in order, at most the cap. (R-09)"""
+    cap = cap or cfg.graph_cap
+    ids, named = _named(words, entities, aliases, cap)
+    return list(dict.fromkeys(x for w in words for x in ids.get(w) or named.get(w, [])))[:cap]
+
+
+def _named(words: list[str], entities: DataFrame, aliases: DataFrame, cap: int) -> tuple[dict[str, list], dict[str, list]]:
+    """For each word the id it is, and the first ``cap`` ids it is an alias of: enough for any order of the words."""
+    from .lookup import per_group_top
+
     if not words:
-        return []
-    ids = {r.id for r in entities.filter(F.col("id").isin(words)).select("id").collect()}
-    named: dict[str, list[str]] = {}
-    for r in aliases.filter(F.col("alias").isin(words)).select("alias", "entity_id").orderBy("alias", "entity_id").limit(cfg.graph_cap * len(words)).collect():
+        return {}, {}
+    ids = {str(r.id): [r.id] for r in entities.filter(F.col("id").cast("string").isin(words)).select("id").collect()}
+    named: dict[str, list] = {}
+    hits = aliases.filter(F.col("alias").isin(words)).select("alias", "entity_id").distinct()
+    for r in sorted(per_group_top(hits, "alias", cap, "entity_id").collect()):
         named.setdefault(r.alias, []).append(r.entity_id)
-    out = dict.fromkeys(x for w in words for x in ([w] if w in ids else named.get(w, [])))
-    return list(out)[: cap or cfg.graph_cap]
+    return ids, named
 
 
 def graph_hybrid(base: DataFrame, chunks: DataFrame, qvec: list[float], seeds: list[str], related: list[str], now: int, k: int, doc_id: str = "chunk_id", text: str = "content", vec: str = "embedding", chapter: str = "chapter", candidates: int = 200, cfg: Config = DEFAULT) -> DataFrame:

@@ -119,6 +119,12 @@ def graph_priors(spark, folder):
     return _docs(spark, folder).select("doc_id", F.round(R.graph_priors(base, F.col("text"), _SEEDS, _RELATED, F.col("doc_id"), F.lit(150)), 6).alias("score"))
 
 
+@query("seed_entities_R08_R09", sql("select id from (select entity_id as id, 0 as o from aliases where alias = 'NATION_2' union all select entity_id, 1 from aliases where alias = 'NATION_1') order by o, id limit 30"))
+def seed_entities(spark, folder):
+    b = Bound(spark, folder)
+    return spark.createDataFrame([(i,) for i in R.seed_entities("between NATION_2 and NATION_1", b.entities, b.aliases)], "id long")
+
+
 @query("graph_hybrid_R06")
 def graph_hybrid(spark, folder):
     docs, vectors, qvec = _docs(spark, folder), _vectors(spark, folder), _qvec(spark, folder)
