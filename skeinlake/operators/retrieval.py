@@ -185,18 +185,70 @@ def _named(words: list[str], entities: DataFrame, aliases: DataFrame, cap: int)
     return ids, named
 
 
-def graph_hybrid(base: DataFrame, chunks: DataFrame, qvec: list[float], seeds: list[str], related: list[str], now: int, k: int, doc_id: str = "chunk_id", text: str = "content", vec: str = "embedding", chapter: str = "chapter", candidates: int = 200, cfg: Config = DEFAULT) -> DataFrame:
+def expand_related(seeds: list, edges: DataFrame, hops: int | None = None, top_edges: int = 200, cfg: Config = DEFAULT) -> list:
+    """The seeds, then the nodes of each one's subgraph, at most ``cfg.graph_cap``. (R-10)
+
+    Unlike the reference, all seeds come before what they lead to, so the cap never drops a seed for a neighbour.
+    """
+    from .graph import subgraph
+
+    out = dict.fromkeys(seeds)
+    for s in seeds:
+        if len(out) >= cfg.graph_cap:
+            break
+        out.update(dict.fromkeys(subgraph(edges, s, hops or cfg.graph_hops, max(20, top_edges))[1]))
+    return list(out)[: cfg.graph_cap]
+
+
+def entity_terms(ids: list, entities: DataFrame, aliases: DataFrame) -> dict:
+    """Id -> its canonical name and aliases, trimmed; ids without any are left out."""
+    out: dict = {}
+    names = entities.filter(F.col("id").isin(ids)).select("id", F.col("canonical_name").alias("term"))
+    more = aliases.filter(F.col("entity_id").isin(ids)).select(F.col("entity_id").alias("id"), F.col("alias").alias("term"))
+    for r in names.unionByName(more).distinct().collect():
+        if r.term and r.term.strip():
+            out.setdefault(r.id, set()).add(r.term.strip())
+    return {i: sorted(out[i]) for i in ids if i in out}
+
+
+def graph_hybrid(
+    base: DataFrame, chunks: DataFrame, query: str, qvec: list[float] | None, entities: DataFrame, aliases: DataFrame, edges: DataFrame, k: int,
+    centers: list[str] | None = None, now: int | None = None, hops: int | None = None, doc_id: str = "chunk_id", text: str = "content",
+    vec: str = "embedding", chapter: str = "chapter", candidates: int = 200, rerank: Scorer | None = None, cfg: Config = DEFAULT,
+) -> DataFrame:
     """(id, score): a base list joined by chunks that name the seeds or what is related to them, the higher score of
-    each kept. Without seeds it is the base list. (R-06, R-10, D-11)"""
-    if not seeds:
-        return base.select(doc_id, "score").orderBy(F.desc("score"), doc_id).limit(k)
+    each kept, then reranked. Without seeds it is the base list. (R-06, R-10, D-11)
+
+    Seeds are the centre entities, else those the query names; they are expanded over ``edges``. Chunks (to ``now``, if
+    given) are candidates by the names and aliases they hold. ``rerank`` maps (id, score) to (id, score); if it returns
+    no rows, the merged order stays.
+    """
     from .joins import term_hits
 
-    hits = term_hits(chunks, {e: [e] for e in [*seeds, *related]}, text)
-    named = chunks.withColumn("__hits", hits).filter("__hits > 0").orderBy(F.desc("__hits"), F.desc(chapter), doc_id).limit(candidates)
-    q = F.array(*[F.lit(float(x)) for x in qvec])
-    near = named.filter(F.col(vec).isNotNull()).select(doc_id, graph_priors(cosine(F.col(vec), q), F.col(text), seeds, related, F.col(chapter), F.lit(now), cfg).alias("score"))
-    return keep_max(base.select(doc_id, "score"), near, doc_id).orderBy(F.desc("score"), doc_id).limit(k)
+    plain = base.select(doc_id, "score")
+    seeds = normalize_ids([c.strip() for c in centers or [] if c.strip()], entities, aliases, cfg=cfg) or seed_entities(query, entities, aliases, cfg=cfg)
+    if not seeds:
+        return plain.orderBy(F.desc("score"), doc_id).limit(k)
+    terms = entity_terms(expand_related(seeds, edges, hops, candidates, cfg), entities, aliases)
+    merged = plain
+    if terms and qvec:
+        seen = chunks if now is None else chunks.filter(F.col(chapter) <= now)
+        if now is None:
+            now = chunks.agg(F.max(chapter)).first()[0] or 0
+        of_seeds = sorted({t for i in seeds for t in terms.get(i, [])})
+        of_related = sorted({t for ts in terms.values() for t in ts} - set(of_seeds))
+        named = seen.withColumn("__hits", term_hits(seen, terms, text)).filter("__hits > 0").orderBy(F.desc("__hits"), F.desc(chapter), doc_id).limit(max(8 * k, candidates))
+        q = F.array(*[F.lit(float(x)) for x in qvec])
+        near = named.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).withColumn("__near", cosine(F.col(vec), q)).orderBy(F.desc("__near"), doc_id).limit(max(4 * k, 2 * cfg.rerank_top_n))
+        near = near.select(doc_id, graph_priors(F.col("__near"), F.col(text), of_seeds, of_related, F.col(chapter), F.lit(now), cfg).alias("score"))
+        merged = keep_max(plain, near, doc_id)
+    best = merged.orderBy(F.desc("score"), doc_id).limit(max(3 * k, 2 * cfg.rerank_top_n))
+    if rerank is not None:
+        best = materialize(best)
+        scored = materialize(rerank(best).select(doc_id, "score"))
+        if scored.limit(1).count():
+            best = best.select(doc_id).join(scored, doc_id)
+    return best.orderBy(F.desc("score"), doc_id).limit(k)
 
 
 #: Intent -> words that mark it, as a parameter of the router; the first match wins.

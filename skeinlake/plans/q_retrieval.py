@@ -127,10 +127,13 @@ def seed_entities(spark, folder):
 
 @query("graph_hybrid_R06")
 def graph_hybrid(spark, folder):
-    docs, vectors, qvec = _docs(spark, folder), _vectors(spark, folder), _qvec(spark, folder)
-    base = R.hybrid(docs, vectors, QUERY, qvec, doc_id="doc_id", text="text", full_scan=True)
-    chunks = docs.select("doc_id", "text").join(vectors, "doc_id", "left").withColumn("chapter", F.col("doc_id"))
-    return rounded(R.graph_hybrid(base, chunks, qvec, _SEEDS, _RELATED, 150, 10, "doc_id", "text"), "score")
+    """Each document is a chunk about the entity of its number, whose name follows the text."""
+    b, docs, vectors, qvec = Bound(spark, folder), _docs(spark, folder), _vectors(spark, folder), _qvec(spark, folder)
+    base = R.hybrid(docs, vectors, QUERY, qvec, n=20, doc_id="doc_id", text="text", full_scan=True)
+    names = b.entities.select(F.col("id").alias("doc_id"), "canonical_name")
+    chunks = docs.join(names, "doc_id", "left").select("doc_id", F.concat_ws(" ", "text", "canonical_name").alias("text"), F.col("doc_id").alias("chapter")).join(vectors, "doc_id", "left")
+    got = R.graph_hybrid(base, chunks, QUERY, qvec, b.entities, b.aliases, b.links, 10, centers=["8"], doc_id="doc_id", text="text", rerank=lexical_reranker(QUERY, docs, "doc_id", "text"))
+    return rounded(got, "score")
 
 
 @query("snippets_R17", f"with {BM25} select doc_id, round(score, 6) as score, left(text, 180) as snippet from (select * from bm order by score desc, doc_id limit 5) b join documents using (doc_id)")
