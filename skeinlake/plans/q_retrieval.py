@@ -187,6 +187,12 @@ def neighbours(spark, folder):
     return G.neighbours(b.links.filter("chapter >= 28"), spark.createDataFrame([(8,)], "id long"), 2)
 
 
+@query("neighbours_whole_R10")
+def neighbours_whole(spark, folder):
+    """Over all links; ``neighbours_R10`` and its SQL see those of the last chapters."""
+    return G.neighbours(Bound(spark, folder).links, spark.createDataFrame([(8,)], "id long"), 2)
+
+
 @query("typed_graph_G05", sql("""with n as (select 'c' || c_custkey as from_entity, 'n' || c_nationkey as to_entity, 'lives_in' as type from customer union all
 select 's' || s_suppkey, 'n' || s_nationkey, 'based_in' from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' from nation)
 select type, count(*) as edges, count(distinct to_entity) as targets from n group by type"""))
