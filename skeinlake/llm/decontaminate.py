@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are compared as lower-cased runs of letters and digits. A shared seed of SEED tokens makes
+Documents and benchmark items are compared as lower-cased runs of letters and digits, and as single letters in scripts
+without spaces. A shared seed of SEED tokens makes
 a candidate pair; around the seeds the pair is tiled: the longest matches of unmarked tokens, found by running
 Karp-Rabin hashes of falling length, are marked again and again, so reordered passages still cover the item. A pair is
 a leak if the tiles cover at least ``threshold`` of the item's tokens.
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from .common import map_rows
 
-TOKEN = re.compile(r"[^\W_]+")
+#: Han, Kana, Thai, Lao, Myanmar and Khmer, which write without spaces: each letter is a token of its own.
+_ALONE = "\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"(?![_\W])[{_ALONE}]|(?:(?![{_ALONE}])[^\W_])+")
 SEED = 5
 #: Shortest tile; a tile may be shorter than a seed once the pair is a candidate.
 TILE = 3
