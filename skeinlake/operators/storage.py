@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine's temporary directory does if all executors run on this machine;
+    otherwise rows written there would be lost with an executor, so it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.gettempdir()}/skeinlake-checkpoints"
+    return path.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the folder of spark.checkpoint.dir; a local default only where it is unset.
+    """The rows as a reliable checkpoint in the shared folder; never a local checkpoint.
 
     For narrow tables that several jobs read: what is costly to compute is computed once, and a lost executor loses
     nothing.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skeinlake")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)

@@ -297,10 +297,10 @@ simple(
 @query("streamed_counts_S04", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def streamed_counts(spark, folder):
     """The same aggregate read as a stream, run to the end of what is there."""
-    from ..sources.files import shared_folder
+    from ..operators.storage import shared_root
 
     kinds = spark.read.parquet(f"{folder}/events.parquet").schema
     # A file source takes folders: a single file is named by its parent and a pattern.
     src = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/events.parque[t]")
     got = src.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return S.run_to_table(got, f"counts_{uuid.uuid4().hex}", f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return S.run_to_table(got, f"counts_{uuid.uuid4().hex}", f"{shared_root(spark)}/{uuid.uuid4().hex}")

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .operators.storage import shared_root
+
 _done: set[str] = set()
 
 
@@ -26,8 +28,7 @@ def ship_code(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skeinlake").rstrip("/")
-    target = f"{folder}/{root.name}-{uuid.uuid4().hex}.zip"
+    target = f"{shared_root(spark)}/{root.name}-{uuid.uuid4().hex}.zip"
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(held.getvalue())

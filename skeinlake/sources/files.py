@@ -103,11 +103,6 @@ def payloads(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     return fine, got.filter("reason is not null").select("raw", "reason")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder driver and executors share; a local default only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skeinlake").rstrip("/")
-
-
 Embedder = Callable[[list[str]], list[list[float] | None]]
 
 
