@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.storage import materialize, shared_root  # noqa: F401
 from ..shipping import ship_code
 
 #: Characters of text handed to one call of a row function; a single longer text is passed alone.
@@ -22,21 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local default only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file:///tmp/checkpoints/skeinlake"
-    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the one all executors share."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (never localCheckpoint)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skeinlake"
-        )
-    return df.checkpoint(eager=True)
+def free_name(taken: list[str], name: str) -> str:
+    """``name`` with underscores in front until no column has it, in whatever case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def map_rows(
@@ -48,6 +44,8 @@ def map_rows(
 ) -> DataFrame:
     """Apply a row-wise text function over Arrow batches; no shuffle, one task-local state.
 
+    Columns may have any names; those of ``out`` must not be among ``key_cols`` in any case (see ``free_name``).
+
     ``make()`` runs once per task and returns ``fn(texts) -> {column: list or array}`` with one value per text.
     ``key_cols`` are carried through unchanged (also when null).
     """
@@ -57,7 +55,7 @@ def map_rows(
     # A text that is carried through anyway isn't sent twice.
     at = key_cols.index(text_col) if text_col in key_cols else len(key_cols)
     if at == len(key_cols):
-        src = df.select(*[F.col(f"`{c}`") for c in key_cols], F.col(f"`{text_col}`").cast("string").alias("__text"))
+        src = df.select(*[F.col(f"`{c}`") for c in key_cols], F.col(f"`{text_col}`").cast("string").alias(free_name(key_cols, "text")))
     schema = T.StructType([src.schema[c] for c in key_cols] + list(out.fields))
     arrow_out = to_arrow_schema(out)
 
@@ -110,13 +108,38 @@ def bounded_sample(df: DataFrame, by: list[str], id_col: str, per_group: int) ->
     return df.filter(keep)
 
 
+#: Different texts of one id, and characters for each group, that a fitting sample takes at most: what reaches the
+#: driver is bounded by these, whatever the tables hold.
+TEXTS_PER_ID = 4
+FIT_CHARS = 64_000_000
+
+
+def bounded_texts(rows: DataFrame, by: str, id_col: str, text_col: str, per_id: int = TEXTS_PER_ID, chars: int = FIT_CHARS) -> DataFrame:
+    """Distinct (id, ``by``, text) of a sample, at most ``per_id`` texts of an id and ``chars`` characters of a group.
+
+    Whole texts are taken, in the order of the ids' hashes, until the group's characters are used up. The choice is made
+    on narrow rows, so the texts themselves are never shuffled.
+    """
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{by}`").alias("by"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    first = F.row_number().over(Window.partitionBy("id", "by").orderBy("h"))
+    narrow = rows.select("id", "by", "h", "n").distinct().withColumn("k", first).filter(F.col("k") <= per_id)
+    upto = Window.partitionBy("by").orderBy(F.xxhash64("id"), "id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = narrow.withColumn("total", F.sum("n").over(upto)).filter(F.col("total") <= chars).select("id", "by", "h")
+    got = rows.join(F.broadcast(picked), on=[rows[c].eqNullSafe(picked[c]) for c in ("id", "by", "h")], how="left_semi")
+    # Equal rows meet again: one text for each (id, by, h).
+    got = got.groupBy("id", "by", "h").agg(F.any_value("text").alias("text"))
+    return got.select(F.col("id").alias(id_col), F.col("by").alias(by), F.col("text").alias(text_col))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str, text_col: str):
     """(labels that aren't null, pandas rows of about ``per_class`` labelled documents of each label, by id).
 
-    The sample is drawn from the narrow labels first, so what is broadcast and brought in has that bound, and texts
-    are never shuffled.
+    The sample is drawn from the narrow, distinct labels first, so what is broadcast has that bound; ``bounded_texts``
+    bounds what is brought in. An id with both labels counts once for each.
     """
-    known = labels.select(F.col(f"`{id_col}`"), F.col(f"`{label_col}`")).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = F.broadcast(bounded_sample(known, [label_col], id_col, per_class))
+    known = labels.select(F.col(f"`{id_col}`"), F.col(f"`{label_col}`")).filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
+    chosen = F.broadcast(bounded_sample(known.distinct(), [label_col], id_col, per_class))
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).join(chosen, id_col)
-    return known, rows.select(id_col, text_col, label_col).toPandas().sort_values(id_col, kind="stable").reset_index(drop=True)
+    got = bounded_texts(rows, label_col, id_col, text_col).toPandas()
+    return known, got.sort_values([id_col, label_col, text_col], kind="stable").reset_index(drop=True)

@@ -139,9 +139,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
-    """Fit on about ``per_class`` documents of each label (the documented bound of the sample)."""
-    known, rows = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
-    shares = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
+    """Fit on about ``per_class`` documents of each label (the documented bound of the sample). Labels above 0 count as
+    1, all others as 0."""
+    known, rows = labelled_sample(docs, labels.withColumn(label_col, (F.col(f"`{label_col}`") > 0).cast("int")), label_col, per_class, id_col, text_col)
+    shares = {r[0]: r[1] for r in known.groupBy(F.col(f"`{label_col}`")).count().collect()}
     model = FactorisationMachine()
     labels = rows[label_col].to_numpy(dtype=float)
     total = sum(shares.values())

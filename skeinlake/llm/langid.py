@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, crc_bucket, map_rows
+from .common import bounded_sample, bounded_texts, crc_bucket, map_rows
 
 BITS = 17
 MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
@@ -213,16 +213,22 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
 def fit(docs: DataFrame, per_lang: int = 1500, penalty: float = 12.0, alpha: float = 0.3) -> Model:
     """Fit on a bounded sample: about ``per_lang`` documents for each lang value (documented bound)."""
     sample = bounded_sample(docs.filter("lang is not null and text is not null"), ["lang"], "doc_id", per_lang)
-    rows = sample.select("text", "lang").toPandas()
+    rows = bounded_texts(sample, "lang", "doc_id", "text").select("text", "lang").orderBy("lang", "text").toPandas()
     langs = sorted(set(rows["lang"]))
     counts = np.zeros((3 << BITS, len(langs)))
     used = np.zeros((len(SCRIPTS) + 1, len(langs)))
     for i, lang in enumerate(langs):
+        held: list[np.ndarray] = []
         for text in rows["text"][rows["lang"] == lang]:
             for _, piece in blocks(text):
                 if (f := features(codes(piece))) is not None:
-                    np.add.at(counts[:, i], f[0].ravel(), 1)
+                    held.append(f[0].ravel())
                     used[:, i] += np.bincount(f[3], minlength=len(SCRIPTS) + 1)
+            if sum(map(len, held)) > 1 << 20:
+                counts[:, i] += np.bincount(np.concatenate(held), minlength=len(counts))
+                held = []
+        if held:
+            counts[:, i] += np.bincount(np.concatenate(held), minlength=len(counts))
     table = np.zeros_like(counts, dtype=np.float32)
     for order in range(3):
         part = counts[order << BITS : (order + 1) << BITS]

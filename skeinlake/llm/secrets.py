@@ -4,10 +4,18 @@ Three base patterns give candidate spans that are always reported. The method th
 and parses what comes out: DER key encodings with nested lengths, the OpenSSH key container, SSH public-key
 length-prefixed fields, and signed tokens whose header is JSON with an algorithm. Only what parses adds a span, of
 kinds ``pem``, ``der``, ``ssh`` and ``jwt``. Line breaks inside a key may be real or escaped, as in a JSON string; lines
-of one width without armour, the last one shorter or not, are one candidate; hex may mix cases.
+of one width without armour, the last one shorter or not, are one candidate; hex may mix cases. A key may stand anywhere
+in a longer run of base64 characters, as behind a path: its own lengths say where it ends.
+
+``ssh`` spans are public keys: they are listed, but not redacted, as they aren't secret. Public keys in DER aren't
+reported. The content of a PKCS#8 key's octets depends on the algorithm and isn't parsed; encrypted PEM bodies are
+confirmed by their header lines and whole cipher blocks. A token whose JSON nests deeper than the parser goes is not
+confirmed.
 
 Defined edge results: null and empty texts have no spans and the digest of the empty string; overlapping spans of
-different kinds are all kept; a text of any length is scanned whole; extra columns are not read.
+different kinds are all kept; a text of any length is scanned whole; null ids keep their rows; repeated rows are
+reported each; equal spans of one kind are one; an empty table gives no rows; extra columns are not read by the scan and
+are kept by the redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +25,13 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import free_name, map_rows
 
 #: The patterns of the base kinds, in their listed order.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,7 +41,10 @@ KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
 #: An escaped line break or slash, as JSON writes them; backslashes may be doubled by nesting.
 _ESCAPE = r"\\+(?:[nr/]|u000[aAdD])"
-PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|{_ESCAPE}){{16,}}?)-----END \1-----")
+#: Header lines such as Proc-Type and DEK-Info may come before the body.
+PEM = re.compile(
+    rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:(?:\s|{_ESCAPE})*[A-Za-z][A-Za-z0-9-]{{1,31}}: [ -~]{{1,200}}?(?:\r|\n|{_ESCAPE}))*)((?:[A-Za-z0-9+/=\s]|{_ESCAPE}){{16,}}?)-----END \1-----"
+)
 SSH = re.compile(r"(?a:\b)(ssh-rsa|ssh-ed25519|ssh-dss|ecdsa-sha2-nistp\d{3}) +(AAAA[A-Za-z0-9+/]{16,}={0,2})")
 #: A candidate starts where a run starts, so a text is walked once.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
@@ -125,7 +137,99 @@ def is_openssh(data: bytes) -> bool:
 
 
 def is_key(data: bytes | None) -> bool:
-    return bool(data) and (is_der_key(data) or is_openssh(data))
+    """A private key: any DER key encoding but the public one, or an OpenSSH container."""
+    return bool(data) and (is_der_key(data) and der_items(data)[0][1][:1] == b"\x02" or is_openssh(data))
+
+
+class Run:
+    """Bytes of a run of base64 characters read from one of its places on, decoded only where they are looked at."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.start, self.room = text, start, (len(text) - start) * 3 // 4
+
+    def read(self, at: int, n: int) -> bytes | None:
+        """``n`` bytes from byte ``at``, or None if the run is shorter."""
+        if at + n > self.room:
+            return None
+        first = at // 3
+        piece = self.text[self.start + 4 * first : self.start + 4 * -(-(at + n) // 3)]
+        return unbase64(piece)[at - 3 * first :][:n]
+
+    def head(self, at: int) -> tuple[int, int, int] | None:
+        """(tag, first byte of the content, byte behind the content) of the DER item at byte ``at``."""
+        got = self.read(at, 2)
+        if got is None:
+            return None
+        tag, n = got
+        at += 2
+        if n & 0x80:
+            width = n & 0x7F
+            more = self.read(at, width) if 1 <= width <= 4 else None
+            if more is None:
+                return None
+            at, n = at + width, int.from_bytes(more, "big")
+        return (tag, at, at + n) if at + n <= self.room else None
+
+    def der_end(self) -> int | None:
+        """Bytes of the private key that starts here, if the heads of its items fit into each other."""
+        top = self.head(0)
+        if top is None or top[0] != 0x30 or self.read(top[1], 2) != b"\x02\x01":
+            return None
+        at, count = top[1], 0
+        while at < top[2]:
+            item = self.head(at)
+            if item is None or item[2] > top[2]:
+                return None
+            at, count = item[2], count + 1
+            if count > 16:
+                return None
+        return top[2] if count > 1 else None
+
+    def openssh_end(self) -> int | None:
+        """Bytes of the OpenSSH container that starts here, by the lengths of its fields."""
+        at = len(MAGIC)
+        if self.read(0, at) != MAGIC:
+            return None
+        for k in range(4):
+            size = self.read(at, 4)
+            if size is None:
+                return None
+            n = int.from_bytes(size, "big")
+            if k == 3:
+                count, at = n, at + 4
+                break
+            at += 4 + n
+        if not 1 <= count <= 16:
+            return None
+        for _ in range(count + 1):
+            size = self.read(at, 4)
+            if size is None:
+                return None
+            at += 4 + int.from_bytes(size, "big")
+        return at if at <= self.room else None
+
+
+#: Where the encoding of a DER sequence (byte 0x30) or of the OpenSSH magic can start.
+KEY_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
+
+
+def keys_inside(run: str) -> list[tuple[int, int]]:
+    """Places (start, end) of private keys inside a run of base64 characters, left to right without overlap.
+
+    Heads are walked before anything longer is decoded, so a run with many places to start costs little for each.
+    """
+    out, at = [], 0
+    while m := KEY_START.search(run, at):
+        here = Run(run, m.start())
+        n = here.der_end() if m[0][0] == "M" else here.openssh_end()
+        if n is not None and is_key(here.read(0, n)):
+            at = m.start() + 4 * (n // 3) + (0, 2, 3)[n % 3]
+            tail = run[at : at + 2]
+            at += min(len(tail) - len(tail.lstrip("=")), -n % 3)
+            out.append((m.start(), at))
+        else:
+            at = m.start() + 1
+    return out
 
 
 def inner_kind(data: bytes | None) -> str | None:
@@ -134,17 +238,19 @@ def inner_kind(data: bytes | None) -> str | None:
         return "der"
     if data and data.startswith((b"-----BEGIN ", b"eyJ")):
         text = data.decode("latin-1")
-        if (m := PEM.match(text)) and is_pem(m[1], m[2]):
+        if (m := PEM.match(text)) and is_pem(m[1], m[3], m[2]):
             return "pem"
         if (m := JWT.match(text)) and is_jwt(m[0]):
             return "jwt"
     return None
 
 
-def is_pem(label: str, body: str) -> bool:
+def is_pem(label: str, body: str, head: str = "") -> bool:
     data = unbase64(re.sub(rf"\s+|{_ESCAPE}", lambda m: "/" if m[0].endswith("/") else "", body))
     if data is None:
         return False
+    if "ENCRYPTED" in head and "DEK-Info" in head:
+        return len(data) >= 16 and len(data) % 8 == 0
     if label == "ENCRYPTED PRIVATE KEY":
         top = der_items(data)
         inner = der_items(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
@@ -165,7 +271,7 @@ def is_jwt(token: str) -> bool:
         if not isinstance(header, dict) or not isinstance(header.get("alg"), str):
             return False
         return "enc" in header or isinstance(json.loads(payload or b""), dict)
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, UnicodeDecodeError, RecursionError):
         return False
 
 
@@ -229,26 +335,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Cover:
+    """Whether a place lies in one of the spans."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends, end = [], [], 0
+        for a, b, _ in sorted(spans):
+            end = max(end, b)
+            self.starts.append(a)
+            self.ends.append(end)
+
+    def has(self, at: int) -> bool:
+        k = bisect_right(self.starts, at)
+        return k > 0 and at < self.ends[k - 1]
+
+
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     """What the structural confirmation adds; every reported span has parsed."""
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_pem(m[1], m[2])]
+        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_pem(m[1], m[3], m[2])]
     if "AAAA" in text:
         out += [(m.start(), m.end(), "ssh") for m in SSH.finditer(text) if is_ssh(m[1], m[2])]
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
-    inside = list(out)
     if "\n" in text or "\r" in text or "\\" in text:
-        out += [s for s in wrapped_spans(text) if not any(a <= s[0] < b for a, b, _ in inside)]
-        inside = list(out)
+        inside = Cover(out)
+        out += [x for x in wrapped_spans(text) if not inside.has(x[0])]
+    inside = Cover(out)
     for m in BLOB.finditer(text):
-        if any(a <= m.start() < b for a, b, _ in inside):
+        if inside.has(m.start()):
             continue
         if kind := inner_kind(unbase64(m[0])):
             out.append((m.start(), m.end(), kind))
         elif m[0][0] in "nrt" and m.start() and text[m.start() - 1] == "\\" and (kind := inner_kind(unbase64(m[0][1:]))):
             out.append((m.start() + 1, m.end(), kind))
+        else:
+            out += [(m.start() + a, m.start() + b, "der") for a, b in keys_inside(m[0])]
     for m in HEXRUN.finditer(text):
         # The run itself, or without a digit before or after it that isn't part of it.
         n = len(m[0])
@@ -299,8 +422,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact_text(text: str | None) -> str | None:
-    """The text with every reported span (overlaps merged) replaced by a marker of its first kind."""
-    _, spans = all_spans(text)
+    """The text with every reported span but public keys (overlaps merged) replaced by a marker of its first kind."""
+    spans = [s for s in all_spans(text)[1] if s[2] != "ssh"]
     if not spans:
         return text
     out, at = [], 0
@@ -319,15 +442,15 @@ def redact_text(text: str | None) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with reported spans replaced; ``n_chars``, if there, follows the new text."""
     keys = [c for c in docs.columns if c != text_col]
+    new = free_name(docs.columns, "new")
 
     def make():
-        return lambda texts: {"__new": [redact_text(t) for t in texts]}
+        return lambda texts: {new: [redact_text(t) for t in texts]}
 
-    got = map_rows(docs, keys, text_col, make, T.StructType([T.StructField("__new", T.StringType())]))
-    got = got.withColumnRenamed("__new", text_col)
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    got = map_rows(docs, keys, text_col, make, T.StructType([T.StructField(new, T.StringType())]))
+    size = F.char_length(F.col(f"`{new}`"))
+    out = {text_col: F.col(f"`{new}`")} | ({"n_chars": size.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return got.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

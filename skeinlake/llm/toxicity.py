@@ -20,6 +20,7 @@ parts; null ids keep their rows; repeated rows score alike.
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, labelled_sample, map_rows
+from .common import crc_bucket, free_name, labelled_sample, map_rows
 
 ORDER = 4
 DECAY = 0.7
@@ -172,13 +173,17 @@ class Words(dict):
         return got
 
 
+#: White space other than spaces and line ends: tabs, carriage returns, no-break spaces.
+BLANK = re.compile(r"[^\S\n ]")
+
+
 def ends_sentence(token: str) -> bool:
     return token[-1] in ".!?" or token == "\n"
 
 
 def split_tokens(text: str | None) -> list[str]:
-    """Lower-case tokens between white space, line ends being tokens of their own."""
-    return (text or "").lower().replace("\n", " \n ").split(" ") if text else []
+    """Lower-case tokens between white space of any kind, line ends being tokens of their own."""
+    return BLANK.sub(" ", text.lower()).replace("\n", " \n ").split(" ") if text else []
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -445,31 +450,28 @@ def train_once(texts: list[str | None], labels: np.ndarray, landmarks: list[str]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on about ``per_class`` documents of each label (the documented bound of the sample)."""
-    known, rows = labelled_sample(docs, labels, label_col, per_class, id_col, text_col)
+    """Fit on about ``per_class`` documents of each label (the documented bound of the sample). Labels above 0 count as
+    1, all others as 0."""
+    known, rows = labelled_sample(docs, labels.withColumn(label_col, (F.col(f"`{label_col}`") > 0).cast("int")), label_col, per_class, id_col, text_col)
     share = known.agg(F.avg((F.col(label_col) > 0).cast("double"))).first()[0]
     return train(rows[text_col].tolist(), rows[label_col].to_numpy() > 0, share)
 
 
-SCORE = T.StructType([T.StructField("score", T.DoubleType())])
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The id (or the columns ``keep``) and the score of each document. Map-only."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The id (or the columns ``keep``) and the score of each document, in the column ``name``. Map-only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         scorer = shared.value.scorer()
-        return lambda texts: {"score": scorer.score(texts)}
+        return lambda texts: {name: scorer.score(texts)}
 
-    return map_rows(docs, keep or [id_col], text_col, make, SCORE)
+    return map_rows(docs, keep or [id_col], text_col, make, T.StructType([T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, at: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score below ``at``, all columns as they were."""
-    marked = docs.withColumnRenamed("score", "__own_score") if "score" in docs.columns else docs
-    got = score(marked, model, id_col, text_col, marked.columns).filter(F.col("score") < at).drop("score")
-    return got.withColumnRenamed("__own_score", "score") if marked is not docs else got
+    name = free_name(docs.columns, "score")
+    return score(docs, model, id_col, text_col, docs.columns, name).filter(F.col(f"`{name}`") < at).drop(name)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
