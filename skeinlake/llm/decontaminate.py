@@ -1,18 +1,20 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are compared as lower-cased runs of letters and digits, and as single letters in scripts
-without spaces. A shared seed of SEED tokens makes
-a candidate pair; around the seeds the pair is tiled: the longest matches of unmarked tokens, found by running
-Karp-Rabin hashes of falling length, are marked again and again, so reordered passages still cover the item. A pair is
-a leak if the tiles cover at least ``threshold`` of the item's tokens.
+without spaces. A shared seed of SEED tokens makes a candidate pair, and the whole document is tiled with the whole item:
+the longest matches of unmarked tokens, found by running Karp-Rabin hashes of falling length, are marked again and
+again, so reordered passages still cover the item. A pair is a leak if the tiles cover at least ``threshold`` of the
+item's tokens. Items below SEED tokens have no seed: such an item is a leak of the documents that hold it whole.
 
 The benchmark is the query set and is taken in blocks of bounded size: each block's seeds are broadcast and every
 document is read whole. Nothing is shuffled, no pair that shares no seed is formed, and a passage shared by many
-documents costs each of them one tiling.
+documents costs each of them one tiling. Tiling keeps arrays of the length of the text and the item, never their
+pairs, so repeated tokens cost no more than others.
 
-Defined edge results: null and empty texts and items have no tokens and no leaks; items of fewer than SEED tokens are
-not evidence and match nothing; repeated items and repeated rows are reported each; null ids keep their rows; empty
-tables give no rows.
+Defined edge results: null, empty and letterless texts and items have no tokens and no leaks; repeated items and
+repeated rows are reported each; of matches of one length that with the smallest place in the item, then in the text, is
+marked first; null ids keep their rows; very long texts are tiled whole; columns of any other name are kept by
+``drop_leaks`` and not read by ``find_leaks``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import free_name, map_rows, materialize
 
 #: Han, Kana, Thai, Lao, Myanmar and Khmer, which write without spaces: each letter is a token of its own.
 _ALONE = "\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
@@ -51,155 +53,197 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def tile(text: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+#: Inverse of PRIME modulo 2^64.
+INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Running:
+    """Karp-Rabin hashes of the unmarked windows of one sequence, for any length, from running sums."""
+
+    def __init__(self, ids: np.ndarray, marked: np.ndarray):
+        n = len(ids)
+        powers = np.ones(n + 1, np.uint64)
+        np.multiply.accumulate(np.full(n, PRIME), out=powers[1:])
+        self.back = np.ones(n + 1, np.uint64)
+        np.multiply.accumulate(np.full(n, INVERSE), out=self.back[1:])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * SPREAD * powers[:n], out=self.sums[1:])
+        self.ids, self.marked = ids, marked
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows without a marked token."""
+        n = len(self.ids) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        bad = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(bad[length:] == bad[:n])
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+    def longest(self) -> int:
+        """Length of the longest unmarked run."""
+        edges = np.flatnonzero(np.concatenate([[True], self.marked, [True]]))
+        return int(np.diff(edges).max()) - 1 if len(edges) > 1 else 0
+
+
+def tile(text, item, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (text start, item start, length) of non-overlapping longest matches, in marking order.
 
-    Token 0 of ``text`` matches nothing. Each round takes a search length, hashes the item's unmarked windows of it,
-    runs over the text's unmarked windows, extends equal ones, and marks from the longest down; a match much longer
-    than the search length restarts the round with its length.
+    Token 0 of ``text`` matches nothing. The greatest length at which unmarked windows of both agree is found by
+    bisection, as a match of some length holds one of each smaller length; then all matches of that length are marked.
     """
-    used_t, used_i, tiles = [t == 0 for t in text], [False] * len(item), []
-    search = max(least, min(20, len(item)))
+    x, y = np.asarray(text, np.int64), np.asarray(item, np.int64)
+    a, b, tiles = Running(x, x == 0), Running(y, np.zeros(len(y), bool)), []
+    high = min(len(x), len(y))
     while True:
-        table = defaultdict(list)
-        for h, p in running(item, used_i, search):
-            table[h].append(p)
-        matches, longer = defaultdict(list), 0
-        for h, t in running(text, used_t, search):
-            for p in table.get(h, ()):
-                k = 0
-                while t + k < len(text) and p + k < len(item) and not used_t[t + k] and not used_i[p + k] and text[t + k] == item[p + k]:
-                    k += 1
-                if k >= search:
-                    matches[k].append((p, t))
-                    longer = max(longer, k)
-        if longer > 2 * search:
-            search = longer
+        high = min(high, a.longest(), b.longest())
+        low = least - 1
+        probe = high  # a copy in one piece is found at once
+        while low < high:
+            if np.isin(b.windows(probe)[1], a.windows(probe)[1]).any():
+                low = probe
+            else:
+                high = probe - 1
+            probe = (low + high + 1) // 2
+        if low < least:
+            return tiles
+        tiles += mark(a, b, low)
+        high = low - 1
+
+
+def mark(a: Running, b: Running, length: int) -> list[tuple[int, int, int]]:
+    """Mark all matches of ``length``, by place in the item, then in the text."""
+    at, h = a.windows(length)
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    out, next_free = [], {}
+    for p, x in zip(*(v.tolist() for v in b.windows(length)), strict=True):
+        if b.marked[p : p + length].any():
             continue
-        covered = False
-        for k in sorted(matches, reverse=True):
-            for p, t in matches[k]:
-                if not any(used_t[t : t + k]) and not any(used_i[p : p + k]):
-                    used_t[t : t + k] = used_i[p : p + k] = [True] * k
-                    tiles.append((t, p, k))
-                else:
-                    covered = True
-        # What a longer tile left of a match is looked for again at the same length.
-        if not covered:
-            if search == least:
-                return tiles
-            search = max(least, search // 2)
-
-
-def running(ids: list[int], used: list[bool], length: int):
-    """(hash, start) of each window of unmarked ids, each hash from the one before it."""
-    base, mod = 257, (1 << 61) - 1
-    top = pow(base, length - 1, mod)
-    h = run = 0
-    for i, x in enumerate(ids):
-        if used[i]:
-            h = run = 0
-            continue
-        if run == length:
-            h = (h - (ids[i - length] + 1) * top) % mod
-            run -= 1
-        h = (h * base + x + 1) % mod
-        run += 1
-        if run == length:
-            yield h, i - length + 1
+        k, end = next_free.get(x) or (int(np.searchsorted(h, np.uint64(x))), int(np.searchsorted(h, np.uint64(x), side="right")))
+        while k < end:
+            t = int(at[k])
+            used = np.flatnonzero(a.marked[t : t + length])
+            if len(used):  # on to the first place behind the last mark in the way
+                k += int(np.searchsorted(at[k:end], t + int(used[-1]) + 1))
+            elif not np.array_equal(a.ids[t : t + length], b.ids[p : p + length]):
+                k += 1
+            else:
+                a.marked[t : t + length] = b.marked[p : p + length] = True
+                out.append((t, p, length))
+                break
+        next_free[x] = (k, end)
+    return out
 
 
 class Index:
-    """Seeds of one block of items."""
+    """Seeds of one block of items: windows of SEED tokens, or a shorter item as a whole."""
 
     def __init__(self, items: list[tuple]):
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[object, list[int]]] = []
-        postings = []
+        self.items: list[tuple[object, np.ndarray]] = []
+        seeds: dict[int, list] = defaultdict(list)
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
-            if len(ids) < SEED:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], np.int64)
+            if not len(ids):
                 continue
-            n = len(self.items)
+            width = min(SEED, len(ids))
+            seeds[width].append((window_hashes(ids.astype(np.uint64), width), len(self.items)))
             self.items.append((item_id, ids))
-            postings.append((window_hashes(np.array(ids, np.uint64), SEED), n))
-        hashes = np.concatenate([p[0] for p in postings] or [np.zeros(0, np.uint64)])
-        owner = np.concatenate([np.full(len(p[0]), p[1]) for p in postings] or [np.zeros(0, np.int64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order]
+        self.seeds = {}
+        for width, found in seeds.items():
+            hashes = np.concatenate([h for h, _ in found])
+            owner = np.concatenate([np.full(len(h), n) for h, n in found])
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[width] = hashes[order], owner[order]
 
     def leaks(self, texts: list[str | None], threshold: float) -> list[list[tuple]]:
         """Per text: (item id, coverage, matched tokens, item tokens, tiles, longest tile) of each leak."""
         get = self.vocabulary.get
         out: list[list[tuple]] = [[] for _ in texts]
-        if not len(self.hashes):
+        if not self.items:
             return out
         lists, base = [], [0]
         for text in texts:
-            ids = [get(w, 0) for w in tokens(text)]
-            lists.append(ids)
-            base.append(base[-1] + len(ids) + SEED)
+            lists.append(np.array([get(w, 0) for w in tokens(text)], np.int64))
+            base.append(base[-1] + len(lists[-1]) + SEED)
         flat = np.zeros(base[-1] + SEED, np.uint64)
         for ids, at in zip(lists, base, strict=False):
             flat[at : at + len(ids)] = ids
         known = np.concatenate([[0], np.cumsum(flat != 0)])
-        at = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
-        if not len(at):
-            return out
-        h = np.zeros(len(at), np.uint64)
-        for k in range(SEED):
-            h = h * PRIME + flat[at + k]
-        low = np.searchsorted(self.hashes, h)
-        high = np.searchsorted(self.hashes, h, side="right")
-        hit = high > low
-        doc = np.searchsorted(base, at[hit], side="right") - 1
-        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, p, a, b in zip(doc.tolist(), at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-            for n in set(self.owner[a:b].tolist()):
-                pairs[d, n].append(p - base[d])
-        for (d, n), seeds in sorted(pairs.items()):
+        for d, n in sorted(pair for width in self.seeds for pair in self.pairs(width, flat, known, base)):
             item_id, item = self.items[n]
-            tiles = tile(region(lists[d], seeds, len(item)), item)
+            if len(item) < SEED:
+                text = lists[d]
+                if any(np.array_equal(text[t : t + len(item)], item) for t in np.flatnonzero(text[: len(text) - len(item) + 1] == item[0])):
+                    out[d].append((item_id, 1.0, len(item), len(item), 1, len(item)))
+                continue
+            text = shared_runs(lists[d], item)
+            if np.isin(item, text).sum() < threshold * len(item):
+                continue
+            tiles = tile(text, item)
             matched = sum(t[2] for t in tiles)
             if matched >= threshold * len(item):
                 out[d].append((item_id, matched / len(item), matched, len(item), len(tiles), max(t[2] for t in tiles)))
         return out
 
-
-def region(ids: list[int], seeds: list[int], reach: int) -> list[int]:
-    """The tokens within ``reach`` of a seed, pieces set apart by a 0; what lies farther off shares no seed."""
-    out: list[int] = []
-    end = 0
-    for p in seeds:
-        a, b = max(p - reach, end), min(p + SEED + reach, len(ids))
-        if a > end and out:
-            out.append(0)
-        if b > a:
-            out += ids[a:b]
-            end = b
-    return out
+    def pairs(self, width: int, flat: np.ndarray, known: np.ndarray, base: list[int], step: int = 1 << 20) -> set[tuple[int, int]]:
+        """(text, item) of every shared seed of this width."""
+        hashes, owner = self.seeds[width]
+        at = np.flatnonzero(known[width:] - known[:-width] == width)
+        if not len(at):
+            return set()
+        h = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            h = h * PRIME + flat[at + k]
+        low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        hit = high > low
+        doc = np.searchsorted(base, at[hit], side="right") - 1
+        # One look at each distinct seed of a text, however often it is repeated.
+        seen = np.unique(np.stack([doc, low[hit], high[hit]], 1), axis=0)
+        found: set[tuple[int, int]] = set()
+        ends = np.cumsum(seen[:, 2] - seen[:, 1])
+        for k in range(0, int(ends[-1]) if len(ends) else 0, step):
+            place = np.arange(k, min(k + step, int(ends[-1])))
+            row = np.searchsorted(ends, place, side="right")
+            mine = owner[seen[row, 1] + place - (ends[row] - (seen[row, 2] - seen[row, 1]))]
+            found.update(map(tuple, np.unique(np.stack([seen[row, 0], mine], 1), axis=0).tolist()))
+        return found
+
+
+def shared_runs(text: np.ndarray, item: np.ndarray, least: int = TILE) -> np.ndarray:
+    """The runs of at least ``least`` tokens of the item in the text, set apart by a 0: no tile lies outside them."""
+    edge = np.diff(np.concatenate([[0], np.isin(text, item).astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = ends - starts >= least
+    parts = [v for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True) for v in (text[a:b], [0])]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS):
-    """The items in blocks of about ``block_chars`` characters, by the hash of the id; each is brought in on its own."""
+    """(block, whether it is the last): the items in blocks of about ``block_chars`` characters, by the hash of the id and
+    text; each is brought in on its own."""
     items = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
     for b in range(blocks):
-        part = F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.lit("block")), F.lit(blocks)) == b
-        yield Index([(r.item_id, r.text) for r in items.filter(part).orderBy("item_id", "text").collect()])
+        part = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text", F.lit("block")), F.lit(blocks)) == b
+        yield Index([(r.item_id, r.text) for r in items.filter(part).orderBy("item_id", "text").collect()]), b + 1 == blocks
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """One row per leak: document id, item_id, coverage, matched and item tokens, number of tiles, longest tile."""
+    """One row per leak: document id, item_id, coverage, matched and item tokens, number of tiles, longest tile.
+
+    Of several blocks each but the last is worked off and its broadcast released before the next is brought in.
+    """
     leak = T.StructType(
         [T.StructField("item_id", benchmark.schema[item_id_col].dataType), T.StructField("coverage", T.DoubleType())]
         + [T.StructField(n, T.LongType()) for n in ("matched_tokens", "item_tokens", "n_tiles", "longest_tile")]
     )
     names, out = leak.names, None
-    for index in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
+    for index, last in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared):
@@ -207,20 +251,29 @@ def find_leaks(
 
         got = map_rows(docs, [id_col], text_col, make, T.StructType([T.StructField("leaks", T.ArrayType(leak))]))
         got = got.select(id_col, F.explode("leaks").alias("x")).select(id_col, "x.*")
+        if not last:
+            got = materialize(got)
+            shared.destroy()
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents without a leak, all columns as they were."""
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The documents without a leak, all columns as they were. Blocks are worked off as in ``find_leaks``."""
     columns = docs.columns
-    for index in item_blocks(benchmark, item_id_col, item_text_col):
+    mark = free_name(columns, "leak")
+    for index, last in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared):
-            return lambda texts: {"__leak": [bool(found) for found in shared.value.leaks(texts, threshold)]}
+            return lambda texts: {mark: [bool(found) for found in shared.value.leaks(texts, threshold)]}
 
-        docs = map_rows(docs, columns, text_col, make, T.StructType([T.StructField("__leak", T.BooleanType())])).filter("not __leak").drop("__leak")
+        docs = map_rows(docs, columns, text_col, make, T.StructType([T.StructField(mark, T.BooleanType())])).filter(~F.col(mark)).drop(mark)
+        if not last:
+            docs = materialize(docs)
+            shared.destroy()
     return docs
 
 
