@@ -2,15 +2,21 @@
 
 Records are ordered by (group key, row key), where the group key is the hash of the text and the row key that of the
 id, so equal texts are neighbours. A size-weighted sample of keys gives quantile boundaries of many small ranges; a
-boundary inside a small group moves to the group's start, and a group that holds several boundaries is hot and is cut
-at them by row key. Ranges that turn out overfull are subdivided. Exact running sizes within ranges plus the sizes of
-the ranges before give each record's place in the global order, and shards are equal parts of the total size.
+boundary always stands at the start of a group, and a group that holds several is a range of its own. Ranges that turn
+out overfull by rows are subdivided into cells: by the hash of the group, and a group that alone overfills a cell by the
+hash of its rows. Exact running sizes within cells plus the sizes of the cells before give each record's place in the
+global order, and shards are equal parts of the total size.
 
 Equal texts share a shard unless their group is hot (more than ``HOT_SHARE`` of a shard), where staying together would
 break the balance. Sizes of shards differ by at most one undivided group.
 
+The driver and broadcasts hold at most ``MOST_RANGES`` boundaries and ``PER_RANGE`` times as many sampled keys; beyond
+that many ranges, ranges grow and are subdivided, and the cells stay where they are.
+
 Defined edge results: null and empty texts have size 1 and belong to one group; a null id sorts first within its group;
-repeated rows take separate slots; an empty table gives no rows; fewer rows than shards leave shards empty.
+repeated rows, also those with no id at all, take separate slots and spread over cells; a text of any length is one
+record; extra columns are not read, whatever their names; an empty table gives no rows; fewer rows than shards leave
+shards empty.
 """
 
 from __future__ import annotations
@@ -18,20 +24,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
-#: Rows aimed at per range, boundaries sampled per range, and the least number of ranges.
+#: Rows aimed at per range, keys sampled per range, and the least and greatest number of ranges.
 ROWS_PER_RANGE = 50_000
 PER_RANGE = 12
 LEAST_RANGES = 1024
+MOST_RANGES = 1 << 14
 #: A group heavier than this part of a shard may be divided.
 HOT_SHARE = 1 / 32
-#: A range with more than this many times the mean rows is subdivided.
+#: A range with more than this many times the rows aimed at is subdivided.
 OVERFULL = 4
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, crc, g, r): bytes plus 1, unsigned crc32, group key, row key. Reads each text once."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", number: str | None = None) -> DataFrame:
+    """(id, size, crc, g, r, u): bytes plus 1, unsigned crc32, group key, row key, and a number of the row (the column
+    ``number``, or one of its own), which tells rows equal in text and id apart. Reads each text once."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("string")
     return docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -39,102 +47,117 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text, F.lit("group")).alias("g"),
         F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("row")).alias("r"),
+        (F.monotonically_increasing_id() if number is None else F.col(f"`{number}`")).alias("u"),
     )
 
 
-def splitters(rows: DataFrame, ranges: int, total: int) -> list[tuple[int, int | None]]:
-    """Boundaries (g, r) from a size-weighted sample of about ``ranges * PER_RANGE`` keys; r None: the group's start.
+def splitters(rows: DataFrame, ranges: int, total: int) -> list[int]:
+    """Boundaries: group keys at which a range starts, from a size-weighted sample of about ``ranges * PER_RANGE`` keys.
 
-    A row is drawn with probability min(1, size * wanted / total), by the hash of its key. Rows heavier than the
-    sampling step are drawn once per step by repeating them, so quantiles keep their weight.
+    A row is drawn with probability min(1, size * wanted / total), by the hash of its key and number. Rows heavier than
+    the sampling step are drawn once per step by repeating them, so quantiles keep their weight. A group that holds
+    several quantiles gets a boundary before and behind it.
     """
     step = max(1.0, total / (ranges * PER_RANGE))
-    u = F.pmod(F.xxhash64("r", "g", F.lit("draw")), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    u = F.pmod(F.xxhash64("r", "g", "u", F.lit("draw")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     times = F.floor(F.col("size") / F.lit(step) + u)
-    drawn = rows.filter(times > 0).select("g", "r", times.cast("int").alias("n")).collect()
-    keys = sorted(((x.g, x.r, x.n) for x in drawn), key=lambda x: x[:2])
-    weight, cuts, seen = sum(k[2] for k in keys), [], 0
-    for g, r, n in keys:
-        if weight and seen * ranges // weight != (seen + n) * ranges // weight:
-            cuts.append((g, r))
-        seen += n
-    out: list[tuple[int, int | None]] = []
-    for i, (g, r) in enumerate(cuts):
-        inside = i > 0 and cuts[i - 1][0] == g
-        out.append((g, r if inside else None))
-        if inside and (i + 1 == len(cuts) or cuts[i + 1][0] != g) and g < (1 << 63) - 1:
-            out.append((g + 1, None))
-    return sorted(set(out), key=lambda b: (b[0], -(1 << 63) if b[1] is None else b[1]))
-
-
-def with_range(rows: DataFrame, bounds: list[tuple[int, int | None]]) -> DataFrame:
-    """Add ``range``: the number of boundaries at or below the row's key.
-
-    Boundaries are bucketed by the high bits of the group key, so a row compares with the few of its bucket. The
-    lookup has a bounded number of rows: that of the boundaries, which depends on ``ROWS_PER_RANGE``.
+    drawn = rows.filter(times > 0).select("g", times.cast("long").alias("n")).groupBy("g").agg(F.sum("n").alias("n")).collect()
+    weight, cuts, seen = sum(x.n for x in drawn), set(), 0
+    for x in sorted(drawn, key=lambda x: x.g):
+        held = (seen + x.n) * ranges // weight - seen * ranges // weight
+        seen += x.n
+        if held:
+            cuts.add(x.g)
+        if held > 1 and x.g < (1 << 63) - 1:
+            cuts.add(x.g + 1)
+    return sorted(cuts)
+
+
+def with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Add ``range``: the number of boundaries at or below the row's group key.
+
+    Boundaries are bucketed by the high bits of the key, so a row compares with the few of its bucket. The lookup has
+    fewer rows than four times the boundaries, which are at most twice ``MOST_RANGES``.
     """
     spark = rows.sparkSession
     bits = max(1, (max(len(bounds), 1) - 1).bit_length())
-    low = -(1 << 63)
     buckets: dict[int, list] = {b: [] for b in range(-(1 << (bits - 1)), 1 << (bits - 1))}
-    for g, r in bounds:
-        buckets[g >> (64 - bits)].append((g, low if r is None else r))
+    for g in bounds:
+        buckets[g >> (64 - bits)].append(g)
     table, base = [], 0
     for b in sorted(buckets):
         table.append((b, base, buckets[b]))
         base += len(buckets[b])
-    lookup = F.broadcast(spark.createDataFrame(table, "bucket long, base long, bounds array<struct<g:long,r:long>>"))
-    key = F.struct("g", "r")
-    below = F.size(F.filter("bounds", lambda b: b <= key))
+    lookup = F.broadcast(spark.createDataFrame(table, "bucket long, base long, bounds array<long>"))
+    below = F.size(F.filter("bounds", lambda b: b <= F.col("g")))
     return (
         rows.withColumn("bucket", F.shiftright("g", 64 - bits).cast("long"))
         .join(lookup, "bucket")
-        .withColumn("range", F.col("base") + below)
+        .withColumn("range", (F.col("base") + below).cast("long"))
         .drop("bucket", "base", "bounds")
     )
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per record: id, size, crc, g, shard, slot; shards get equal parts of the total size."""
-    rows = materialize(keyed(docs, id_col, text_col))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(LEAST_RANGES, n // ROWS_PER_RANGE)
-    ranged = with_range(rows, splitters(rows, ranges, total))
-    full = ranged.groupBy("range").agg(F.count("*").alias("n"), F.countDistinct("g").alias("groups"))
-    limit = max(1, OVERFULL * n // ranges)
-    # Overfull: into parts by the group's hash, or by the row's where the range is a slice of one hot group.
-    full = full.filter(F.col("n") > limit).select("range", (F.ceil(F.col("n") / limit)).cast("int").alias("parts"), "groups")
+def with_cell(ranged: DataFrame, limit: int) -> DataFrame:
+    """Add ``part``, the cell within the range, and ``hot``: the size of a group that has cells of its own, else null.
+
+    A range of more than ``limit`` rows has cells by the hash of the group. Behind them follow, in the order of their
+    keys, the cells of each group that has more than ``limit`` rows itself, by the hash of the row.
+    """
+    full = ranged.groupBy("range").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    full = full.select("range", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    # Fewer overfull ranges than ranges, so this table has a bound of its own.
     ranged = ranged.join(F.broadcast(full), "range", "left")
-    by = F.when(F.col("groups") > 1, F.xxhash64("g", F.lit("part"))).otherwise(F.xxhash64("r", F.lit("part")))
-    placed = materialize(ranged.withColumn("part", F.coalesce(F.pmod(by, F.col("parts")), F.lit(0))).drop("parts", "groups"))
+    inside = ranged.filter("parts is not null")
+    groups = inside.groupBy("range", "g").agg(F.count("*").alias("gn"), F.sum("size").alias("hot"), F.max("parts").alias("parts")).filter(F.col("gn") > limit)
+    groups = groups.withColumn("own", F.ceil(F.col("gn") / limit).cast("int"))
+    before = Window.partitionBy("range").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("range", "g", "hot", "own", (F.col("parts") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int").alias("first"))
+    placed = ranged.join(groups, ["range", "g"], "left")
+    mixed = F.pmod(F.xxhash64("g", F.lit("part")), F.col("parts"))
+    lone = F.col("first") + F.pmod(F.xxhash64("r", "u", F.lit("part")), F.col("own"))
+    return placed.withColumn("part", F.coalesce(lone, mixed, F.lit(0)).cast("int")).drop("parts", "own")
+
+
+def places(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (of ``keyed``, materialized) with shard and slot."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, n // ROWS_PER_RANGE))
+    limit = max(1, OVERFULL * min(n // ranges, ROWS_PER_RANGE))
+    placed = materialize(with_cell(with_range(rows, splitters(rows, ranges, total)), limit))
 
     cell = ["range", "part"]
     sums = placed.groupBy(*cell).agg(F.count("*").alias("cn"), F.sum("size").alias("cs"))
-    sums = sums.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("part", "cn", "cs"))).alias("parts"), F.sum("cn").alias("rn"), F.sum("cs").alias("rs"))
-    # One row per range: the running totals go over the ranges, whose number doesn't follow that of the rows in a task.
-    over = _running(sums, ["rn", "rs"])
-    cells = over.select("range", "rn_before", "rs_before", "parts", F.posexplode("parts").alias("at", "c")).select(
-        "range",
-        F.col("c.part").alias("part"),
-        (F.col("rn_before") + F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["cn"])).alias("n_before"),
-        (F.col("rs_before") + F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["cs"])).alias("s_before"),
-    )
-    order = Window.partitionBy(*cell).orderBy("g", "r", "id", "size", "crc")
+    within = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inner = [F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"{c}_before") for c in ("cn", "cs")]
+    # One row per range: the running totals go over the ranges, whose number is bounded.
+    over = _running(sums.groupBy("range").agg(F.sum("cn").alias("rn"), F.sum("cs").alias("rs")), ["rn", "rs"])
+    cells = sums.select(*cell, *inner).join(over, "range").select(*cell, (F.col("rn_before") + F.col("cn_before")).alias("n_before"), (F.col("rs_before") + F.col("cs_before")).alias("s_before"))
+    cells = materialize(cells)
+    order = Window.partitionBy(*cell).orderBy("g", "r", "u")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = placed.join(cells, cell).select(
         "*",
         (F.col("n_before") + F.row_number().over(order) - 1).alias("place"),
         (F.col("s_before") + F.sum("size").over(upto) - F.col("size")).alias("s_own"),
     )
+    # A group lies in one cell, or has cells of its own: then its size is known and it starts with the first of them.
     group = Window.partitionBy(*cell, "g")
-    inner = inner.withColumn("s_group", F.min("s_own").over(group)).withColumn("weight", F.sum("size").over(group))
+    inner = inner.withColumn("s_group", F.min("s_own").over(group)).withColumn("weight", F.coalesce("hot", F.sum("size").over(group)))
+    starts = cells.select("range", F.col("part").alias("first"), F.col("s_before").alias("s_first"))
+    inner = inner.join(starts, ["range", "first"], "left")
     aim = max(1.0, total / shards)
-    start = F.when(F.col("weight") > F.lit(aim * HOT_SHARE), F.col("s_own")).otherwise(F.col("s_group"))
+    start = F.when(F.col("weight") > F.lit(aim * HOT_SHARE), F.col("s_own")).otherwise(F.coalesce("s_first", "s_group"))
     held = materialize(
-        inner.select("id", "size", "crc", "g", "place", F.least(F.floor(start / F.lit(aim)), F.lit(shards - 1)).cast("int").alias("shard"))
+        inner.select("id", "size", "crc", "g", "u", "place", F.least(F.floor(start / F.lit(aim)), F.lit(shards - 1)).cast("int").alias("shard"))
     )
-    first = held.groupBy("shard").agg(F.min("place").alias("first"))  # at most ``shards`` rows
-    return held.join(F.broadcast(first), "shard").select("id", "size", "crc", "g", "shard", (F.col("place") - F.col("first")).alias("slot"))
+    first = held.groupBy("shard").agg(F.min("place").alias("lowest"))  # at most ``shards`` rows
+    return held.join(F.broadcast(first), "shard").select("id", "size", "crc", "g", "u", "shard", (F.col("place") - F.col("lowest")).alias("slot"))
+
+
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per record: id, size, crc, g, shard, slot; shards get equal parts of the total size."""
+    return places(materialize(keyed(docs, id_col, text_col)), shards).drop("u")
 
 
 def _running(df: DataFrame, cols: list[str], block: int = 512) -> DataFrame:
@@ -149,9 +172,17 @@ def _running(df: DataFrame, cols: list[str], block: int = 512) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents to one folder per shard. Ids must be unique and not null, as the shard is joined back by id."""
-    placed = shard(docs, shards, id_col, text_col).select(F.col("id").alias(id_col), "shard", "slot")
-    docs.join(placed, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the documents, all columns, with ``shard`` and ``slot``, to one folder per shard.
+
+    The documents are written once with a number for each row, and places are joined back by that number, so null and
+    repeated ids keep all their rows.
+    """
+    row = free_name([*docs.columns, "shard", "slot"], "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    keys = materialize(keyed(numbered, id_col, text_col, row))
+    placed = places(keys, shards).select(F.col("u").alias(row), "shard", "slot")
+    out = numbered.join(placed, row).drop(row)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
