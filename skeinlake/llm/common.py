@@ -86,6 +86,21 @@ def split_batch(batch: pa.RecordBatch, text_index: int) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
+#: A key with more rows than this is joined by broadcast.
+HOT_ROWS = 1_000_000
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the other columns of ``named``, which has one row for each ``key`` and counts them in ``rows``.
+
+    Keys with more than ``hot_rows`` rows, of which there are fewer than rows / ``hot_rows``, are broadcast, so no task
+    gets them as a whole; the others are shuffled.
+    """
+    hot = named.filter(F.col("rows") > hot_rows)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.filter(F.col("rows") <= hot_rows), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key)).drop("rows")
+
+
 def crc_bucket(col: F.Column, mod: int) -> F.Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: remainder of the empty string, 0)."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -1,18 +1,20 @@
-"""Near copies by set similarity of word shingles: MinHash bands propose, exact Jaccard decides.
+"""Near copies by set similarity of word shingles: the part of the SimHash operator that takes a similarity.
 
-Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of ``least`` or more. Texts with
-the same set are collapsed first. BANDS keys of ROWS minima each put a pair at 0.8 into at least one common group but
-for 6 in 100,000, and more similar pairs more surely. The proposed links only form provisional components; inside these
-every link is decided on the whole sets: first each member against the component's smallest id, then the members that
-aren't linked to it against all others. So no link rests on an estimate, and a group of mutual near copies costs one
-comparison a member.
+Two texts are linked if the sets of their shingles have a Jaccard similarity of ``least`` or more. Texts with the same
+set are collapsed first; the others get a SimHash fingerprint of their distinct shingles. Groups in which such texts meet
+come from MinHash bands, as bit blocks can't give them: at 0.8, fingerprints differ by some ten bits and up to twice
+that, and no choice of blocks that such a pair must share tells unrelated texts apart. BANDS keys of ROWS minima put a
+pair at 0.8 into at least one common group but for 6 in 100,000. Each group is searched with the Gray-order index at
+BOUND bits, which leaves out fewer still.
 
-A bit bound on 64-bit SimHash can't take this place: pairs at 0.8 are up to 17 bits apart in the given tables, and at
-that bound unrelated texts agree on as many bits as the blocks of the index could ask for.
+What the index proposes only forms provisional components; inside these every link is decided on the whole sets: first
+each member against the component's smallest id, then the members that aren't linked to it against all others. So no link
+rests on an estimate, and a group of mutual near copies costs one comparison a member.
 
 Defined edge results: null, empty and word-less texts have the empty set and are copies of each other; fewer words than
-a shingle form one shingle; a null id keeps its row but has no part in component ids; repeated rows share a component;
-an empty table gives no rows.
+a shingle form one shingle; texts of any length are read whole; a null id keeps its row but has no part in component
+ids; repeated rows share a component, and an id that has several texts is linked by any of them; extra columns are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_code
-from .common import map_rows, materialize
+from .common import join_named, map_rows, materialize
 from .components import components
+from .simhash import links, majority, near_duplicates, signed
 
 SHINGLE = 5
+SEED = 42
 LEAST = 0.8
 BANDS, ROWS = 32, 6
+#: Bits by which the fingerprints of two linked texts are taken to differ at most. The mean at 0.8 is ten to twelve, with
+#: a standard deviation of three.
+BOUND = 24
 #: A comparison holds at most about this many texts and shingles on each side; larger sides are cut, none is dropped.
 SIDE_TEXTS, SIDE_SHINGLES = 1024, 1 << 20
 
@@ -41,7 +48,7 @@ _MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2)
 _BAND = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Sorted distinct XXH64 of the shingles of the lower-cased words."""
     words = " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
     if not words:
@@ -49,7 +56,7 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     ends = [i for i, c in enumerate(words) if c == 32] if len(words) < 64 else np.flatnonzero(np.frombuffer(words, np.uint8) == 32).tolist()
     starts, ends = [0, *(e + 1 for e in ends)], [*ends, len(words)]
     h = xxhash.xxh64_intdigest
-    got = {h(words[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=False)} or {h(words)}
+    got = {h(words[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)} or {h(words, seed)}
     return np.sort(np.fromiter(got, np.uint64, len(got)))
 
 
@@ -72,31 +79,38 @@ def similar(inter, a, b, least: float):
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, digest of the set, its size, band keys). Map-only."""
+    """(id, digest of the set, its size, fingerprint of the set, band keys). Map-only."""
 
     def make():
         def fn(texts):
             sets = [shingle_set(t, shingle) for t in texts]
-            return {"digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+            return {
+                "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
+                "n": [len(s) for s in sets],
+                "fp": [signed(majority(s)) for s in sets],
+                "keys": [band_keys(s) for s in sets],
+            }
 
         return fn
 
-    out = T.StructType([T.StructField("digest", T.StringType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    return map_rows(docs, [id_col], text_col, make, out)
+    fields = [("digest", T.StringType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    return map_rows(docs, [id_col], text_col, make, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def _against_first(batches, shingle: int, least: float):
-    """(id, component, n, near): whether a text is linked to the first of its component."""
-    known, first = None, None
+    """Walk sorted (component, part, side) rows, the component's first text (side 0) before its members:
+    (id, component, n, near), near telling whether a member is linked to the first."""
+    first = np.zeros(0, np.uint64)
     for batch in batches:
-        near = []
-        for text, other in zip(batch.column(3), batch.column(4), strict=True):
-            other = other.as_py()
-            if first is None or other != known:
-                known, first = other, shingle_set(other, shingle)
+        side, near = batch.column(2).to_pylist(), []
+        for k, text in zip(side, batch.column(5), strict=True):
             mine = shingle_set(text.as_py(), shingle)
+            if k == 0:
+                first = mine
             near.append(bool(similar(len(np.intersect1d(mine, first, assume_unique=True)), len(mine), len(first), least)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.bool_())], names=["id", "component", "n", "near"])
+        members = pa.array(side, pa.int32()).to_numpy() > 0
+        out = pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(4), pa.array(near, pa.bool_())], names=["id", "component", "n", "near"])
+        yield out.filter(pa.array(members))
 
 
 def side_links(left: list[np.ndarray], right: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -167,36 +181,46 @@ def _parts(cond) -> F.Column:
 def confirmed(proposed: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Edges (a, b) whose components are those of the exact links within the proposed components.
 
-    ``proposed`` has id, component (its smallest id) and n; ``texts`` has their texts.
+    ``proposed`` has id, component (its smallest id) and n; ``texts`` has (id, text), several rows of an id included.
     """
     ship_code(proposed.sparkSession)
-    firsts = proposed.filter("id = component").select("component").join(texts, F.col("component") == texts["id"]).select("component", F.col("text").alias("other"))
-    both = proposed.filter("id <> component").join(texts, "id").join(firsts, "component").select("id", "component", "n", "text", "other")
-    tried = materialize(both.mapInArrow(lambda b: _against_first(b, shingle, least), "id long, component long, n long, near boolean"))
+    # The first text stands before each part of the other members.
+    sizes = proposed.groupBy("component").agg(F.ceil(F.count("*") / F.lit(SIDE_TEXTS)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("part")
+    members = proposed.filter("id <> component").join(sizes, "component").select("component", part, F.lit(1).alias("side"), "id", "n")
+    heads = sizes.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("component").alias("id"), F.lit(0).cast("long").alias("n"))
+    rows = members.unionByName(heads).join(texts, "id").select("component", "part", "side", "id", "n", "text")
+    rows = rows.repartition("component", "part").sortWithinPartitions("component", "part", "side")
+    tried = materialize(rows.mapInArrow(lambda b: _against_first(b, shingle, least), "id long, component long, n long, near boolean"))
     open_ = tried.groupBy("component").agg(_parts(~F.col("near")).alias("ni"), _parts(F.lit(True)).alias("nj"), F.count_if(~F.col("near")).alias("far"), F.count("*").alias("all"))
     open_ = open_.filter("far > 0 and all > 1")
-    rows = tried.join(open_, "component")
+    left_over = tried.join(open_, "component")
     # The first text has been compared with everyone; of the others, the far ones (left) meet all (right).
     i, j = F.pmod(F.xxhash64("id", F.lit("i")), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit("j")), F.col("nj")).cast("int")
-    left = rows.filter(~F.col("near")).select("component", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "id")
-    right = rows.select("component", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "id")
+    left = left_over.filter(~F.col("near")).select("component", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "id")
+    right = left_over.select("component", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "id")
     group = ["component", "i", "j"]
-    placed = left.unionByName(right).join(texts, "id").select(*group, "side", "id", "text").repartition(*group).sortWithinPartitions(*group, "side")
+    placed = left.unionByName(right).distinct().join(texts, "id").select(*group, "side", "id", "text").repartition(*group).sortWithinPartitions(*group, "side")
     found = placed.mapInArrow(lambda b: _compare(b, shingle, least), "a long, b long")
     return tried.filter("near").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """One row per document: id, component_id (the smallest id reachable over links)."""
+def similar_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, bound: int, least: float) -> DataFrame:
+    """One row per document: id, fp, component_id (the smallest id reachable over links)."""
     rows = materialize(prints(docs, id_col, text_col, shingle))
-    same = materialize(rows.groupBy("digest").agg(F.min(id_col).cast("long").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = same.filter("id is not null").select("id", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    proposed = components(keyed.join(heads, "key").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    same = materialize(
+        rows.groupBy("digest").agg(F.min(id_col).cast("long").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    )
+    keyed = same.filter("id is not null").select("fp", "id", F.posexplode("keys").alias("t", "key"))
+    proposed = components(links(same, bound, keyed=keyed))
     proposed = materialize(proposed.withColumnRenamed("node", "id").join(same.groupBy("id").agg(F.max("n").alias("n")), "id"))
-    # Only texts with a proposed link are read again; an id that has several texts is linked by any of them.
+    # Only texts with a proposed link are read again.
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = materialize(texts.join(proposed.select("id"), "id", "left_semi").distinct())
     found = components(confirmed(proposed, texts, shingle, least))
-    named = same.join(found, same["id"] == found["node"], "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "digest").select(id_col, "component_id")
+    named = same.join(found, same["id"] == found["node"], "left").select("digest", "rows", F.coalesce("component", "id").alias("component_id"))
+    return join_named(rows, named, "digest").select(id_col, "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """One row per document: id, component_id."""
+    return near_duplicates(docs, id_col, text_col, shingle, bound=BOUND, similarity=least).select(id_col, "component_id")

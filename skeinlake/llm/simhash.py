@@ -1,15 +1,19 @@
 """SimHash near-duplicate detection with a Gray-order hierarchical index.
 
 Every text gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are grouped so that each pair within
-the distance bound meets in at least one group (they agree exactly on some choice of bit blocks), and each group is
-searched with a hierarchy built over the fingerprints in Gray order: a node keeps the bits all its members share, a
-child only the further ones, and whole groups are dropped once the accumulated differences pass the bound. A group
-emits a spanning forest, never all its pairs. Oversized groups are cut into chunks and each pair of chunks is its own
-group, so nothing unbounded meets in one task and no pair is lost.
+the distance bound meets in at least one group: they agree exactly on some choice of bit blocks. Each group, of whatever
+size, is searched with a hierarchy built over its fingerprints in Gray order: a node keeps the bits all its members
+share, a child only the further ones, and whole nodes are dropped once the accumulated differences pass the bound, or
+once all their members are connected with the query. A group emits a spanning forest, never all its pairs. Oversized
+groups are cut into chunks and each pair of chunks is its own group, so nothing unbounded meets in one task and no pair
+is lost.
+
+With ``similarity`` given, texts are linked by the Jaccard similarity of their sets of shingles: see ``near_copies``.
 
 Defined edge results: null, empty and word-less texts have fingerprint zero and are linked like any other; fewer words
-than a shingle form one shingle; a null id keeps its row but has no part in component ids; repeated rows share a
-component; an empty table gives no rows.
+than a shingle form one shingle; texts of any length are read whole; ids are whole numbers, other types are an error; a
+null id keeps its row but has no part in component ids; repeated rows share a component; extra columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_code
-from .common import map_rows, materialize
+from .common import join_named, map_rows, materialize
 from .components import components
 
 BITS = 64
 #: A group of more fingerprints than this is cut into chunks of about this many.
 CHUNK = 4096
+#: Nodes under a node.
 FANOUT = 16
 
 
@@ -45,10 +50,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: -shingle]]).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    counts, n = np.zeros(BITS, np.int64), len(starts)
-    for k in range(0, n, 1 << 16):
-        got = np.array([h(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], dtype="<u8")
-        bits = np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return majority(np.array([h(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """The bits set in over half the hashes."""
+    counts, n = np.zeros(BITS, np.int64), len(hashes)
+    for k in range(0, n, step):
+        bits = np.unpackbits(hashes[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(((counts * 2 > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(dtype=np.uint64))
 
@@ -75,97 +84,122 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints in Gray order under a tree of shared masked bits.
+    """Fingerprints of one or several groups in Gray order, under one tree of shared masked bits for each group.
 
-    Level 0 are the fingerprints; each node above covers FANOUT nodes below. ``shared[l]`` marks the bits on which all
-    members of a node agree and ``value[l]`` holds them. A child's residual is what it shares beyond its parent.
+    Level 0 are the fingerprints; each node above covers up to FANOUT nodes below, up to the root of its group.
+    ``shared[l]`` marks the bits on which all members of a node agree and ``value[l]`` holds them. A child's residual is
+    what it shares beyond its parent.
     """
 
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.shared, self.value = [np.full(len(fps), ~np.uint64(0))], [fps[self.order]]
-        while len(self.value[-1]) > FANOUT:
+    def __init__(self, fps: np.ndarray, group: np.ndarray | None = None):
+        group = np.zeros(len(fps), np.int64) if group is None else group
+        self.order = np.lexsort((gray_rank(fps), group))
+        own = group[self.order]
+        self.roots = np.unique(own)
+        self.shared, self.value, self.first = [np.full(len(fps), ~np.uint64(0))], [fps[self.order]], []
+        self.labels: list[np.ndarray] | None = None
+        while not self.first or len(own) > len(self.roots):
             mask, val = self.shared[-1], self.value[-1]
-            at = np.arange(0, len(val), FANOUT)
-            all_and = np.bitwise_and.reduceat(val, at)
-            all_or = np.bitwise_or.reduceat(val, at)
-            agree = np.bitwise_and.reduceat(mask, at) & ~(all_and ^ all_or)
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            at = np.flatnonzero(place % FANOUT == 0)
+            if len(at):
+                all_and, all_or, agree = (f.reduceat(x, at) for f, x in ((np.bitwise_and, val), (np.bitwise_or, val), (np.bitwise_and, mask)))
+            else:
+                all_and = all_or = agree = val
+            agree = agree & ~(all_and ^ all_or)
             self.shared.append(agree)
             self.value.append(all_and & agree)
+            self.first.append(np.append(at, len(own)))
+            own = own[at]
+
+    def label(self, labels: np.ndarray) -> None:
+        """Give each member a label (0 or more); a node has that of its members if it is one, else -1."""
+        self.labels = [labels[self.order]]
+        for first in self.first:
+            low, high = (f.reduceat(self.labels[-1], first[:-1]) for f in (np.minimum, np.maximum))
+            self.labels.append(np.where(low == high, low, -1))
+
+    def links(self, queries: np.ndarray, bound: int, step: int = 1 << 20, group: np.ndarray | None = None, labels: np.ndarray | None = None):
+        """Yield (query index, member index) arrays of all pairs of a group at most ``bound`` bits apart.
+
+        With ``labels`` of the queries, nodes that have the query's label throughout are left out; both kinds of labels
+        may be changed between two yields.
+        """
+        top = len(self.first)
+        if not len(self.roots) or not len(queries):
+            return
+        root = np.zeros(len(queries), np.int64) if group is None else np.searchsorted(self.roots, group)
+        there = np.ones(len(queries), bool) if group is None else self.roots[np.minimum(root, len(self.roots) - 1)] == group
+        todo = []
+        for k in range(0, len(queries), step):
+            q = np.flatnonzero(there[k : k + step]) + k
+            todo.append((top, q, root[q], np.zeros(len(q), np.uint8), None))
+        todo.reverse()
+        while todo:
+            level, who, node, spent, parent = todo.pop()
+            residual = self.shared[level][node]
+            if parent is not None:
+                residual = residual & ~self.shared[level + 1][parent]
+            spent = spent + np.bitwise_count((queries[who] ^ self.value[level][node]) & residual)
+            keep = spent <= bound
+            if labels is not None:
+                keep &= self.labels[level][node] != labels[who]
+            who, node, spent = who[keep], node[keep], spent[keep]
+            if not len(who):
+                continue
+            if level == 0:
+                yield who, self.order[node]
+                continue
+            first = self.first[level - 1]
+            width = max(1, step // FANOUT)
+            for cut in reversed(range(0, len(who), width)):
+                up = node[cut : cut + width]
+                times = first[up + 1] - first[up]
+                ends = np.cumsum(times)
+                child = np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(first[up], times)
+                todo.append((level - 1, np.repeat(who[cut : cut + width], times), child, np.repeat(spent[cut : cut + width], times), np.repeat(up, times)))
+
 
-    def links(self, queries: np.ndarray, bound: int, step: int = 1 << 20):
-        """Yield (query index, member index) arrays of all pairs at most ``bound`` bits apart."""
-        top = len(self.value) - 1
-        width = len(self.value[top])
-        per = max(1, step // max(width, 1))
-        for k in range(0, len(queries), per):
-            q = np.arange(k, min(k + per, len(queries)))
-            todo = [(top, np.repeat(q, width), np.tile(np.arange(width), len(q)), np.zeros(len(q) * width, np.uint8), None)]
-            while todo:
-                level, who, node, spent, parent = todo.pop()
-                residual = self.shared[level][node]
-                if parent is not None:
-                    residual = residual & ~self.shared[level + 1][parent]
-                spent = spent + np.bitwise_count((queries[who] ^ self.value[level][node]) & residual)
-                keep = spent <= bound
-                who, node, spent = who[keep], node[keep], spent[keep]
-                if not len(who):
-                    continue
-                if level == 0:
-                    yield who, self.order[node]
-                    continue
-                below = len(self.value[level - 1])
-                for cut in range(0, len(who), max(1, step // FANOUT)):
-                    end = cut + max(1, step // FANOUT)
-                    child = node[cut:end, None] * FANOUT + np.arange(FANOUT)
-                    ok = child < below
-                    times = ok.sum(axis=1)
-                    todo.append((level - 1, np.repeat(who[cut:end], times), child[ok], np.repeat(spent[cut:end], times), np.repeat(node[cut:end], times)))
-
-
-class Forest:
-    """Union-find over positions; ``join`` keeps the edges that merged something."""
-
-    def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            rx, ry = self.root(x), self.root(y)
-            if rx != ry:
-                self.up[max(rx, ry)] = min(rx, ry)
-                self.edges.append((x, y))
-
-
-def group_links(left: np.ndarray, right: np.ndarray | None, bound: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``left`` (right None), or between ``left`` and ``right``.
-
-    Indexes of ``right`` follow those of ``left``. Neighbours in Gray order are tried first; they connect most of a
-    dense group.
+def forest(fps: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, bound: int, step: int = 1 << 20) -> list[tuple[int, int]]:
+    """Edges that connect all rows whose links lie between the ``left`` and the ``right`` rows of a group.
+
+    ``group`` is sorted. Neighbours in Gray order are linked first; after that a query only looks at nodes that aren't
+    connected with it as a whole, so a dense group doesn't cost its pairs.
     """
-    n = len(left)
-    if right is None:
-        if n <= 32:
-            near = np.bitwise_count(left[:, None] ^ left[None, :]) <= bound
-            a, b = np.nonzero(np.triu(near, 1))
-            forest = Forest(n)
-            forest.join(a, b)
-            return forest.edges
-        index, forest = GrayIndex(left), Forest(n)
-        for a, b in index.links(left, bound):
-            ok = a < b
-            forest.join(a[ok], b[ok])
-        return forest.edges
-    index, forest = GrayIndex(right), Forest(n + len(right))
-    for a, b in index.links(left, bound):
-        forest.join(a, b + n)
-    return forest.edges
+    members, asking = np.flatnonzero(right), np.flatnonzero(left)
+    index = GrayIndex(fps[members], group[members])
+    labels = np.arange(len(fps))
+    chain = members[index.order]
+    a, b = chain[:-1], chain[1:]
+    near = (group[a] == group[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= bound)
+    edges = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
+    if len(chain):
+        labels[chain] = chain[np.maximum.accumulate(np.where(np.append(False, near), 0, np.arange(len(chain))))]
+    index.label(labels[members])
+    own = labels[asking]
+    for x, y in index.links(fps[asking], bound, step, group[asking], own):
+        x, y = asking[x], members[y]
+        pairs, at = np.unique(np.stack([labels[x], labels[y]], 1), axis=0, return_index=True)
+        up: dict[int, int] = {}
+
+        def root(i, up=up):
+            while i in up:
+                i = up[i]
+            return i
+
+        for (p, q), k in zip(pairs.tolist(), at.tolist(), strict=True):
+            p, q = root(p), root(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                edges.append((int(x[k]), int(y[k])))
+        if up:
+            new = np.arange(len(fps))
+            for i in up:
+                new[i] = root(i)
+            labels = new[labels]
+            index.label(labels[members])
+            own[:] = labels[asking]
+    return edges
 
 
 def blocks_for(n: int, bound: int) -> int:
@@ -181,26 +215,39 @@ def tables(blocks: int, bound: int) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - bound)]
 
 
-def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK) -> DataFrame:
+def block_groups(fps: DataFrame, bound: int) -> DataFrame:
+    """(fp, id, t, key): each fingerprint under each choice of bit blocks."""
+    masks = tables(blocks_for(fps.count(), bound), bound)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
+    return fps.select("fp", "id", F.explode(keys).alias("k")).select("fp", "id", "k.t", "k.key")
+
+
+def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK, keyed: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of representatives; ``fps`` has distinct fp and its representative id.
 
-    Every two fingerprints within the bound are connected by emitted edges.
+    Every two fingerprints of a group that are within the bound are connected by emitted edges. The groups are those of
+    the bit blocks, in which every pair within the bound meets, or those of ``keyed`` (fp, id, t, key).
     """
     ship_code(fps.sparkSession)
-    n = fps.count()
-    masks = tables(blocks_for(n, bound), bound)
-    keyed = fps.select(
-        "fp", "id", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("k")
-    ).select("fp", "id", "k.t", "k.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    keyed = keyed.join(sizes, ["t", "key"])
-    parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("chunk")), parts).cast("int")
-    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    keyed = keyed.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "id")
-    group = ["t", "key", "i", "j"]
-    placed = keyed.repartition(*group).sortWithinPartitions(*group, "own")
-    return placed.mapInArrow(lambda batches: _search(batches, bound), "a long, b long").distinct()
+    keyed = block_groups(fps, bound) if keyed is None else keyed
+    group = ["t", "key"]
+    sizes = keyed.groupBy(*group).agg(F.count("*").alias("size"), F.min("id").alias("head"), F.min_by("fp", "id").alias("head_fp")).filter("size > 1")
+    keyed = keyed.join(sizes, group)
+    small = keyed.filter(F.col("size") <= chunk).select(*group, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp", "id")
+    # Rows near the head of an oversized group are connected by it; only the others are compared with all.
+    big = keyed.filter(F.col("size") > chunk).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= bound)
+    counts = big.groupBy(*group).agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0")
+    open_ = big.join(counts, group)
+    far = F.ceil(F.col("far") / F.lit(chunk)).cast("int")
+    near = F.ceil((F.col("size") - F.col("far")) / F.lit(chunk)).cast("int")
+    mixed = F.xxhash64("fp", "id", F.lit("chunk"))
+    open_ = open_.withColumn("own", F.when(F.col("near"), far + F.pmod(mixed, near)).otherwise(F.pmod(mixed, far)).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), far - 1).otherwise(far + near - 1))))
+    open_ = open_.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "id")
+    group += ["i", "j"]
+    placed = small.unionByName(open_).repartition(*group).sortWithinPartitions(*group, "own")
+    found = placed.mapInArrow(lambda batches: _search(batches, bound), "a long, b long")
+    return found.unionByName(big.filter("near and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))).distinct()
 
 
 def _search(batches, bound: int):
@@ -218,26 +265,20 @@ def _search(batches, bound: int):
         change = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             change[1:] |= c[1:] != c[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [len(change)]])
+        end = len(change)
         if batch is not None:
-            held = rows.slice(int(starts[-2])).to_batches()
-            starts = starts[:-1]
-        a_out, b_out = [], []
-        fp, ids = cols[5].view(np.uint64), cols[6]
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if e - s < 2:
-                continue
-            mine = fp[s:e]
-            if cols[2][s] == cols[3][s]:
-                edges = group_links(mine, None, bound)
-            else:
-                cut = int(np.searchsorted(cols[4][s:e], cols[3][s]))
-                edges = group_links(mine[:cut], mine[cut:], bound)
-            for x, y in edges:
-                a_out.append(ids[s + x])
-                b_out.append(ids[s + y])
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            end = int(np.flatnonzero(change)[-1]) if change.any() else 0
+            held = rows.slice(end).to_batches()
+        else:
+            held = []
+        group, fps, ids = np.cumsum(change)[:end], cols[5].view(np.uint64)[:end], cols[6][:end]
+        # Within a chunk all rows ask all rows; of two chunks the first asks the second.
+        same = cols[2][:end] == cols[3][:end]
+        first = cols[4][:end] == cols[2][:end]
+        edges = forest(fps, group, same | first, same | ~first, bound)
+        if edges:
+            a, b = np.array(edges, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
 
 
 def _with_end(batches):
@@ -245,13 +286,31 @@ def _with_end(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, bound: int = 4) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id (the smallest id reachable over links)."""
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"component ids need whole numbers, {id_col} is {kind.simpleString()}")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, bound: int = 4, similarity: float | None = None
+) -> DataFrame:
+    """One row per document: id, fp (signed long), component_id (the smallest id reachable over links).
+
+    Two fingerprints are linked at ``bound`` or fewer differing bits. With ``similarity``, fingerprints are those of the
+    distinct shingles, and texts are linked if the Jaccard similarity of these sets reaches it, ``bound`` being the most
+    bits two such texts are taken to differ by.
+    """
+    whole_ids(docs, id_col)
+    if similarity is not None:
+        from .near_copies import similar_texts
+
+        return similar_texts(docs, id_col, text_col, shingle, bound, similarity)
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("id")))
+    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("id"), F.count("*").alias("rows")))
     found = components(links(distinct.filter("id is not null"), bound))
-    named = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", "rows", F.coalesce("component", "id").alias("component_id"))
+    return join_named(prints, named, "fp").select(id_col, "fp", "component_id")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
