@@ -101,6 +101,15 @@ def join_named(rows: DataFrame, named: DataFrame, key: str, hot_rows: int = HOT_
     return cold.unionByName(rows.join(F.broadcast(hot), key)).drop("rows")
 
 
+#: Rows of a narrow table, of a few numbers each, that may be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialized narrow table, to be broadcast if it has at most ``rows`` rows; beyond that a join shuffles."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def crc_bucket(col: F.Column, mod: int) -> F.Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: remainder of the empty string, 0)."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

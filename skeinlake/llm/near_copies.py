@@ -4,7 +4,7 @@ Two texts are linked if the sets of their shingles have a Jaccard similarity of
 set are collapsed first; the others get a SimHash fingerprint of their distinct shingles. Groups in which such texts meet
 come from MinHash bands, as bit blocks can't give them: at 0.8, fingerprints differ by some ten bits and up to twice
 that, and no choice of blocks that such a pair must share tells unrelated texts apart. BANDS keys of ROWS minima put a
-pair at 0.8 into at least one common group but for 6 in 100,000. Each group is searched with the Gray-order index at
+pair at 0.8 into at least one common group but for 7 in 100,000. Each group is searched with the Gray-order index at
 BOUND bits, which leaves out fewer still.
 
 What the index proposes only forms provisional components; inside these every link is decided on the whole sets: first
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_code
-from .common import join_named, map_rows, materialize
+from .common import if_small, join_named, map_rows, materialize
 from .components import components
 from .simhash import links, majority, near_duplicates, signed
 
 SHINGLE = 5
 SEED = 42
 LEAST = 0.8
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 24, 5
 #: Bits by which the fingerprints of two linked texts are taken to differ at most. The mean at 0.8 is ten to twelve, with
 #: a standard deviation of three.
 BOUND = 24
@@ -189,7 +189,7 @@ def confirmed(proposed: DataFrame, texts: DataFrame, shingle: int = SHINGLE, lea
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("part")
     members = proposed.filter("id <> component").join(sizes, "component").select("component", part, F.lit(1).alias("side"), "id", "n")
     heads = sizes.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("component").alias("id"), F.lit(0).cast("long").alias("n"))
-    rows = members.unionByName(heads).join(texts, "id").select("component", "part", "side", "id", "n", "text")
+    rows = if_small(materialize(members.unionByName(heads))).join(texts, "id").select("component", "part", "side", "id", "n", "text")
     rows = rows.repartition("component", "part").sortWithinPartitions("component", "part", "side")
     tried = materialize(rows.mapInArrow(lambda b: _against_first(b, shingle, least), "id long, component long, n long, near boolean"))
     open_ = tried.groupBy("component").agg(_parts(~F.col("near")).alias("ni"), _parts(F.lit(True)).alias("nj"), F.count_if(~F.col("near")).alias("far"), F.count("*").alias("all"))
@@ -200,7 +200,7 @@ def confirmed(proposed: DataFrame, texts: DataFrame, shingle: int = SHINGLE, lea
     left = left_over.filter(~F.col("near")).select("component", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "id")
     right = left_over.select("component", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "id")
     group = ["component", "i", "j"]
-    placed = left.unionByName(right).distinct().join(texts, "id").select(*group, "side", "id", "text").repartition(*group).sortWithinPartitions(*group, "side")
+    placed = if_small(materialize(left.unionByName(right).distinct())).join(texts, "id").select(*group, "side", "id", "text").repartition(*group).sortWithinPartitions(*group, "side")
     found = placed.mapInArrow(lambda b: _compare(b, shingle, least), "a long, b long")
     return tried.filter("near").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
 
@@ -211,7 +211,8 @@ def similar_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, bou
     same = materialize(
         rows.groupBy("digest").agg(F.min(id_col).cast("long").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     )
-    keyed = same.filter("id is not null").select("fp", "id", F.posexplode("keys").alias("t", "key"))
+    # The keys of different bands differ by their hash.
+    keyed = same.filter("id is not null").select("fp", "id", F.lit(0).alias("t"), F.explode("keys").alias("key"))
     proposed = components(links(same, bound, keyed=keyed))
     proposed = materialize(proposed.withColumnRenamed("node", "id").join(same.groupBy("id").agg(F.max("n").alias("n")), "id"))
     # Only texts with a proposed link are read again.

@@ -231,11 +231,12 @@ def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK, keyed: DataFrame |
     ship_code(fps.sparkSession)
     keyed = block_groups(fps, bound) if keyed is None else keyed
     group = ["t", "key"]
-    sizes = keyed.groupBy(*group).agg(F.count("*").alias("size"), F.min("id").alias("head"), F.min_by("fp", "id").alias("head_fp")).filter("size > 1")
-    keyed = keyed.join(sizes, group)
+    keyed = keyed.join(keyed.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group)
     small = keyed.filter(F.col("size") <= chunk).select(*group, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp", "id")
     # Rows near the head of an oversized group are connected by it; only the others are compared with all.
-    big = keyed.filter(F.col("size") > chunk).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= bound)
+    big = keyed.filter(F.col("size") > chunk)
+    big = big.join(big.groupBy(*group).agg(F.min("id").alias("head"), F.min_by("fp", "id").alias("head_fp")), group)
+    big = big.withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= bound)
     counts = big.groupBy(*group).agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0")
     open_ = big.join(counts, group)
     far = F.ceil(F.col("far") / F.lit(chunk)).cast("int")
