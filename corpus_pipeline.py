@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlake.llm import decontaminate, packing, secrets, simhash, toxicity
-from skeinlake.llm.common import crc_bucket, read_table, shared_dir
+from skeinlake.llm.common import crc_bucket, if_small, materialize, read_table, shared_dir
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document with the smallest id of each component of texts whose five-word shingles have a similarity of 0.8
     or more. Documents with a null id stay, and repeated rows of one id are one document, which stays or goes as a whole."""
     found = simhash.near_duplicates(docs, shingle=5, bound=24, similarity=0.8)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = if_small(materialize(found.filter("doc_id <> component_id").select("doc_id").distinct()))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
