@@ -81,3 +81,11 @@ def test_clashing_columns_and_blocks(spark):
     docs = spark.createDataFrame([(1, " ".join(f"b3w{j}" for j in range(12)), "a"), (2, "clean words", "b")], "doc_id long, text string, Leak string")
     kept = decontaminate.drop_leaks(docs, bench, block_chars=60)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", "b")]
+
+
+def test_both_token_patterns_agree():
+    pieces = ["Word", "_", "é", "ß1", "漢", "ไทย", "ー", "-", " ", "\n", "x2", "々", "ｱ", "က"]
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 12)))
+        assert decontaminate.tokens(text) == decontaminate.TOKEN.findall(text.lower())
