@@ -99,15 +99,26 @@ def index_stats(tables: dict[str, list[Column]], frames: dict[str, DataFrame]) -
     return one_row([frames[name].agg(*cols) for name, cols in tables.items()])
 
 
-def alias_index(aliases: DataFrame) -> DataFrame:
-    """alias -> sorted list of (type, id). (E-17)"""
+def alias_index(aliases: DataFrame, alias: str | None = None) -> DataFrame:
+    """(alias, type, id), each once; with one alias, its sorted list of (type, id) as a single row. (E-17)
+
+    The nested form of all aliases would hold a common alias' entities in one row, so it is made on request only.
+    """
+    if alias is None:
+        return aliases.select("alias", F.col("entity_type").alias("type"), F.col("entity_id").alias("id")).distinct()
+    aliases = aliases.filter(F.col("alias") == alias)
     return aliases.groupBy("alias").agg(F.sort_array(F.collect_set(F.struct(F.col("entity_type").alias("type"), F.col("entity_id").alias("id")))).alias("entities"))
 
 
 def entity_export(entities: DataFrame) -> DataFrame:
-    """type -> map of id -> record. (E-18)"""
+    """(type, id, record): the records of each type by id. (E-18)"""
     record = F.struct(*[c for c in entities.columns if c not in ("id", "type")])
-    return entities.groupBy("type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", record.alias("record"))))).alias("entities"))
+    return entities.select("type", "id", record.alias("record"))
+
+
+def write_entity_export(entities: DataFrame, path: str) -> None:
+    """The export as JSON lines, one folder a type; a type is written by as many tasks as hold its records. (E-18)"""
+    entity_export(entities).write.mode("overwrite").partitionBy("type").json(path)
 
 
 def passed_share(checks: DataFrame, passed: str = "passed") -> DataFrame:

@@ -90,14 +90,16 @@ def fill_from_snapshot(latest: DataFrame, snapshot: DataFrame, keys: list[str],
 def containing_range(points: DataFrame, ranges: DataFrame, at: str, first: str, last: str, tie: str, bucket: int = 64) -> DataFrame:
     """The range that holds each point: the greatest start, then the smallest tie-breaker (D-15).
 
-    Ranges are dealt out to the buckets they touch, so this is an equi-join on the bucket, not a theta join.
+    Every point row is kept for itself, also if others equal it; a point that no range holds has no row, as the lookup
+    finds nothing for it. Ranges are dealt out to the buckets they touch, so this is an equi-join on the bucket, not a
+    theta join.
     """
-    p = points.withColumn("__b", F.floor(F.col(at) / bucket))
+    p = points.withColumn("__b", F.floor(F.col(at) / bucket)).withColumn("__row", F.monotonically_increasing_id())
     r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col(last) / bucket))))
     hit = p.join(r, "__b").filter((F.col(at) >= F.col(first)) & (F.col(at) <= F.col(last))).drop("__b")
     best = F.struct(F.col(first), -F.col(tie))
     rest = [c for c in ranges.columns]
-    got = hit.groupBy(*points.columns).agg(F.max_by(F.struct(*rest), best).alias("__r"))
+    got = hit.groupBy("__row", *points.columns).agg(F.max_by(F.struct(*rest), best).alias("__r"))
     return got.select(*points.columns, *[f"__r.{c}" for c in rest])
 
 

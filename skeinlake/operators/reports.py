@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates as A
@@ -31,11 +31,18 @@ def create_debts(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return debts, debts.select(F.col("id").alias("debt_id"), F.lit("created").alias("event_type"), F.col("original_amount").alias("amount"), F.col("source_chapter").alias("chapter"))
 
 
-def strand_tracker(history: DataFrame, key: str, at: str = "chapter", label: str = "dominant", keep: int = 50) -> DataFrame:
-    """The last ``keep`` entries of each history with the run length since the last switch. (B-31, W-07, W-08)"""
+def strand_tracker(history: DataFrame, key: str, at: str = "chapter", label: str = "dominant", keep: int = 50, block: int = 10_000) -> DataFrame:
+    """The last ``keep`` entries of each history with the run length since the last switch. (B-31, W-07, W-08)
+
+    Histories are worked off in blocks of ``block`` chapters: each block keeps its last entries, then the key does.
+    """
     from .windows import retain_last
 
-    return retain_last(run_since_switch(history, key, [at], label), keep, key, [at])
+    b = F.floor(F.col(at) / block)
+    runs = run_since_switch(history, key, [at], label, b).withColumn("__b", b)
+    last = Window.partitionBy(key, "__b").orderBy(F.desc(at))
+    runs = runs.withColumn("__r", F.row_number().over(last)).filter(F.col("__r") <= keep).drop("__r", "__b")
+    return retain_last(runs, keep, key, [at])
 
 
 def meta_entry(entries: Column, chapter: int) -> Column:

@@ -1,7 +1,9 @@
 """Mutations on append-only tables: latest-wins views, insert-if-absent, partition replacement, merges and freezes.
 
 Parquet has no update in place. A table is its log of writes; a view folds the log per key. Folds are aggregations with
-a partial step before the shuffle (``max_by`` over the write order), not windows that sort every row.
+a partial step before the shuffle (``max_by`` over the write order), so that a key with most of the rows reaches its task
+as one row for each task before. As rows are structs, Spark sorts each task's rows by key for them, before and after the
+shuffle; a window would sort all rows of a key in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import merge_maps
 
@@ -18,14 +21,23 @@ def _names(cols: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in cols]
 
 
+def _order(df: DataFrame, order: list[str], rest: list[str]) -> Column:
+    """The write order, ties told apart by a hash of the row, so equal inputs give equal views."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = [F.to_json(F.col(f"`{c}`")) if isinstance(kinds[c], T.MapType) else F.col(f"`{c}`") for c in rest]
+    nested = [c for c in rest if isinstance(kinds[c], T.ArrayType | T.StructType) and "map<" in kinds[c].simpleString()]
+    plain = [F.to_json(F.col(f"`{c}`")) if c in nested else p for c, p in zip(rest, plain, strict=True)]
+    return F.struct(*_names(order), F.xxhash64(*plain) if plain else F.lit(0))
+
+
 def latest_wins(log: DataFrame, keys: list[str], order: list[str], keep_first: list[str] | None = None) -> DataFrame:
     """The last write of each key as a whole row; columns in ``keep_first`` stay as first written.
 
     Replacing writes, keyed upserts and assignments (B-01, B-03, B-10, B-15, B-16, B-17, B-32, W-03). Rows that tie in
-    ``order`` resolve to the greatest remaining columns, so the view is deterministic.
+    ``order`` resolve by a hash of the remaining columns, so the view is deterministic.
     """
     rest = [c for c in log.columns if c not in keys]
-    when = F.struct(*_names(order), F.to_json(F.struct(*_names(rest))))
+    when = _order(log, order, rest)
     aggs = [F.max_by(F.struct(*_names(rest)), when).alias("__last")]
     aggs += [F.min_by(F.col(c), when).alias(f"__first_{c}") for c in keep_first or []]
     got = log.groupBy(*keys).agg(*aggs)
@@ -36,14 +48,15 @@ def latest_wins(log: DataFrame, keys: list[str], order: list[str], keep_first: l
 def first_wins(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first write of each key (insert or ignore; B-03 with the flag, B-08, B-23, D-09)."""
     rest = [c for c in log.columns if c not in keys]
-    when = F.struct(*_names(order), F.to_json(F.struct(*_names(rest))))
+    when = _order(log, order, rest)
     got = log.groupBy(*keys).agg(F.min_by(F.struct(*_names(rest)), when).alias("__first"))
     return got.select(*keys, *[F.col(f"__first.`{c}`").alias(c) for c in rest]).select(*log.columns)
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows, and the new ones whose key isn't there yet, each key once. (B-23, D-09, U-04, Y-10)"""
-    fresh = new.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Existing rows, and the new ones whose key isn't there yet, each key once: its first row by ``order``, ties and no
+    order resolved by a hash of the row. (B-23, D-09, U-04, Y-10)"""
+    fresh = first_wins(new.join(existing.select(*keys).distinct(), keys, "left_anti"), keys, order or [])
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

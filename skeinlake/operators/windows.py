@@ -49,12 +49,31 @@ def longest_runs(df: DataFrame, key: str, block: str, order: list[str], match: C
     return lists.select(key, "n", fold("a").alias("longest_run"), fold("b").alias("longest_gap"))
 
 
-def run_since_switch(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
-    """Each row with the length so far of the run of its label. (W-07)"""
-    w = Window.partitionBy(key).orderBy(*order)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, label).orderBy(*order))
-    got = df.withColumn("__i", island)
-    return got.withColumn("run", F.row_number().over(Window.partitionBy(key, label, "__i").orderBy(*order))).drop("__i")
+def run_since_switch(df: DataFrame, key: str, order: list[str], label: str, block: Column | None = None) -> DataFrame:
+    """Each row with the length so far of the run of its label. (W-07)
+
+    With ``block``, which must not fall along ``order``, runs are counted within the blocks of a key and what a block
+    takes over from those before it is folded from one summary a block, so no task gets a key as a whole.
+    """
+    rows = df.withColumn("__b", F.lit(0) if block is None else block)
+    w = Window.partitionBy(key, "__b").orderBy(*order)
+    rows = rows.withColumn("__n", F.row_number().over(w))
+    rows = rows.withColumn("__i", F.col("__n") - F.row_number().over(Window.partitionBy(key, "__b", label).orderBy(*order)))
+    rows = rows.withColumn("__run", F.row_number().over(Window.partitionBy(key, "__b", label, "__i").orderBy(*order)))
+    if block is None:
+        return rows.select(*df.columns, F.col("__run").alias("run"))
+    at = F.col("__n")
+    blocks = rows.groupBy(key, "__b").agg(F.max("__n").alias("size"), F.max_by(label, at).alias("last"), F.max_by("__run", at).alias("tail"), F.min_by(label, at).alias("head"))
+    before = Window.partitionBy(key).orderBy("__b")
+    # A block of one label continues the run before it, any other starts a new one with its last label.
+    whole = (F.col("tail") == F.col("size")) & F.lag("last").over(before).eqNullSafe(F.col("head"))
+    blocks = blocks.withColumn("__g", F.when(whole, 0).otherwise(1)).withColumn("__g", F.sum("__g").over(before))
+    upto = Window.partitionBy(key, "__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("__sum", F.sum("tail").over(upto))
+    blocks = blocks.select(key, "__b", F.lag("last").over(before).alias("__was"), F.coalesce(F.lag("__sum").over(before), F.lit(0)).alias("__had"))
+    got = rows.join(blocks, [key, "__b"])
+    goes_on = (F.col("__run") == F.col("__n")) & F.col("__was").eqNullSafe(F.col(label)) & (F.col("__had") > 0)
+    return got.select(*df.columns, (F.col("__run") + F.when(goes_on, F.col("__had")).otherwise(0)).alias("run"))
 
 
 def window_slice(df: DataFrame, now: int, width: int, at: str = "chapter") -> DataFrame:

@@ -162,12 +162,14 @@ simple("dashboard_totals_E15", lambda b: b.t.documents.groupBy("lang").agg(F.sum
 simple("archive_sizes_E16", lambda b: A.count_per(b.debts, "status", "n"), "select status, count(*) as n from debts group by status")
 simple(
     "alias_index_E17",
-    lambda b: A.alias_index(b.aliases).select("alias", F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["id"].cast("string"))), ",").alias("entities")),
+    lambda b: A.alias_index(b.aliases).groupBy("alias").agg(F.sort_array(F.collect_list(F.struct("type", "id"))).alias("entities"))
+    .select("alias", F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["id"].cast("string"))), ",").alias("entities")),
     "select alias, string_agg(entity_type || ':' || entity_id, ',' order by entity_type, entity_id) as entities from aliases group by alias",
 )
+simple("alias_rows_E17", lambda b: A.alias_index(b.aliases), "select distinct alias, entity_type as type, entity_id as id from aliases")
 simple(
     "entity_export_E18",
-    lambda b: A.entity_export(b.entities.select("id", "type", "canonical_name")).select("type", F.explode("entities").alias("id", "r")).select("type", "id", "r.canonical_name"),
+    lambda b: A.entity_export(b.entities.select("id", "type", "canonical_name")).select("type", "id", "record.canonical_name"),
     "select type, id, canonical_name from entities",
 )
 simple("checks_score_E19", lambda b: A.passed_share(b.tool_calls, "success").select(F.round("score", 6).alias("score")), "select round(avg(cast(success as integer)) * 100, 6) as score from tool_calls")
@@ -188,7 +190,7 @@ simple("recent_window_W05", lambda b: W.window_slice(b.chapters.drop("summary"),
 simple("stride_sample_W06", lambda b: W.stride_sample(b.chapters.select("chapter", "summary"), 171).select("chapter"), "select chapter from (select chapter from chapters where chapter > 0 and chapter <= 151 and (171 - chapter) % 20 = 0 and length(trim(summary)) > 0 order by chapter desc limit 5)")
 simple(
     "run_counter_W07",
-    lambda b: W.run_since_switch(b.t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type").select("event_id", F.col("run").cast("long").alias("run")),
+    lambda b: W.run_since_switch(b.t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", day()).select("event_id", F.col("run").cast("long").alias("run")),
     "select event_id, row_number() over (partition by user_id, event_type, g order by ts, event_id) as run from (select *, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as g from events)",
 )
 simple("retain_last_W08", lambda b: W.retain_last(b.t.events.select("event_id", "user_id", "ts"), 5, "user_id", ["ts", "event_id"]), "select event_id, user_id, ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5")

@@ -50,15 +50,17 @@ def chapters(files: DataFrame, stats_name: str, names: DataFrame | None = None)
     """Chapters of a Markdown corpus by path: number, title, length of the cleaned text, a value of the statistics list,
     and the names of a list that occur in the text. (A-04, D-12, F-26)
 
-    ``names`` (column name) is a bounded candidate list; it becomes one array that every text is tested against.
+    ``names`` (column name) is a list of candidates, all of which every text is tested against: one row that is
+    broadcast, so it must fit in a task's memory; none of it is left out.
     """
     got = files.withColumn("chapter", chapter_of_path(F.col("path"))).filter("chapter is not null")
     clean = clean_markdown(F.col("text"))
     title = F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1))
     found = F.array().cast("array<string>")
     if names is not None:
-        listed = [r[0] for r in names.select("name").distinct().orderBy("name").limit(800).collect()]
-        found = F.array_compact(F.array(*[F.when(F.col("text").contains(n), F.lit(n)) for n in listed])) if listed else found
+        listed = names.agg(F.sort_array(F.collect_set("name")).alias("__names")).withColumn("__one", F.lit(1))
+        got = got.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")
+        found = F.filter("__names", lambda n: F.col("text").contains(n))
     return got.select("path", "chapter", F.when(title != "", title).alias("title"), F.char_length(clean).alias("word_count"), stats_field(F.col("text"), stats_name).alias("stat"), found.alias("characters"), "text")
 
 
