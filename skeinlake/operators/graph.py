@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import polarity
 from .joins import fill_from_snapshot, latest_as_of
 from .storage import materialize
 
 EDGE = ["from_entity", "to_entity", "type"]
 
 
-def edges_as_of(events: DataFrame, snapshot: DataFrame, now: int | None = None, types: list[str] | None = None) -> DataFrame:
+#: What else may be known of an edge.
+DETAILS = ["description", "polarity", "strength", "evidence", "confidence"]
+
+
+def edges_as_of(
+    events: DataFrame, snapshot: DataFrame, now: int | None = None, types: list[str] | None = None, details: bool = False, negative: list[str] | None = None, positive: list[str] | None = None
+) -> DataFrame:
     """Edges that hold at a chapter: the last event of each key, without removed ones, filled from the snapshot;
-    without a chapter, the snapshot. Columns: EDGE, chapter, action. (G-01, D-13, D-14)"""
+    without a chapter, the snapshot. Columns: EDGE, chapter, action; with ``details`` also description, polarity,
+    strength, evidence, confidence and event_id (null for a snapshot row). (G-01, D-13, D-14)
+
+    A snapshot row has the polarity of its type's words, strength 0.5 and confidence 1 where it has none of its own.
+    """
     cols = [*EDGE, "chapter"]
+    if details:
+        events, snapshot = _detailed(events, F.lit(0), F.col("id").cast("long")), _detailed(snapshot, polarity(F.col("type"), negative or [], positive or []), F.lit(None).cast("long"))
+        cols += [*DETAILS, "event_id"]
     if now is None:
         got = snapshot.select(*cols, F.lit("snapshot").alias("action"))
     else:
@@ -23,12 +37,25 @@ def edges_as_of(events: DataFrame, snapshot: DataFrame, now: int | None = None,
     return got.filter(F.col("type").isin(types)) if types else got
 
 
+def _detailed(edges: DataFrame, sign: Column, event: Column) -> DataFrame:
+    """Edges with all details, defaults where they are missing."""
+    missing = {"description": F.lit(""), "polarity": sign, "strength": F.lit(0.5), "evidence": F.lit(""), "confidence": F.lit(1.0)}
+    kinds = {"description": "string", "polarity": "long", "strength": "double", "evidence": "string", "confidence": "double"}
+    own = {c: F.coalesce(F.col(c), d) if c in edges.columns else d for c, d in missing.items()}
+    return edges.withColumns({c: v.cast(kinds[c]) for c, v in own.items()}).withColumn("event_id", event)
+
+
 def subgraph(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> tuple[list[tuple], list]:
     """Edges (from, to, type, chapter, hop) and nodes around a centre: hop by hop, unseen edges that touch the frontier,
     the latest first, until ``cap`` edges. (G-02)
 
-    The cap bounds what is brought in: each hop is one filtered scan and a top-k of what is left of the cap.
+    Edges with an ``event_id`` (of ``edges_as_of`` with details) come events before snapshot rows and, within a chapter,
+    the last event first; others by their key. The cap bounds what is brought in: each hop is one filtered scan and a
+    top-k of what is left of the cap.
     """
+    order = [F.desc("chapter"), *EDGE]
+    if "event_id" in edges.columns:
+        order = [F.col("event_id").isNull(), F.desc("chapter"), F.desc("event_id"), *EDGE]
     depth, cap = max(1, depth), max(1, cap)
     seen, nodes, frontier, out = set(), {center: None}, [center], []
     for hop in range(1, depth + 1):
@@ -39,7 +66,7 @@ def subgraph(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> tuple[l
         inner = list(nodes)[: -len(frontier)] if hop > 1 else []
         if inner:  # edges with an end inside were seen in an earlier hop
             touch = touch & ~F.col("from_entity").isin(inner) & ~F.col("to_entity").isin(inner)
-        rows = edges.filter(touch).orderBy(F.desc("chapter"), *EDGE).limit(room + len(seen)).collect()
+        rows = edges.filter(touch).orderBy(*order).limit(room + len(seen)).collect()
         fresh = [r for r in rows if (r.from_entity, r.to_entity, r.type) not in seen][:room]
         frontier = []
         for r in fresh:

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -51,26 +54,28 @@ def _same(term: str) -> Callable[[Column], Column]:
 
 
 def bm25(docs: DataFrame, query: str, k: int, doc_id: str = "chunk_id", text: str = "content", keep: Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, score): the k best documents that ``keep`` lets through, ties by id. No terms give no rows. (R-01, D-02)"""
+    """(id, score): the k best documents that ``keep`` lets through, ties by id. No terms give no rows. (R-01, D-02)
+
+    One pass over the texts counts all documents and writes down those that have a term; nothing else is stored.
+    """
     terms = query_terms(query)
-    # One pass over the texts: a document's length and which query terms it has, once for each time.
+    # A document's length and which query terms it has, once for each time.
     one = F.transform(F.array(tokenize(F.coalesce(F.col(text), F.lit("")))), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(terms)).alias("hits")))
     kept = (keep if keep is not None else F.lit(True)).alias("__keep")
     counted = docs.select(F.col(doc_id), kept, F.element_at(one, 1).alias("s"))
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
-    counted = materialize(counted).select(doc_id, "__keep", F.col("s.len").alias("len"), *[F.size(F.filter("s.hits", _same(t))).alias(f"c{i}") for i, t in enumerate(terms)])
-    row = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
-    n, avg = max(row["n"], 1), row["avg"] or 1.0
+    seen = Observation(f"bm25-{uuid.uuid4().hex}")
+    counted = materialize(counted.observe(seen, F.count("*").alias("n"), F.avg("s.len").alias("avg")).filter(F.size("s.hits") > 0))
+    counted = counted.select(doc_id, "__keep", F.col("s.len").alias("len"), *[F.size(F.filter("s.hits", _same(t))).alias(f"c{i}") for i, t in enumerate(terms)])
+    row = counted.agg(*[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+    n, avg = max(seen.get["n"], 1), seen.get["avg"] or 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf = F.col(f"c{i}") / F.col("len")
         part = F.lit(_idf(n, row[f"d{i}"])) * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.lit(avg)))
         score = score + F.when(F.col(f"c{i}") > 0, part).otherwise(F.lit(0.0))
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"c{i}") > 0)
-    return counted.filter(hit & F.col("__keep")).select(doc_id, score.alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
+    return counted.filter(F.col("__keep")).select(doc_id, score.alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
 
 
 def bm25_indexed(post: DataFrame, stats: DataFrame, query: str, k: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -115,24 +120,28 @@ Scorer = Callable[[DataFrame], DataFrame]
 def hybrid(
     docs: DataFrame, vectors: DataFrame, query: str, qvec: list[float] | None, n: int | None = None, vector_k: int | None = None, bm25_k: int | None = None,
     doc_id: str = "chunk_id", text: str = "content", vec: str = "embedding", recent: str | None = None, keep: Column | None = None,
-    rerank: Scorer | None = None, full_scan: bool | None = None, scale: str = "reference", cfg: Config = DEFAULT,
+    rerank: Scorer | None = None, full_scan: bool | None = True, scale: str = "reference", cfg: Config = DEFAULT,
 ) -> DataFrame:
     """(id, score, source): BM25 and cosine fused by reciprocal rank, then reranked. (R-04, U-01, Y-05)
 
-    ``full_scan`` None decides by the number of vectors; without a full scan, only BM25's best and the most recent
-    documents are compared by vector. Without a query vector the full path is BM25 alone and the prefiltered path is
-    empty (Y-07). ``rerank`` maps (id, rrf, ...) to (id, score); without it the fused order stays, scored as ``scale`` says:
-    "reference" keeps each hit's own score (the vector's where it has one), "rrf" the fused one.
+    All vectors are compared, whatever their number. With ``full_scan`` False only those of BM25's best and of the most
+    recent documents are, which misses near vectors of other documents; None takes that way beyond
+    ``cfg.full_scan_max`` vectors, as the reference does. Without a query vector the full path is BM25 alone and the
+    prefiltered path is empty (Y-07). ``rerank`` maps (id, rrf, ...) to (id, score). Without it, and if it fails or
+    gives no rows, the fused order stays, scored as ``scale`` says: "reference" keeps each hit's own score (the vector's
+    where it has one), "rrf" the fused one.
     """
     n, vector_k, bm25_k = n or cfg.rerank_top_n, vector_k or cfg.vector_top_k, bm25_k or cfg.bm25_top_k
     if full_scan is None:
         full_scan = vectors.count() <= cfg.full_scan_max
-    words = bm25(docs, query, bm25_k, doc_id, text, keep, cfg)
+    most = bm25_k if full_scan else max(cfg.prefilter_bm25, bm25_k, 5 * vector_k, 10 * n)
+    words = best = bm25(docs, query, most, doc_id, text, keep, cfg)
     if qvec is None:
         return words.select(doc_id, "score", F.lit("bm25").alias("source")).limit(n if full_scan else 0)
-    pool = vectors
+    pool = vectors if keep is None else vectors.join(docs.filter(keep).select(doc_id), doc_id, "left_semi")
     if not full_scan:
-        first = bm25(docs, query, max(cfg.prefilter_bm25, bm25_k, 5 * vector_k, 10 * n), doc_id, text, keep, cfg).select(doc_id)
+        best = materialize(best)
+        words, first = best.orderBy(F.desc("score"), doc_id).limit(bm25_k), best.select(doc_id)
         order = [F.desc(recent or doc_id)] + ([F.desc(doc_id)] if recent else [])
         late = docs.filter(keep if keep is not None else F.lit(True)).orderBy(*order).limit(max(cfg.prefilter_recent, 5 * vector_k, 10 * n)).select(doc_id)
         pool = vectors.join(first.union(late).distinct(), doc_id, "left_semi")
@@ -140,12 +149,23 @@ def hybrid(
     fused = rrf({"vector": near, "bm25": words}, 2 * n, doc_id, cfg)
     source = F.when(F.col("vector_score").isNotNull(), F.lit("vector")).otherwise(F.lit("bm25"))
     if rerank is not None:
-        scored = rerank(fused).select(doc_id, "score")
-        return fused.join(scored, doc_id).select(doc_id, "score", F.lit("rerank").alias("source")).orderBy(F.desc("score"), doc_id).limit(n)
+        fused = materialize(fused)
+        scored = reranked(rerank, fused, doc_id)
+        if scored is not None:
+            return fused.join(scored, doc_id).select(doc_id, "score", F.lit("rerank").alias("source")).orderBy(F.desc("score"), doc_id).limit(n)
     own = F.coalesce("vector_score", "bm25_score") if scale == "reference" else F.col("rrf")
     return fused.orderBy(F.desc("rrf"), doc_id).limit(n).select(doc_id, own.alias("score"), source.alias("source"), "rrf")
 
 
+def reranked(rerank: Scorer, hits: DataFrame, doc_id: str) -> DataFrame | None:
+    """(id, score) by a reranking service; None if it fails or gives no rows. (A-11)"""
+    try:
+        scored = materialize(rerank(hits).select(doc_id, "score"))
+        return scored if scored.limit(1).count() else None
+    except (OSError, PySparkException, Py4JJavaError):
+        return None
+
+
 def graph_priors(score: Column, text: Column, seeds: list[str], related: list[str], chapter: Column, now: Column, cfg: Config = DEFAULT) -> Column:
     """A bonus for a seed's name in the text, else for a related one's, and for recency. (R-07)"""
     from ..functions.scalars import has_any
@@ -220,8 +240,8 @@ def graph_hybrid(
     each kept, then reranked. Without seeds it is the base list. (R-06, R-10, D-11)
 
     Seeds are the centre entities, else those the query names; they are expanded over ``edges``. Chunks (to ``now``, if
-    given) are candidates by the names and aliases they hold. ``rerank`` maps (id, score) to (id, score); if it returns
-    no rows, the merged order stays.
+    given) are candidates by the names and aliases they hold. ``rerank`` maps (id, score) to (id, score); if it fails or
+    returns no rows, the merged order stays.
     """
     from .joins import term_hits
 
@@ -245,32 +265,60 @@ def graph_hybrid(
     best = merged.orderBy(F.desc("score"), doc_id).limit(max(3 * k, 2 * cfg.rerank_top_n))
     if rerank is not None:
         best = materialize(best)
-        scored = materialize(rerank(best).select(doc_id, "score"))
-        if scored.limit(1).count():
+        scored = reranked(rerank, best, doc_id)
+        if scored is not None:
             best = best.select(doc_id).join(scored, doc_id)
     return best.orderBy(F.desc("score"), doc_id).limit(k)
 
 
 #: Intent -> words that mark it, as a parameter of the router; the first match wins.
-def route(query: str, words: dict[str, list[str]], needs_graph: tuple[str, ...] = ("relationship",), stop: frozenset[str] = frozenset()) -> dict:
+def route(query: str, words: dict[str, list[str]], needs_graph: tuple[str, ...] = ("relationship",), stop: frozenset[str] = frozenset(), marker: str | None = None) -> dict:
     """Intent, up to four entity candidates, time scope and whether the graph is needed. (R-13, Y-08)"""
     intent = next((name for name, ws in words.items() if any(w in query for w in ws)), "plot")
     runs = [w for w in re.findall(r"[一-鿿]{2,6}", query) if w not in stop]
-    return {"intent": intent, "entities": list(dict.fromkeys(runs))[:4], "time_scope": time_scope(query), "needs_graph": intent in needs_graph}
+    return {"intent": intent, "entities": list(dict.fromkeys(runs))[:4], "time_scope": time_scope(query, marker), "needs_graph": intent in needs_graph}
+
 
+#: Fixed value: what follows the number of a chapter.
+CHAPTER = r"\s*章"
 
-def time_scope(query: str) -> tuple[int, int] | None:
-    """A range of chapters, turned round if reversed, or one chapter. (R-14)"""
-    if m := re.search(r"(\d+)\s*[-~–]\s*(\d+)", query):
+
+def time_scope(query: str, marker: str | None = None) -> tuple[int, int] | None:
+    """A range of chapters, turned round if reversed, or one chapter. (R-14)
+
+    ``marker`` is a pattern that must follow the number, as ``CHAPTER``; without one any digits count.
+    """
+    end = marker or ""
+    if m := re.search(rf"(\d+)\s*[-~–到]\s*(\d+){end}", query):
         a, b = sorted((int(m[1]), int(m[2])))
         return a, b
-    if m := re.search(r"(\d+)", query):
+    if m := re.search(rf"(\d+){end}", query):
         return int(m[1]), int(m[1])
     return None
 
 
+#: The search of each intent without a graph.
+STRATEGIES = {"entity": "hybrid", "scene": "bm25", "setting": "bm25", "plot": "hybrid"}
+
+
+def plan_subqueries(intent: dict, strategies: dict[str, str] | None = None) -> list[dict]:
+    """The steps of a routed query: name, strategy, entities and time scope. (R-15)
+
+    Relationships take a look at the graph and then the graph search; a query that needs the graph and names entities
+    takes the graph search alone; any other the search of its intent.
+    """
+    if intent["intent"] == "relationship":
+        steps = [("relationship_graph", "graph_lookup"), ("relationship_evidence", "graph_hybrid")]
+    elif intent["needs_graph"] and intent["entities"]:
+        steps = [("graph_enhanced_retrieval", "graph_hybrid")]
+    else:
+        steps = [("default_retrieval", (STRATEGIES if strategies is None else strategies).get(intent["intent"], "hybrid"))]
+    return [{"name": n, "strategy": s, "entities": list(intent["entities"]), "time_scope": intent["time_scope"]} for n, s in steps]
+
+
 def plan_steps(intent: dict, strategies: dict[str, str]) -> list[str]:
-    """Search strategies in order. (R-15)"""
+    """Searches over texts to run one after the other until one has hits; ``plan_subqueries`` has the steps of the
+    inventory."""
     if intent["intent"] == "relationship":
         return ["graph_hybrid", "hybrid"]
     first = strategies.get(intent["intent"], "hybrid")
@@ -284,11 +332,71 @@ def split_query(query: str, separators: str = ",;，；、") -> list[str]:
 
 def choose_strategy(strategy: str, intent: dict, graph_enabled: bool) -> str:
     """auto takes the graph where it is enabled and needed; unknown names are hybrid. (R-11)"""
+    strategy = strategy.lower()
     if strategy == "auto":
         return "graph_hybrid" if graph_enabled and intent["needs_graph"] else "hybrid"
     return strategy if strategy in ("vector", "bm25", "hybrid", "graph_hybrid", "backtrack") else "hybrid"
 
 
+def search(
+    docs: DataFrame, vectors: DataFrame, query: str, qvec: list[float] | None, k: int = 5, strategy: str = "auto", intent: dict | None = None, filters: dict | None = None,
+    entities: DataFrame | None = None, aliases: DataFrame | None = None, edges: DataFrame | None = None, centers: list[str] | None = None, chapter: int | None = None,
+    parents: DataFrame | None = None, doc_id: str = "chunk_id", text: str = "content", vec: str = "embedding", at: str = "chapter", keep: Column | None = None,
+    rerank: Scorer | None = None, graph_enabled: bool = True, cfg: Config = DEFAULT,
+) -> DataFrame:
+    """(id, score, source): one entry to all strategies. (R-11)
+
+    ``intent`` is a routed query; "auto" takes the graph where it is needed, with the routed entities as centres.
+    ``filters`` may hold ``to_chapter``; with it, or with ``chapter``, only documents up to that chapter are found.
+    ``keep`` is a further condition on ``docs``. Unknown strategies are "hybrid".
+    """
+    intent = intent or {"intent": "plot", "entities": [], "time_scope": None, "needs_graph": False}
+    if chapter is None and str((filters or {}).get("to_chapter") or "").strip().isdigit():
+        chapter = int(filters["to_chapter"]) or None
+    took = choose_strategy(strategy, intent, graph_enabled and entities is not None)
+    if strategy.lower() == "auto" and took == "graph_hybrid":
+        centers = centers or intent["entities"]
+    if chapter is not None:
+        upto = F.col(at) <= chapter
+        keep = upto if keep is None else keep & upto
+    if took == "backtrack":
+        return backtrack(docs, vectors, query, qvec, k, parents, doc_id, text, vec, rerank=rerank, cfg=cfg)
+    if took == "bm25":
+        return bm25(docs, query, k, doc_id, text, keep, cfg).withColumn("source", F.lit("bm25"))
+    if took == "vector":
+        if qvec is None:
+            return docs.select(doc_id, F.lit(0.0).alias("score"), F.lit("vector").alias("source")).limit(0)
+        pool = vectors if keep is None else vectors.join(docs.filter(keep).select(doc_id), doc_id, "left_semi")
+        return vector_search(pool, qvec, k, doc_id, vec).withColumn("source", F.lit("vector"))
+    if took == "graph_hybrid" and entities is not None:
+        base = hybrid(docs, vectors, query, qvec, max(k, cfg.rerank_top_n), doc_id=doc_id, text=text, vec=vec, keep=keep, rerank=rerank, cfg=cfg)
+        chunks = (docs if keep is None else docs.filter(keep)).join(vectors.select(doc_id, vec), doc_id, "left")
+        got = graph_hybrid(base, chunks, query, qvec, entities, aliases, edges, k, centers, chapter, doc_id=doc_id, text=text, vec=vec, chapter=at, rerank=rerank, cfg=cfg)
+        return got.withColumn("source", F.lit("graph_hybrid"))
+    return hybrid(docs, vectors, query, qvec, k, k, k, doc_id, text, vec, keep=keep, rerank=rerank, cfg=cfg).select(doc_id, "score", "source")
+
+
+def backtrack(
+    docs: DataFrame, vectors: DataFrame, query: str, qvec: list[float] | None, k: int = 5, parents: DataFrame | None = None, doc_id: str = "chunk_id", text: str = "content",
+    vec: str = "embedding", parent: str = "parent_chunk_id", kind: str = "chunk_type", scene: str = "scene", rerank: Scorer | None = None, cfg: Config = DEFAULT,
+) -> DataFrame:
+    """(id, score, source, position): the best scenes, each parent once before its first scene, with score 0. (R-12)
+
+    ``docs`` has the parent's id and the kind of each document; only scenes are searched, parents may be any document.
+    """
+    from .joins import parents_first
+
+    hits = hybrid(docs, vectors, query, qvec, k, 2 * k, 2 * k, doc_id, text, vec, keep=F.col(kind) == scene, rerank=rerank, cfg=cfg)
+    order = [F.desc(c) for c in (["rrf"] if "rrf" in hits.columns else ["score"])]
+    hits = materialize(hits.withColumn("rank", F.row_number().over(Window.orderBy(*order, doc_id)) - 1).select(doc_id, "score", "source", "rank"))
+    ranked = hits.join(docs.select(doc_id, F.col(parent).alias("parent_chunk_id")), doc_id).withColumnRenamed(doc_id, "chunk_id")
+    known = (docs if parents is None else parents).select(F.col(doc_id).alias("chunk_id"))
+    got = parents_first(ranked.select("chunk_id", "parent_chunk_id", "rank"), known)
+    scored = hits.select(F.col(doc_id).alias("chunk_id"), "score", "source").withColumn("kind", F.lit("hit"))
+    got = got.join(scored, ["chunk_id", "kind"], "left")
+    return got.select(F.col("chunk_id").alias(doc_id), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("source", F.lit("parent")).alias("source"), "position")
+
+
 def snippets(hits: DataFrame, docs: DataFrame, doc_id: str = "chunk_id", text: str = "content", width: int = 180) -> DataFrame:
     """Hits with the first characters of their text and the score to 6 places. (R-17)"""
     return hits.join(docs.select(doc_id, F.left(text, F.lit(width)).alias("snippet")), doc_id).select(doc_id, F.round("score", 6).alias("score"), "snippet")
