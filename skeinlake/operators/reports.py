@@ -72,6 +72,27 @@ def quality_report(reviews: DataFrame, checklists: DataFrame, n: int) -> dict[st
     }
 
 
+def step_timing(log: DataFrame, n: int = 3, alarm_ms: int = 30_000) -> DataFrame:
+    """The ``n`` slowest steps (columns step, ms) with their share of all time, and whether the total passes the alarm.
+    (§2.15)"""
+    per = log.groupBy("step").agg(F.sum("ms").alias("ms"))
+    total = per.agg(F.coalesce(F.sum("ms"), F.lit(0)).alias("total_ms"))
+    worst = top(per, n, "ms desc", "step")
+    return A.one_row([total, total.select((F.col("total_ms") > alarm_ms).alias("alarm"))]).join(worst, F.lit(True)).select("step", "ms", F.round(F.col("ms") / F.greatest("total_ms", F.lit(1)), 4).alias("ratio"), "total_ms", "alarm")
+
+
+def checker_rollup(records: DataFrame) -> DataFrame:
+    """Checker records (checker, score, critical, high, passed) as one row: mean score to 2 places, totals of the severe
+    findings, whether all passed. (§2.15)"""
+    return records.agg(
+        F.count("*").alias("checkers"),
+        F.coalesce(F.round(F.avg("score"), 2), F.lit(0.0)).alias("overall_score"),
+        F.coalesce(F.sum("critical"), F.lit(0)).alias("critical"),
+        F.coalesce(F.sum("high"), F.lit(0)).alias("high"),
+        F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"),
+    )
+
+
 def status_report(parts: dict[str, DataFrame], focus: str = "all") -> dict[str, DataFrame]:
     """The sections a report of that focus has; an unknown focus has all. (K-06)"""
     return {focus: parts[focus]} if focus in parts else dict(parts)

@@ -36,6 +36,25 @@ def task_state(events: DataFrame) -> DataFrame:
     return got.select("task", "s.status", "s.step", "s.retries", "s.failed", F.array_join("s.done", ",").alias("done"))
 
 
+def step_trace(events: DataFrame, order: list[str], owners: dict[str, str]) -> DataFrame:
+    """(task, n, step, expected_owner, missing, violation) of each started step: who should run it, and the steps before
+    it in ``order`` that the task hasn't done yet. (Y-33, K-15)
+
+    ``events`` are those of ``task_state``. What a task has done is aggregated per step, of which there are few, so no
+    task's log is collected; a step that isn't in ``order`` has nothing before it.
+    """
+    table = events.sparkSession.createDataFrame([(s, p) for k, s in enumerate(order) for p in order[:k]], "step string, before string")
+    done = events.filter("event = 'done'").groupBy("task", F.col("step").alias("before")).agg(F.min("n").alias("done_at"))
+    started = events.filter("event = 'step'").select("task", "n", "step")
+    need = started.join(F.broadcast(table), "step").join(done, ["task", "before"], "left")
+    open_ = need.filter(F.col("done_at").isNull() | (F.col("done_at") > F.col("n"))).groupBy("task", "n").agg(F.sort_array(F.collect_set("before")).alias("missing"))
+    owner = F.lit(None).cast("string")
+    for step, who in owners.items():
+        owner = F.when(F.col("step") == step, F.lit(who)).otherwise(owner)
+    got = started.join(open_, ["task", "n"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    return got.select("task", "n", "step", owner.alias("expected_owner"), "missing", (F.size("missing") > 0).alias("violation"))
+
+
 def recovery(tasks: DataFrame, table: DataFrame) -> DataFrame:
     """Options for interrupted tasks from a decision table by step. (Y-34, K-15)"""
     return tasks.join(table, "step", "left")

@@ -91,7 +91,15 @@ def hybrid(spark, folder):
     return rounded(got.drop("rrf"), "score")
 
 
-@query("hybrid_prefiltered_R04")
+#: The best 200 by words and the latest 200 documents, as the operator's constants say.
+_POOL = f"""with {BM25}, {COS}, pool as ((select doc_id from bm order by score desc, doc_id limit 200) union (select doc_id from documents order by doc_id desc limit 200)),
+bk as (select doc_id, score, row_number() over (order by score desc, doc_id) as r from bm qualify r <= 20),
+vk as (select doc_id, score, row_number() over (order by score desc, doc_id) as r from cs where doc_id in (select doc_id from pool) qualify r <= 30),
+f as (select coalesce(b.doc_id, v.doc_id) as doc_id, coalesce(1.0 / (60 + v.r), 0.0) + coalesce(1.0 / (60 + b.r), 0.0) as rrf, coalesce(v.score, b.score) as score, case when v.score is not null then 'vector' else 'bm25' end as source from bk b full join vk v on b.doc_id = v.doc_id)
+"""
+
+
+@query("hybrid_prefiltered_R04", _POOL + "select doc_id, round(score, 6) as score, source from f order by f.rrf desc, doc_id limit 10")
 def hybrid_prefiltered(spark, folder):
     got = R.hybrid(_docs(spark, folder), _vectors(spark, folder), QUERY, _qvec(spark, folder), doc_id="doc_id", text="text", full_scan=False)
     return rounded(got.drop("rrf"), "score")
@@ -104,6 +112,38 @@ def hybrid_reranked(spark, folder):
     return rounded(got, "score")
 
 
+@query("hybrid_rerank_failed_R04_A11", _RRF + "select doc_id, round(score, 6) as score, source from f order by f.rrf desc, doc_id limit 10")
+def hybrid_rerank_failed(spark, folder):
+    """A reranking service that breaks on its first row."""
+    breaks = lambda hits: hits.select("doc_id", F.raise_error(F.lit("no service")).cast("double").alias("score"))
+    got = R.hybrid(_docs(spark, folder), _vectors(spark, folder), QUERY, _qvec(spark, folder), doc_id="doc_id", text="text", rerank=breaks)
+    return rounded(got.drop("rrf"), "score")
+
+
+def _search(spark, folder, strategy, k=10, **more):
+    return rounded(R.search(_docs(spark, folder), _vectors(spark, folder), QUERY, _qvec(spark, folder), k, strategy, doc_id="doc_id", text="text", at="doc_id", **more), "score")
+
+
+@query("search_bm25_to_chapter_R11", f"with {BM25} select doc_id, round(score, 6) as score, 'bm25' as source from bm where doc_id <= 150 order by bm.score desc, doc_id limit 10")
+def search_bm25(spark, folder):
+    return _search(spark, folder, "bm25", filters={"to_chapter": 150})
+
+
+@query("search_vector_to_chapter_R11", f"with {COS} select doc_id, round(score, 6) as score, 'vector' as source from cs where doc_id in (select doc_id from documents where doc_id <= 150) order by cs.score desc, doc_id limit 10")
+def search_vector(spark, folder):
+    return _search(spark, folder, "vector", chapter=150)
+
+
+@query("search_unknown_strategy_R11", _RRF.replace("qualify r <= 20", "qualify r <= 7").replace("qualify r <= 30", "qualify r <= 7") + "select doc_id, round(score, 6) as score, source from f order by f.rrf desc, doc_id limit 7")
+def search_unknown(spark, folder):
+    return _search(spark, folder, "no such", 7)
+
+
+@query("search_auto_to_chapter_R11", _RRF.replace("from bm qualify r <= 20", "from bm where doc_id <= 150 qualify r <= 10").replace("from cs qualify r <= 30", "from cs where doc_id in (select doc_id from documents where doc_id <= 150) qualify r <= 10") + "select doc_id, round(score, 6) as score, source from f order by f.rrf desc, doc_id limit 10")
+def search_auto(spark, folder):
+    return _search(spark, folder, "auto", filters={"to_chapter": "150"})
+
+
 @query("hybrid_without_vector_Y07", f"with {BM25} select doc_id, round(score, 6) as score, 'bm25' as source from bm order by bm.score desc, doc_id limit 10")
 def hybrid_without_vector(spark, folder):
     return rounded(R.hybrid(_docs(spark, folder), _vectors(spark, folder), QUERY, None, doc_id="doc_id", text="text", full_scan=True), "score")
@@ -167,7 +207,31 @@ def edges_now(spark, folder):
     return G.edges_as_of(b.relationship_events, b.links)
 
 
-@query("subgraph_G02")
+@query("edges_detailed_G01", sql("""with l as (select * from relationship_events where chapter <= 12 qualify row_number() over (partition by from_entity, to_entity, type order by chapter desc, id desc) = 1)
+select from_entity, to_entity, type, chapter, '' as description, 0::bigint as polarity, coalesce(strength, 0.5) as strength, '' as evidence, cast(1.0 as double) as confidence, id as event_id, action from l where action <> 'remove'
+union all select from_entity, to_entity, type, chapter, '', 1, cast(0.5 as double), '', cast(1.0 as double), null, 'snapshot' from links s where chapter <= 12 and not exists (select 1 from l where l.from_entity = s.from_entity and l.to_entity = s.to_entity)"""))
+def edges_detailed(spark, folder):
+    b = Bound(spark, folder)
+    got = G.edges_as_of(b.relationship_events, b.links, 12, details=True, negative=["enemy"], positive=["link"])
+    return got
+
+
+@query("subgraph_events_first_G02", sql("""with l as (select * from relationship_events where chapter <= 20 qualify row_number() over (partition by from_entity, to_entity, type order by chapter desc, id desc) = 1),
+e as (select from_entity, to_entity, type, chapter, id from l where action <> 'remove' union all select from_entity, to_entity, type, chapter, null from links s where chapter <= 20 and not exists (select 1 from l where l.from_entity = s.from_entity and l.to_entity = s.to_entity))
+select from_entity, to_entity, type, chapter, 1 as hop from e where from_entity = 8 or to_entity = 8 order by id is null, chapter desc, id desc, from_entity, to_entity, type limit 20"""))
+def subgraph_events_first(spark, folder):
+    b = Bound(spark, folder)
+    return G.subgraph_frame(G.edges_as_of(b.relationship_events, b.links, 20, details=True), 8, 1, 20)
+
+
+_HOPS = _AS_OF.format(n=20).rstrip() + """,
+h1 as (select from_entity, to_entity, type, chapter from e where from_entity = 8 or to_entity = 8 order by chapter desc, from_entity, to_entity, type limit 50),
+fr as (select x from (select from_entity as x from h1 union select to_entity from h1) where x <> 8),
+h2 as (select from_entity, to_entity, type, chapter, row_number() over (order by chapter desc, from_entity, to_entity, type) as r from e where (from_entity in (select x from fr) or to_entity in (select x from fr)) and from_entity <> 8 and to_entity <> 8)
+select *, 1 as hop from h1 union all select from_entity, to_entity, type, chapter, 2 from h2 where r <= 50 - (select count(*) from h1)"""
+
+
+@query("subgraph_G02", sql(_HOPS))
 def subgraph(spark, folder):
     b = Bound(spark, folder)
     return G.subgraph_frame(G.edges_as_of(b.relationship_events, b.links, 20), 8, 2, 50)

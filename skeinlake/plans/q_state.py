@@ -159,10 +159,17 @@ def fulfilled(spark, folder):
     return L.pay(b.debts, payments)[2]
 
 
-@query("ledger_replay_L04")
+_REPLAY = sql("""with ev as (select debt_id, kind, amount, row_number() over (partition by debt_id order by chapter, kind, id) as k from (
+select debt_id, chapter, 'payment' as kind, 2 as id, cast(sum(cast(amount as decimal(18, 2))) as double) / 10 as amount from debt_events group by 1, 2 union all select id, due_chapter, 'interest', 1, 0.0 from debts)),
+f as (select id, cast(original_amount as double) as balance, interest_rate, 0::bigint as k from debts union all
+select f.id, case when kind = 'interest' then balance + balance * interest_rate else greatest(0.0, balance - amount) end, interest_rate, ev.k from f join ev on ev.debt_id = f.id and ev.k = f.k + 1)
+select id, cast(round(cast(cast(arg_max(balance, k) as varchar) as decimal(38, 14)), 2) as double) as balance, cast(max(k) as integer) as n_events from f group by id""").replace("with ", "with recursive ", 1)
+
+
+@query("ledger_replay_L04", _REPLAY)
 def ledger_replay(spark, folder):
     b = Bound(spark, folder)
-    pays = b.debt_events.groupBy("debt_id", "chapter").agg((F.sum("amount") / 10).alias("amount")).select("debt_id", "chapter", F.lit("payment").alias("kind"), F.lit(2).cast("long").alias("id"), "amount")
+    pays = b.debt_events.groupBy("debt_id", "chapter").agg((F.sum(F.col("amount").cast("decimal(18,2)")).cast("double") / 10).alias("amount")).select("debt_id", "chapter", F.lit("payment").alias("kind"), F.lit(2).cast("long").alias("id"), "amount")
     interest = b.debts.select(F.col("id").alias("debt_id"), F.col("due_chapter").alias("chapter"), F.lit("interest").alias("kind"), F.lit(1).cast("long").alias("id"), F.lit(0.0).alias("amount"))
     return L.replay(b.debts, pays.unionByName(interest)).withColumn("balance", F.round("balance", 2))
 
@@ -277,7 +284,17 @@ simple("urgent_threads_X16", lambda b: X.urgent(K.threads(_threads(b), 24000), 0
 simple("export_context_Y15", lambda b: Y.export_for_context(b.entities, 24005), "select id, type, canonical_name, tier, last_appearance from entities where coalesce(last_appearance, 0) <= 24005 order by last_appearance desc nulls last, id limit 50")
 
 
-@query("task_states_Y33")
+_STATES = """with recursive e as (select conv_id as task, row_number() over (partition by conv_id order by turn) as k, case when turn = 0 then 'start' when role = 'user' then 'step' else 'done' end as kind, cast((turn + 1) // 2 as varchar) as step from conversations),
+s as (select distinct conv_id as task, 0::bigint as k, 'none' as status, null::varchar as step, 0 as retries, 0 as failed, [null::varchar][2:] as done from conversations union all
+select s.task, e.k, case when kind = 'start' then 'running' else status end,
+case when status = 'running' and kind = 'step' then e.step when kind = 'start' or (kind = 'done' and status = 'running' and coalesce(s.step = e.step, false)) then null else s.step end,
+retries + case when status = 'running' and kind = 'start' then 1 else 0 end, failed + case when status = 'running' and s.step is not null and kind = 'step' then 1 else 0 end,
+case when kind = 'done' and status = 'running' and coalesce(s.step = e.step, false) then list_append(done, e.step) else done end
+from s join e on e.task = s.task and e.k = s.k + 1)
+select task, status, step, retries, failed, array_to_string(done, ',') as done from s qualify row_number() over (partition by task order by k desc) = 1"""
+
+
+@query("task_states_Y33", _STATES)
 def task_states(spark, folder):
     kind = F.when(F.col("turn") == 0, "start").when(F.col("role") == "user", "step").otherwise("done")
     c = Bound(spark, folder).t.conversations

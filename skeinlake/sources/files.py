@@ -28,8 +28,9 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int
     return reader.load()
 
 
-def columns_missing(df: DataFrame, want: T.StructType) -> list[str]:
+def columns_missing(df: DataFrame, want: T.StructType | str) -> list[str]:
     """Columns of a record type that a table lacks. (A-12, Y-06)"""
+    want = T.StructType.fromDDL(want) if isinstance(want, str) else want
     return [f.name for f in want.fields if f.name not in df.columns]
 
 
