@@ -6,8 +6,9 @@ interactions in time linear in the features. The logistic loss is minimised with
 documents; scoring is a map over all documents.
 
 Defined edge results: null and empty texts have no words and are scored on their structure; without labels, or with one
-class only, every score is the (smoothed) share of label 1; null ids keep their rows; repeated rows score alike; a label
-joins every row of its id.
+class only, every score is the (smoothed) share of label 1; labels above 0 count as 1; texts of any length are read
+whole; null ids keep their rows; repeated rows score alike; a label joins every row of its id; extra columns are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

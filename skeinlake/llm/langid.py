@@ -13,8 +13,9 @@ Where two languages hold similar shares, the opening one may be the document's o
 fitted on the sample, as a share of letters.
 
 Defined edge results: null text, empty text and text without a letter give ``und`` with score 0; an empty training
-table gives ``und`` everywhere; ties go to the alphabetically first language; null or clashing extra columns are not
-read. Repeated rows are scored alike.
+table gives ``und`` everywhere; ties go to the alphabetically first language; a text of any length is read whole, in
+blocks; extra columns are not read, whatever their names; null ids keep their rows; repeated rows are scored alike; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

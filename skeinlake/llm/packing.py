@@ -10,7 +10,8 @@ are. A piece finds its place by its rank among the pieces of its length; ranks c
 exact prefix sum over (length, task), so no length is ever gathered into one task.
 
 Defined edge results: null and empty texts are one piece holding the end id; equal lengths are ranked by task and
-position; repeated rows are packed separately; an empty table gives no rows.
+position; repeated rows are packed separately; null ids keep their rows; a text of any length is cut into as many full
+windows as it fills; extra columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

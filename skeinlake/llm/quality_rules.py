@@ -6,8 +6,10 @@ ones; a document is kept if its posterior probability of being good is at least
 all documents, and the estimate works on those counts, of which there are at most two to the number of rules.
 Abstaining is evidence too: a rule for defects finds only its own kind, so a lone vote must be able to decide.
 
-Defined edge results: a null text counts as empty, has no words and fails the base;  words of repeated 3-word windows are compared by a 64-bit hash of the three words;
-null ids keep their rows; repeated rows are judged alike; an empty table gives no rows.
+Defined edge results: a null text counts as empty, has no words and fails the base; words of repeated 3-word windows are
+compared by a 64-bit hash of the three words; a text of any length is counted whole; a posterior of exactly one half is
+kept; null ids keep their rows; repeated rows are judged alike and counted each; extra columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ and the kernel is computed once per distinct word of a task, only for pairs that
 
 Defined edge results: null, empty and word-less texts get the score of an empty sentence; without labels, or with one
 class only, every score is the smoothed share of label 1; a single word of any length is read whole, in overlapping
-parts; null ids keep their rows; repeated rows score alike.
+parts, and a text of any length sentence by sentence; equal scores stay equal; null ids keep their rows; repeated rows
+score alike; extra columns are not read, or kept by ``drop_toxic``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
