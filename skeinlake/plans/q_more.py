@@ -15,7 +15,7 @@ from ..sources import files as S
 from .bindings import Bound, sql
 from .q_lookup import simple
 from .q_state import _threads
-from .registry import query
+from .registry import ORACLES, query
 
 
 @query("merged_attributes_B06_Y11", "select c_custkey as id, c_mktsegment as segment, case when c_acctbal > 0 then 'yes' else 'no' end as solvent, 'kept' as note from customer")
@@ -74,6 +74,16 @@ def backtrack(spark, folder):
     return J.parents_first(ranked, c.filter("turn = 0").select("chunk_id")).withColumnRenamed("chunk_id", "id").withColumn("position", F.col("position").cast("long"))
 
 
+@query("scene_search_R12", ORACLES["backtrack_R12_Y04"].replace("'hit' as kind", "'bm25' as kind"))
+def scene_search(spark, folder):
+    """Turns after the first are scenes, the first is their parent; without vectors."""
+    c = Bound(spark, folder).t.conversations
+    kind = F.when(F.col("turn") > 0, "scene").otherwise("summary")
+    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), (F.col("conv_id") * 1000).alias("parent_chunk_id"), kind.alias("chunk_type"), F.col("text").alias("content"))
+    got = R.backtrack(docs, docs.select("chunk_id").limit(0), "the thing with", None, 5, parents=docs.filter("chunk_type = 'summary'"))
+    return got.select(F.col("chunk_id").alias("id"), F.col("source").alias("kind"), F.col("position").cast("long").alias("position"))
+
+
 @query("candidates_by_ids_Y02", "select vec_id, label from embeddings where vec_id in (select doc_id from documents where lang = 'de')")
 def candidates_by_ids(spark, folder):
     b = Bound(spark, folder)

@@ -165,7 +165,26 @@ def seed_entities(spark, folder):
     return spark.createDataFrame([(i,) for i in R.seed_entities("between NATION_2 and NATION_1", b.entities, b.aliases)], "id long")
 
 
-@query("graph_hybrid_R06")
+#: The base list, up to 30 nodes of the centre's latest 200 edges, their names and aliases, the chunks that hold these,
+#: cosine with the bonuses, the higher score of each, reranked by the share of the query's words.
+_GRAPH = sql(_RRF.strip() + """,
+base as (select doc_id, score from f order by rrf desc, doc_id limit 20),
+se as (select from_entity, to_entity, row_number() over (order by chapter desc, from_entity, to_entity, type) as r from links where from_entity = 8 or to_entity = 8 qualify r <= 200),
+nd as (select x, min(p) as p from (select from_entity as x, 2 * r as p from se union all select to_entity, 2 * r + 1 from se union all select 8, 0) group by x),
+ex as (select x from nd order by p limit 30),
+tm as (select id as x, canonical_name as term from entities where id in (select x from ex) union select entity_id, alias from aliases where entity_id in (select x from ex)),
+ch as (select d.doc_id, concat_ws(' ', d.text, e.canonical_name) as t from documents d left join entities e on e.id = d.doc_id),
+nm as (select doc_id, t from (select doc_id, t, count(*) as h from ch join tm on contains(t, term) group by doc_id, t) order by h desc, doc_id desc limit 200),
+nr as (select nm.doc_id, t, cs.score from nm join cs on cs.doc_id = nm.doc_id order by cs.score desc, nm.doc_id limit 40),
+pr as (select doc_id, score + case when (select count(*) from tm where x = 8 and contains(t, term)) > 0 then 0.2 when (select count(*) from tm where contains(t, term)) > 0 then 0.1 else 0.0 end
++ 0.05 * greatest(0.0, 1 - least(abs((select max(doc_id) from documents) - doc_id), 100) / 100.0) as score from nr),
+mg as (select doc_id, max(score) as score from (select * from base union all select * from pr) group by doc_id),
+best as (select doc_id from mg order by score desc, doc_id limit 30),
+rr as (select best.doc_id, len(list_intersect(list_distinct(t), ['the', 'onea', 'thing', 'with', 'erand'])) / 5.0 as score from best join tok on tok.doc_id = best.doc_id)
+select doc_id, round(score, 6) as score from rr order by rr.score desc, doc_id limit 10""")
+
+
+@query("graph_hybrid_R06", _GRAPH)
 def graph_hybrid(spark, folder):
     """Each document is a chunk about the entity of its number, whose name follows the text."""
     b, docs, vectors, qvec = Bound(spark, folder), _docs(spark, folder), _vectors(spark, folder), _qvec(spark, folder)
