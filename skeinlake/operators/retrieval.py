@@ -125,7 +125,8 @@ def hybrid(
     """(id, score, source): BM25 and cosine fused by reciprocal rank, then reranked. (R-04, U-01, Y-05)
 
     All vectors are compared, whatever their number. With ``full_scan`` False only those of BM25's best and of the most
-    recent documents are, which misses near vectors of other documents; None takes that way beyond
+    recent documents are, which misses most near vectors of other documents (recall of the 30 nearest: 0.23 on sf0.01, 0.03
+    on sf0.1, where vectors and texts have little to do with each other); None takes that way beyond
     ``cfg.full_scan_max`` vectors, as the reference does. Without a query vector the full path is BM25 alone and the
     prefiltered path is empty (Y-07). ``rerank`` maps (id, rrf, ...) to (id, score). Without it, and if it fails or
     gives no rows, the fused order stays, scored as ``scale`` says: "reference" keeps each hit's own score (the vector's
