@@ -214,7 +214,7 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
 def fit(docs: DataFrame, per_lang: int = 1500, penalty: float = 12.0, alpha: float = 0.3) -> Model:
     """Fit on a bounded sample: about ``per_lang`` documents for each lang value (documented bound)."""
     sample = bounded_sample(docs.filter("lang is not null and text is not null"), ["lang"], "doc_id", per_lang)
-    rows = bounded_texts(sample, "lang", "doc_id", "text").select("text", "lang").orderBy("lang", "text").toPandas()
+    rows = bounded_texts(sample, "lang", "doc_id", "text").select("text", "lang").toPandas().sort_values(["lang", "text"], kind="stable")
     langs = sorted(set(rows["lang"]))
     counts = np.zeros((3 << BITS, len(langs)))
     used = np.zeros((len(SCRIPTS) + 1, len(langs)))
