@@ -1,0 +1,38 @@
+"""The pipeline's stages against plain versions, near copies being those of five words and a similarity of 0.8."""
+
+from __future__ import annotations
+
+from skeinlake.llm import decontaminate, packing, secrets
+from tests.llm.test_near_copies import plain_near
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_and_run(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, kept = docs.columns, {}
+    start = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for k, (name, stage) in enumerate(P.STAGES):
+        path = f"file://{tmp_path}/{name}"
+        stage(spark, docs, FOLDER).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if k < 4:
+            assert docs.columns == columns
+            kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept["toxicity"]) < set(start)
+    near, pairs = plain_near(kept["toxicity"])
+    assert pairs and set(kept["near_duplicates"]) == {i for i, c in near.items() if i == c}
+    leaks = {r.doc_id for r in decontaminate.op6_query(spark, FOLDER).collect()}
+    assert leaks and set(kept["decontamination"]) == set(kept["near_duplicates"]) - leaks
+    assert set(kept["secrets"]) == set(kept["decontamination"])
+    for i, t in kept["secrets"].items():
+        assert t == secrets.redact_text(start[i]) and not [s for s in secrets.all_spans(t)[1] if s[2] != "ssh"]
+    pieces, encode = docs.collect(), packing.encoder()
+    for i, t in kept["secrets"].items():
+        mine = sorted((p.start, p.length) for p in pieces if p.doc_id == i)
+        assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:], strict=False))
+        assert sum(n for _, n in mine) == (len(encode(t)) if t else 0) + 1
+    again = P.run(spark, FOLDER).select("doc_id", "start", "ids_crc32").collect()
+    assert sorted(map(tuple, again)) == sorted((r.doc_id, r.start, r.ids_crc32) for r in pieces)
