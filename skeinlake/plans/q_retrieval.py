@@ -270,7 +270,9 @@ def neighbours(spark, folder):
     return G.neighbours(b.links.filter("chapter >= 28"), spark.createDataFrame([(8,)], "id long"), 2)
 
 
-@query("neighbours_whole_R10")
+@query("neighbours_whole_R10", sql("""with u as (select from_entity as a, to_entity as b from links union select to_entity, from_entity from links),
+h1 as (select distinct b as id from u where a = 8), h2 as (select distinct u.b as id from u join h1 on u.a = h1.id)
+select 8 as id, 0 as hop union all select id, 1 from h1 where id <> 8 union all select id, 2 from h2 where id <> 8 and id not in (select id from h1)"""))
 def neighbours_whole(spark, folder):
     """Over all links; ``neighbours_R10`` and its SQL see those of the last chapters."""
     return G.neighbours(Bound(spark, folder).links, spark.createDataFrame([(8,)], "id long"), 2)
