@@ -383,54 +383,23 @@ def blurred(text: str | None, scorer: Scorer, rng: random.Random) -> str:
     return " ".join(one(t) for t in (text or "").split(" "))
 
 
-def train(texts: list[str | None], labels: np.ndarray, share: float | None = None) -> Model:
-    """Fit on labelled texts, then once more with a blurred copy of every toxic one. ``share`` is the share of toxic
-    documents that scores are to reflect, by default that among the texts."""
-    model = train_once(texts, labels)
-    if not model.landmarks:
-        return model
-    scorer, rng = model.scorer(), random.Random(5)
-    toxic = [t for t, y in zip(texts, labels, strict=True) if y]
-    for k in range(0, len(toxic), 200):
-        scorer.measure(toxic[k : k + 200])
-    copies = [blurred(t, scorer, rng) for t in toxic]
-    del scorer
-    seen = float(np.mean(labels))
-    share = seen if share is None else min(max(share, 1e-3), 1 - 1e-3)
-    # Copies count for COPY_WEIGHT of a document; together, toxic documents are to have their share.
-    weight = np.where(labels, share / seen, (1 - share) / (1 - seen))
-    weight = np.concatenate([np.where(labels, weight / (1 + COPY_WEIGHT), weight), np.full(len(copies), COPY_WEIGHT / (1 + COPY_WEIGHT) * share / seen)])
-    return train_once([*texts, *copies], np.append(labels, np.ones(len(copies), bool)), model.landmarks, weight)
-
-
-def train_once(texts: list[str | None], labels: np.ndarray, landmarks: list[str] | None = None, weight: np.ndarray | None = None, rounds: int = 4, worst_of: tuple[int, int] = (8, 2)) -> Model:
-    """Fit on labelled texts; clean and toxic ones each stand for so many of their worst sentences, found anew in every
-    round (the clean ones' are the hardest to tell apart)."""
-    share = (labels.sum() + 1) / (len(labels) + 2)
-    plain = Model([], np.zeros(0), 0.0, np.array([float(np.log(share / (1 - share))), 0, 0, 0]))
-    same: dict[str, str] = {}  # one object for equal words
-    docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
-    is_toxic = labels.astype(bool)
-    toxic, clean = ([d for d, y in zip(docs, is_toxic, strict=True) if y == want] for want in (True, False))
-    if landmarks is None:
-        landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
-    if not landmarks:
-        return plain
-    kernel = Kernel(landmarks)
-    gram = kernel(landmarks).astype(np.float64)
-    vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
-    keep = vals > 1e-6 * vals.max()
-    nystroem = vecs[:, keep] / np.sqrt(vals[keep])
+def sentence_rows(docs: list[list[list[str]]], kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sentence (one without words for a document that has none): its document, its kernel with the landmarks."""
     vocabulary = sorted({w for d in docs for s in d for w in s})
     index = {w: i for i, w in enumerate(vocabulary)}
     pieces = [(i, p) for i, w in enumerate(vocabulary) for p in parts(w)]
-    rows = np.zeros((len(vocabulary), len(landmarks)), np.float32)
+    rows = np.zeros((len(vocabulary), len(kernel.landmarks)), np.float32)
     np.add.at(rows, [i for i, _ in pieces], kernel([p for _, p in pieces]))
-    doc_of = np.array([n for n, d in enumerate(docs) for _ in (d or [[]])])
-    raw = np.empty((len(doc_of), len(landmarks)), np.float32)
+    doc_of = np.array([n for n, d in enumerate(docs) for _ in (d or [[]])], np.int64)
+    raw = np.empty((len(doc_of), len(kernel.landmarks)), np.float32)
     for n, s in enumerate(s for d in docs for s in (d or [[]])):
         raw[n] = rows[sorted({index[w] for w in s})].sum(axis=0)
-    del rows, pieces, vocabulary, index, same, docs, toxic, clean
+    return doc_of, raw
+
+
+def machine(raw: np.ndarray, doc_of: np.ndarray, is_toxic: np.ndarray, nystroem: np.ndarray, rounds: int = 4, worst_of: tuple[int, int] = (8, 2)) -> tuple[np.ndarray, float]:
+    """A weight for each landmark and the bias; clean and toxic documents each stand for so many of their worst
+    sentences, found anew in every round (the clean ones' are the hardest to tell apart)."""
     value = raw[:, :TOXIC_LANDMARKS].max(axis=1).astype(np.float64)
     negative = ~is_toxic[doc_of]
     weights, bias = np.zeros(nystroem.shape[1]), 0.0
@@ -442,11 +411,49 @@ def train_once(texts: list[str | None], labels: np.ndarray, landmarks: list[str]
         cost = np.where(y > 0, 1.0, max(0.02, (y > 0).sum() / max((y < 0).sum(), 1)))
         weights, bias = squared_hinge(raw[use].astype(np.float64) @ nystroem, y, 10 * cost)
         value = raw @ (nystroem @ weights) + bias
-    model = Model(landmarks, nystroem @ weights, bias, plain.curve)
-    scorer = model.scorer()
-    seen = [scorer.measure(texts[k : k + 200]) for k in range(0, len(texts), 200)]
-    worst, total, words = (np.concatenate(m) for m in zip(*seen, strict=True))
-    model.curve = logistic(measures(worst + bias, total, words), is_toxic.astype(float), np.ones(len(texts)) if weight is None else weight)
+    return nystroem @ weights, bias
+
+
+def train(texts: list[str | None], labels: np.ndarray, share: float | None = None) -> Model:
+    """Fit on labelled texts, then once more with a blurred copy of every toxic one. ``share`` is the share of toxic
+    documents that scores are to reflect, by default that among the texts."""
+    is_toxic = labels.astype(bool)
+    smooth = (labels.sum() + 1) / (len(labels) + 2)
+    flat = np.array([float(np.log(smooth / (1 - smooth))), 0, 0, 0])
+    same: dict[str, str] = {}  # one object for equal words
+    docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
+    toxic, clean = ([d for d, y in zip(docs, is_toxic, strict=True) if y == want] for want in (True, False))
+    landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
+    if not landmarks:
+        return Model([], np.zeros(0), 0.0, flat)
+    kernel = Kernel(landmarks)
+    gram = kernel(landmarks).astype(np.float64)
+    vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
+    keep = vals > 1e-6 * vals.max()
+    nystroem = vecs[:, keep] / np.sqrt(vals[keep])
+    doc_of, raw = sentence_rows(docs, kernel)
+    del same, docs, toxic, clean
+    scorer, rng = Model(landmarks, *machine(raw, doc_of, is_toxic, nystroem), flat).scorer(), random.Random(5)
+    toxic = [t for t, y in zip(texts, is_toxic, strict=True) if y]
+    for k in range(0, len(toxic), 200):
+        scorer.measure(toxic[k : k + 200])
+    copies = [blurred(t, scorer, rng) for t in toxic]
+    del scorer
+    # The sentences of the texts keep their rows; only those of the copies are new.
+    copy_of, more = sentence_rows([sentences(t) for t in copies], kernel)
+    doc_of, raw = np.append(doc_of, copy_of + len(texts)), np.concatenate([raw, more])
+    every = np.append(is_toxic, np.ones(len(copies), bool))
+    weights, bias = machine(raw, doc_of, every, nystroem)
+    del raw, more
+    seen = float(np.mean(is_toxic))
+    share = seen if share is None else min(max(share, 1e-3), 1 - 1e-3)
+    # Copies count for COPY_WEIGHT of a document; together, toxic documents are to have their share.
+    weight = np.where(is_toxic, share / seen, (1 - share) / (1 - seen))
+    weight = np.concatenate([np.where(is_toxic, weight / (1 + COPY_WEIGHT), weight), np.full(len(copies), COPY_WEIGHT / (1 + COPY_WEIGHT) * share / seen)])
+    model = Model(landmarks, weights, bias, flat)
+    scorer, shown = model.scorer(), [*texts, *copies]
+    worst, total, words = (np.concatenate(m) for m in zip(*(scorer.measure(shown[k : k + 200]) for k in range(0, len(shown), 200)), strict=True))
+    model.curve = logistic(measures(worst + bias, total, words), every.astype(float), weight)
     return model
 
 
