@@ -441,10 +441,13 @@ def train(texts: list[str | None], labels: np.ndarray, share: float | None = Non
     del scorer
     # The sentences of the texts keep their rows; only those of the copies are new.
     copy_of, more = sentence_rows([sentences(t) for t in copies], kernel)
-    doc_of, raw = np.append(doc_of, copy_of + len(texts)), np.concatenate([raw, more])
+    n, doc_of = len(doc_of), np.append(doc_of, copy_of + len(texts))
+    raw.resize((len(doc_of), raw.shape[1]), refcheck=False)  # grows in place, no second array
+    raw[n:] = more
+    del more
     every = np.append(is_toxic, np.ones(len(copies), bool))
     weights, bias = machine(raw, doc_of, every, nystroem)
-    del raw, more
+    del raw
     seen = float(np.mean(is_toxic))
     share = seen if share is None else min(max(share, 1e-3), 1 - 1e-3)
     # Copies count for COPY_WEIGHT of a document; together, toxic documents are to have their share.
