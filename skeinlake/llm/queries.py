@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fm, langid, merkle, packing, quality_rules, secrets, sharding, simhash, token_rollup, toxicity, vector_codes
+from . import class_lm, decontaminate, fm, langid, merkle, packing, quality_rules, secrets, sharding, simhash, token_rollup, toxicity, vector_codes
 
 QUERIES = {
     "op1_langid": langid.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_query,
     "op9_quality_rules": quality_rules.op9_query,
     "op10_factorisation_machine": fm.op10_query,
+    "op11_class_lm": class_lm.op11_query,
     "op12_vector_codes": vector_codes.op12_query,
     "op13_merkle_manifest": merkle.op13_query,
 }
