@@ -40,14 +40,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
 #: An escaped line break or slash, as JSON writes them; backslashes may be doubled by nesting.
-_ESCAPE = r"\\+(?:[nr/]|u000[aAdD])"
-#: Header lines such as Proc-Type and DEK-Info may come before the body.
+_ESCAPE = r"\\++(?:[nr/]|u000[aAdD])"
+#: An escaped line end; runs of backslashes that are looked at again and again are bounded.
+_LINE_END = r"\\{1,16}(?:[nr]|u000[aAdD])"
+#: Header lines such as Proc-Type and DEK-Info may come before the body. A header's value ends at its line end, real or
+#: escaped, and what is matched once is not tried another way, so a text is walked once whatever it holds.
 PEM = re.compile(
-    rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:(?:\s|{_ESCAPE})*[A-Za-z][A-Za-z0-9-]{{1,31}}: [ -~]{{1,200}}?(?:\r|\n|{_ESCAPE}))*)((?:[A-Za-z0-9+/=\s]|{_ESCAPE}){{16,}}?)-----END \1-----"
+    rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:(?:\s|{_ESCAPE})*+[A-Za-z][A-Za-z0-9-]{{1,31}}+: (?:(?!{_LINE_END})[ -~]){{1,200}}+(?:\r|\n|{_LINE_END}))*+)((?:[A-Za-z0-9+/=\s]|{_ESCAPE}){{16,}}+)-----END \1-----"
 )
 SSH = re.compile(r"(?a:\b)(ssh-rsa|ssh-ed25519|ssh-dss|ecdsa-sha2-nistp\d{3}) +(AAAA[A-Za-z0-9+/]{16,}={0,2})")
-#: A candidate starts where a run starts, so a text is walked once.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: A candidate starts where a run starts, or behind an escaped line break, so a text is walked once.
+JWT = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt])|(?<=\\u000[aAdD]))eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEXBLOB = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 #: Whole runs of hex digits of any case.
