@@ -90,17 +90,22 @@ def split_batch(batch: pa.RecordBatch, text_index: int) -> Iterator[pa.RecordBat
 HOT_ROWS = 1_000_000
 
 
-def join_named(rows: DataFrame, named: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_named(rows: DataFrame, named: DataFrame, key: str | list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` with the other columns of ``named``, which has one row for each ``key`` and counts them in ``rows``.
 
     Keys with more than ``hot_rows`` rows, of which there are fewer than rows / ``hot_rows``, are broadcast, so no task
     gets them as a whole; the others are shuffled.
     """
     hot = named.filter(F.col("rows") > hot_rows)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.filter(F.col("rows") <= hot_rows), key)
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(named.filter(F.col("rows") <= hot_rows), key)
     return cold.unionByName(rows.join(F.broadcast(hot), key)).drop("rows")
 
 
+def join_counted(rows: DataFrame, named: DataFrame, key: str | list[str], most: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``join_named`` where a key may be hot; of at most ``hot_rows`` rows in all (``most``) none is, and a plain join does."""
+    return join_named(rows, named, key, hot_rows) if most > hot_rows else rows.join(named.drop("rows"), key)
+
+
 #: Rows of a narrow table, of a few numbers each, that may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -115,13 +120,14 @@ def crc_bucket(col: F.Column, mod: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def bounded_sample(df: DataFrame, by: list[str], id_col: str, per_group: int) -> DataFrame:
+def bounded_sample(df: DataFrame, by: list[str], id_col: str, per_group: int, groups: int | None = None) -> DataFrame:
     """Rows kept for fitting: about ``per_group`` per distinct value of ``by``, chosen by the hash of the id.
 
     Two passes: counts per group over narrow columns, then a hash threshold per group. Groups at or below the
-    bound are kept whole. Used for fitting models only.
+    bound are kept whole; with ``groups`` only that many of the largest are drawn from. Used for fitting models only.
     """
-    counts = df.groupBy(*by).count().collect()
+    counts = df.groupBy(*by).count()
+    counts = (counts.orderBy(F.desc("count"), *by).limit(groups) if groups else counts).collect()
     keep = F.lit(False)
     u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     for r in counts:

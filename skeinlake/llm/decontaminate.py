@@ -163,6 +163,38 @@ class Index:
             owner = np.concatenate([np.full(len(h), n) for h, n in found])
             order = np.argsort(hashes, kind="stable")
             self.seeds[width] = hashes[order], owner[order]
+        # Every place of every item with the number of the window of TILE tokens that starts there; the last places of an
+        # item start none and have number 0, which no text holds.
+        windows = [window_hashes(ids.astype(np.uint64), TILE) if len(ids) >= TILE else np.zeros(0, np.uint64) for _, ids in self.items]
+        self.windows, number = np.unique(np.concatenate([*windows, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.starts = np.cumsum([0, *(len(ids) for _, ids in self.items)])
+        self.number = np.zeros(int(self.starts[-1]), np.int64)
+        self.number[np.arange(len(number)) + np.repeat(self.starts[:-1] - np.cumsum([0, *map(len, windows)])[:-1], [len(w) for w in windows])] = number + 1
+
+    def reachable(self, text: np.ndarray, items: np.ndarray, threshold: float, step: int = 1 << 20) -> np.ndarray:
+        """Of ``items`` those with enough tokens in windows of TILE tokens that the text has. A tile is made of such
+        windows, so no leak is left out; one pass over the items' places decides for all of them."""
+        present = np.zeros(len(self.windows) + 1, bool)
+        at = np.flatnonzero((text[:-2] > 0) & (text[1:-1] > 0) & (text[2:] > 0)) if len(text) >= TILE else np.zeros(0, np.int64)
+        if not len(at) or not len(self.windows):
+            return items[:0]
+        h = np.unique(window_hashes(text.astype(np.uint64), TILE)[at])
+        place = np.minimum(np.searchsorted(self.windows, h), len(self.windows) - 1)
+        present[place[self.windows[place] == h] + 1] = True
+        sizes = self.starts[items + 1] - self.starts[items]
+        kept, ends = [], np.cumsum(sizes)
+        low = 0
+        while low < len(items):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, side="right")))
+            mine, n = items[low:high], sizes[low:high]
+            first = np.cumsum(n) - n
+            f = present[self.number[np.arange(int(n.sum())) + np.repeat(self.starts[mine] - first, n)]]
+            covered = f.copy()
+            covered[1:] |= f[:-1]  # an item's last two places start no window, so nothing runs on into the next
+            covered[2:] |= f[:-2]
+            kept.append(mine[np.add.reduceat(covered.astype(np.int64), first) >= threshold * n])
+            low = high
+        return np.concatenate(kept)
 
     def leaks(self, texts: list[str | None], threshold: float) -> list[list[tuple]]:
         """Per text: (item id, coverage, matched tokens, item tokens, tiles, longest tile) of each leak."""
@@ -178,44 +210,52 @@ class Index:
         for ids, at in zip(lists, base, strict=False):
             flat[at : at + len(ids)] = ids
         known = np.concatenate([[0], np.cumsum(flat != 0)])
-        for d, n in sorted(pair for width in self.seeds for pair in self.pairs(width, flat, known, base)):
-            item_id, item = self.items[n]
-            if len(item) < SEED:
-                text = lists[d]
-                if any(np.array_equal(text[t : t + len(item)], item) for t in np.flatnonzero(text[: len(text) - len(item) + 1] == item[0])):
-                    out[d].append((item_id, 1.0, len(item), len(item), 1, len(item)))
+        found = [list(x) for x in zip(*[self.candidates(width, flat, known, base) for width in self.seeds], strict=True)] if self.seeds else []
+        for d, shared in enumerate(found):
+            text = lists[d]
+            mine = np.unique(np.concatenate(shared))
+            if not len(mine):
                 continue
-            text = shared_runs(lists[d], item)
-            if np.isin(item, text).sum() < threshold * len(item):
-                continue
-            tiles = tile(text, item)
-            matched = sum(t[2] for t in tiles)
-            if matched >= threshold * len(item):
-                out[d].append((item_id, matched / len(item), matched, len(item), len(tiles), max(t[2] for t in tiles)))
+            short = self.starts[mine + 1] - self.starts[mine] < SEED
+            for n in sorted([*mine[short].tolist(), *self.reachable(text, mine[~short], threshold).tolist()]):
+                item_id, item = self.items[n]
+                if len(item) < SEED:
+                    if any(np.array_equal(text[t : t + len(item)], item) for t in np.flatnonzero(text[: len(text) - len(item) + 1] == item[0])):
+                        out[d].append((item_id, 1.0, len(item), len(item), 1, len(item)))
+                    continue
+                tiles = tile(shared_runs(text, item), item)
+                matched = sum(t[2] for t in tiles)
+                if matched >= threshold * len(item):
+                    out[d].append((item_id, matched / len(item), matched, len(item), len(tiles), max(t[2] for t in tiles)))
         return out
 
-    def pairs(self, width: int, flat: np.ndarray, known: np.ndarray, base: list[int], step: int = 1 << 20) -> set[tuple[int, int]]:
-        """(text, item) of every shared seed of this width."""
+    def candidates(self, width: int, flat: np.ndarray, known: np.ndarray, base: list[int]) -> list[np.ndarray]:
+        """Of each text the items with which it shares a seed of this width."""
         hashes, owner = self.seeds[width]
+        out = [np.zeros(0, np.int64)] * (len(base) - 1)
         at = np.flatnonzero(known[width:] - known[:-width] == width)
         if not len(at):
-            return set()
+            return out
         h = np.zeros(len(at), np.uint64)
         for k in range(width):
             h = h * PRIME + flat[at + k]
         low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
         hit = high > low
         doc = np.searchsorted(base, at[hit], side="right") - 1
-        # One look at each distinct seed of a text, however often it is repeated.
+        # One look at each distinct seed of a text, however often it is repeated; an item is marked, not listed, so a seed
+        # that all items share costs one stroke.
         seen = np.unique(np.stack([doc, low[hit], high[hit]], 1), axis=0)
-        found: set[tuple[int, int]] = set()
-        ends = np.cumsum(seen[:, 2] - seen[:, 1])
-        for k in range(0, int(ends[-1]) if len(ends) else 0, step):
-            place = np.arange(k, min(k + step, int(ends[-1])))
-            row = np.searchsorted(ends, place, side="right")
-            mine = owner[seen[row, 1] + place - (ends[row] - (seen[row, 2] - seen[row, 1]))]
-            found.update(map(tuple, np.unique(np.stack([seen[row, 0], mine], 1), axis=0).tolist()))
-        return found
+        starts = np.flatnonzero(np.diff(seen[:, 0], prepend=-1))
+        mark = np.zeros(len(self.items), bool)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(seen)], strict=True):
+            if int((seen[a:b, 2] - seen[a:b, 1]).sum()) < len(mark) // 8:
+                out[seen[a, 0]] = np.unique(np.concatenate([owner[x:y] for _, x, y in seen[a:b].tolist()]))
+                continue
+            mark[:] = False
+            for _, x, y in seen[a:b].tolist():
+                mark[owner[x:y]] = True
+            out[seen[a, 0]] = np.flatnonzero(mark)
+        return out
 
 
 def shared_runs(text: np.ndarray, item: np.ndarray, least: int = TILE) -> np.ndarray:

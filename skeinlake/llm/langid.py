@@ -32,6 +32,8 @@ from .common import bounded_sample, bounded_texts, crc_bucket, map_rows
 
 BITS = 17
 MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
+#: Values of lang that are learned, the most frequent ones.
+MOST_LANGS = 200
 #: Long texts are scored in blocks of this many characters, cut at a non-letter.
 BLOCK = 1_000_000
 #: Unicode script ranges (first, last code point), by script.
@@ -96,13 +98,17 @@ def features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def blocks(text: str):
-    """Whole text in pieces of at most about BLOCK characters, cut at a space where there is one."""
+    """Whole text in pieces of at most about BLOCK characters, cut at a space, or else behind the last character that
+    isn't a letter; a longer run of letters is cut where the block ends."""
     start = 0
     while start < len(text):
         end = min(len(text), start + BLOCK)
         if end < len(text):
             cut = text.rfind(" ", start + BLOCK // 2, end)
-            end = cut if cut > 0 else end
+            if cut < 0:
+                other = np.flatnonzero(tables()[0][codes(text[start + BLOCK // 2 : end])] == 0)
+                cut = start + BLOCK // 2 + int(other[-1]) + 1 if len(other) else end
+            end = cut
         yield start, text[start:end]
         start = end
 
@@ -212,11 +218,12 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, penalty: float = 12.0, alpha: float = 0.3) -> Model:
-    """Fit on a bounded sample: about ``per_lang`` documents for each lang value (documented bound)."""
-    sample = bounded_sample(docs.filter("lang is not null and text is not null"), ["lang"], "doc_id", per_lang)
+    """Fit on a bounded sample: about ``per_lang`` documents for each of the ``MOST_LANGS`` most frequent lang values
+    (documented bounds: the table has a column for each language). Documents of other values get a learned one."""
+    sample = bounded_sample(docs.filter("lang is not null and text is not null"), ["lang"], "doc_id", per_lang, MOST_LANGS)
     rows = bounded_texts(sample, "lang", "doc_id", "text").select("text", "lang").toPandas().sort_values(["lang", "text"], kind="stable")
     langs = sorted(set(rows["lang"]))
-    counts = np.zeros((3 << BITS, len(langs)))
+    counts = np.zeros((3 << BITS, len(langs)), np.int32)
     used = np.zeros((len(SCRIPTS) + 1, len(langs)))
     for i, lang in enumerate(langs):
         held: list[np.ndarray] = []
@@ -232,7 +239,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, penalty: float = 12.0, alpha: flo
             counts[:, i] += np.bincount(np.concatenate(held), minlength=len(counts))
     table = np.zeros_like(counts, dtype=np.float32)
     for order in range(3):
-        part = counts[order << BITS : (order + 1) << BITS]
+        part = counts[order << BITS : (order + 1) << BITS].astype(np.float64)
         total = part.sum(axis=0, keepdims=True)
         seen = max(1, int((part.sum(axis=1) > 0).sum()))
         logp = np.log((part + alpha) / (total + alpha * seen))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_code
-from .common import join_named, map_rows, materialize
+from .common import HOT_ROWS, join_counted, join_named, map_rows, materialize
 from .components import components
 
 BITS = 64
@@ -222,23 +222,26 @@ def block_groups(fps: DataFrame, bound: int) -> DataFrame:
     return fps.select("fp", "id", F.explode(keys).alias("k")).select("fp", "id", "k.t", "k.key")
 
 
-def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK, keyed: DataFrame | None = None) -> DataFrame:
+def links(fps: DataFrame, bound: int = 4, chunk: int = CHUNK, keyed: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges (a, b) of representatives; ``fps`` has distinct fp and its representative id.
 
     Every two fingerprints of a group that are within the bound are connected by emitted edges. The groups are those of
-    the bit blocks, in which every pair within the bound meets, or those of ``keyed`` (fp, id, t, key).
+    the bit blocks, in which every pair within the bound meets, or those of ``keyed`` (fp, id, t, key). A group's size and
+    its head are broadcast to its rows if it has more than ``hot_rows``, so it is cut into chunks where its rows are.
     """
     ship_code(fps.sparkSession)
     keyed = block_groups(fps, bound) if keyed is None else keyed
-    group = ["t", "key"]
-    keyed = keyed.join(keyed.groupBy(*group).agg(F.count("*").alias("size")).filter("size > 1"), group)
+    group, total = ["t", "key"], keyed.count()
+    sizes = keyed.groupBy(*group).agg(F.count("*").alias("rows")).filter("rows > 1")
+    keyed = join_counted(keyed, sizes.withColumn("size", F.col("rows")), group, total, hot_rows)
     small = keyed.filter(F.col("size") <= chunk).select(*group, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp", "id")
     # Rows near the head of an oversized group are connected by it; only the others are compared with all.
     big = keyed.filter(F.col("size") > chunk)
-    big = big.join(big.groupBy(*group).agg(F.min("id").alias("head"), F.min_by("fp", "id").alias("head_fp")), group)
+    heads = big.groupBy(*group).agg(F.min("id").alias("head"), F.min_by("fp", "id").alias("head_fp"), F.count("*").alias("rows"))
+    big = join_counted(big, heads, group, total, hot_rows)
     big = big.withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= bound)
-    counts = big.groupBy(*group).agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0")
-    open_ = big.join(counts, group)
+    counts = big.groupBy(*group).agg(F.count_if(~F.col("near")).alias("far"), F.count("*").alias("rows")).filter("far > 0")
+    open_ = join_counted(big, counts, group, total, hot_rows)
     far = F.ceil(F.col("far") / F.lit(chunk)).cast("int")
     near = F.ceil((F.col("size") - F.col("far")) / F.lit(chunk)).cast("int")
     mixed = F.xxhash64("fp", "id", F.lit("chunk"))
