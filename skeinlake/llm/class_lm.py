@@ -15,9 +15,10 @@ classes. Everything is counted over all training documents, and every training w
    the classes of these words, and the head's pairs are counted in the map.
 6. Score: a map adds what it knows of a document, and the joined pairs add the rest by row.
 
-Transitions are smoothed with the classes' shares (``MU`` pseudo counts), emissions with 0.1 for each type. All unknown
-words are one type, in the class with most words seen once; so probabilities sum to one over the vocabulary, the unknown
-type and the end.
+Transitions are smoothed with the classes' shares (``MU`` pseudo counts). Emissions are discounted: each type of a class
+gives the same part of a count, found from how many words are seen once and twice, to the unknown words, which are one
+type. How likely an unknown word is follows from the classes that may come next; what comes after it, from the class with
+most words seen once. Probabilities sum to one over the vocabulary, the unknown type and the end.
 
 Words are what stands between ASCII white space, with A-Z in lower case. ``HEAD`` and ``CORE`` are bounds of what tasks look
 up and what is moved more than once; no word, pair or document is left out.
@@ -154,11 +155,25 @@ def encoded(texts: DataFrame, head: Head) -> DataFrame:
 
 def line(codes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents of a batch in one row of numbers, with an end before the first and after each; tokens of each."""
-    held = codes.to_pylist()
-    sizes = np.array([len(x) // 4 for x in held], np.int64)
-    flat = np.full(int(sizes.sum()) + len(held) + 1, end, np.int64)
-    flat[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(held)), sizes) + 1] = np.frombuffer(b"".join(held), np.uint32)
-    return flat, sizes + 1
+    data, sizes = bytes_of(codes)
+    sizes = sizes.astype(np.int64) // 4
+    ends = np.cumsum(sizes)
+    # Every document is put behind the end of the one before.
+    flat = np.insert(np.frombuffer(data, np.int32), ends, end)
+    return np.concatenate([np.array([end], np.int32), flat]), sizes + 1
+
+
+def bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(all bytes of a binary column, length of each value), without a copy of each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return memoryview(data)[offsets[0] : offsets[-1]] if data is not None else memoryview(b""), np.diff(offsets)
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces of ``data`` that end before ``ends`` (in items)."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def contexts(training: DataFrame, head: Head, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +187,17 @@ def contexts(training: DataFrame, head: Head, classes: np.ndarray) -> tuple[np.n
     schema = pa.schema([("w", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.astype(np.int64)
+        of = shared.value.astype(np.uint8)
         total, pairs = np.zeros((core + 1, wide), np.int64), np.zeros(SLOTS * SLOTS, np.int64)
         for batch in batches:
             flat, _ = line(batch.column(0), end)
-            left, right = flat[:-1], flat[1:]
-            before, after = of[left], of[right]
-            pairs += np.bincount(before * SLOTS + after, minlength=SLOTS * SLOTS)
-            for word, slot, base in ((left, after, 0), (right, before, SLOTS)):
-                mine = (word > 0) & (word <= core)
-                total[:, base : base + SLOTS] += np.bincount(word[mine] * SLOTS + slot[mine], minlength=(core + 1) * SLOTS).reshape(-1, SLOTS)
-            same = left[(left == right) & (left > 0) & (left <= core)]
-            total[:, -1] += np.bincount(same, minlength=core + 1)
+            slots, own = of[flat], np.where(flat <= core, flat, 0)  # row 0 takes what isn't counted
+            before, after = slots[:-1], slots[1:]
+            pairs += np.bincount(before * np.int32(SLOTS) + after, minlength=SLOTS * SLOTS)
+            for word, slot, base in ((own[:-1], after, 0), (own[1:], before, SLOTS)):
+                total[:, base : base + SLOTS] += np.bincount(word * np.int32(SLOTS) + slot, minlength=(core + 1) * SLOTS).reshape(-1, SLOTS)
+            total[:, -1] += np.bincount(own[:-1][flat[:-1] == flat[1:]], minlength=core + 1)
+        total[0] = 0
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([pairs.tobytes(), *(total[k].tobytes() for k in used)], pa.binary())], schema=schema)
 
@@ -299,6 +313,14 @@ class Placer:
         return (total - (f(self.out + n) - f(self.out)) - (f(self.into + n) - f(self.into))).argmax(axis=1) + 1
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all parts with their sums."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def placed(training: DataFrame, head: Head, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
     """(id, word, class, n) of all training words outside the core; ``id`` is null for words outside the head, ``word`` for
     those in it."""
@@ -307,42 +329,36 @@ def placed(training: DataFrame, head: Head, classes: np.ndarray, pairs: np.ndarr
     schema = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("slots", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value[0].astype(np.int64)
+        of = shared.value[0].astype(np.uint8)
         numbers: dict[bytes, int] = {}
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, sums, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
         def out() -> pa.RecordBatch:
             code, slot = keys // (2 * SLOTS), (keys % (2 * SLOTS)).astype(np.uint8)
             starts = np.flatnonzero(np.diff(code, prepend=-1))
-            ends = np.append(starts[1:], len(code))
-            rare, known = list(numbers), code[starts].tolist()
-            least = sums.astype(np.uint32)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c if c <= end else None for c in known], pa.int32()),
-                    pa.array([None if c <= end else rare[c - end - 1] for c in known], pa.binary()),
-                    pa.array([slot[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([least[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ],
-                schema=schema,
-            )
+            ends, known = np.append(starts[1:], len(code)), code[starts]
+            outside = known > end
+            words = pa.array(list(numbers), pa.binary()).take(pa.array(np.where(outside, known - end - 1, 0), mask=~outside))
+            return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32), mask=outside), words, binary_column(slot, ends), binary_column(sums.astype(np.uint32), ends)], schema=schema)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 flat, _ = line(part.column(0), end)
-                slots = of[flat]
+                slots, flat = of[flat], flat.astype(np.int64)
                 at = np.flatnonzero(flat == 0)
                 flat[at] = [numbers.setdefault(w, len(numbers)) + end + 1 for w in part.column(1).flatten().to_pylist()]
                 mine = np.flatnonzero((flat > core) & (flat != end))
                 new, n = np.unique(np.concatenate([flat[mine] * (2 * SLOTS) + slots[mine + 1], flat[mine] * (2 * SLOTS) + SLOTS + slots[mine - 1]]), return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, back, np.concatenate([sums, n]))
-                sums = total
+                waiting.append((new, n))
+                if sum(len(x) for x, _ in waiting) > 2 * HELD:
+                    keys, sums = added(waiting)
+                    waiting = [(keys, sums)]
                 if len(keys) > 4 * HELD or len(numbers) > HELD:
+                    keys, sums = added(waiting)
                     yield out()
-                    numbers, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    numbers, keys, waiting = {}, np.zeros(0, np.int64), []
+        keys, sums = added(waiting)
         if len(keys):
             yield out()
 
@@ -352,12 +368,10 @@ def placed(training: DataFrame, head: Head, classes: np.ndarray, pairs: np.ndarr
         waiting: list[pa.RecordBatch] = []
 
         def out(rows: pa.RecordBatch, key: np.ndarray) -> pa.RecordBatch:
-            slots, counts = rows.column(2).to_pylist(), rows.column(3).to_pylist()
-            word = np.repeat(key, [len(s) for s in slots])
-            entry = word * (2 * SLOTS) + np.frombuffer(b"".join(slots), np.uint8)
+            (slots, sizes), (counts, _) = bytes_of(rows.column(2)), bytes_of(rows.column(3))
+            entry = np.repeat(key, sizes) * (2 * SLOTS) + np.frombuffer(slots, np.uint8)
             cells, back = np.unique(entry, return_inverse=True)
-            total = np.zeros(len(cells), np.int64)
-            np.add.at(total, back, np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
+            total = np.bincount(back, np.frombuffer(counts, np.uint32)).astype(np.int64)
             owner, slot = cells // (2 * SLOTS), cells % (2 * SLOTS)
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             n = np.add.reduceat(np.where(slot < SLOTS, total, 0), starts)
@@ -402,97 +416,114 @@ def word_numbers(rows: pa.RecordBatch) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``emission`` and ``base`` hold log10 probabilities by number (0: unknown word), ``transition`` those of class pairs;
-    ``total`` and ``base_total`` are the denominators for words outside the head."""
+    """``emission`` and ``base`` hold log10 probabilities by number, ``transition`` [class, class] those of class pairs, its
+    last column that of an unknown word; ``mass`` is the count of each class, ``discount`` what each type gives away."""
 
     classes: np.ndarray
     emission: np.ndarray
     base: np.ndarray
     known: np.ndarray
     transition: np.ndarray
-    total: np.ndarray
+    mass: np.ndarray
+    discount: float
     base_total: float
     unknown: int
     tokens: int
 
 
-PAIR = "row long, held boolean, before binary, before_class int, word binary, word_class int, times long"
+RARE = "row long, held boolean, before binary, before_class int, word binary, after_class int, times long"
 
 
-def rare_pairs(codes: DataFrame, head: Head, classes: np.ndarray) -> DataFrame:
-    """Neighbours of which one is outside the head, with the words that are to be joined; and, in rows without words, how
-    often each pair of classes follows each other in a task's training documents within the head."""
+def rare_words(codes: DataFrame, head: Head, classes: np.ndarray) -> DataFrame:
+    """What is to be joined: each occurrence of a word outside the head with the classes of its neighbours (null if they are
+    outside too), and each pair of neighbours that both are (``before``, ``word``). Rows without a word say how often two
+    classes follow each other (``before_class``, ``after_class``) in a task's training documents within the head."""
     shared, end = codes.sparkSession.sparkContext.broadcast(classes), head.end
-    names = [x.split(" ")[0] for x in PAIR.split(", ")]
+    names = [x.split(" ")[0] for x in RARE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.astype(np.int64)
+        of = shared.value.astype(np.uint8)
         counts = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 flat, sizes = line(part.column(2), end)
+                slots, rare = of[flat], flat == 0
                 doc = np.repeat(np.arange(part.num_rows), sizes)
                 held = part.column(1).to_numpy(zero_copy_only=False)[doc]
-                left, right = flat[:-1], flat[1:]
-                some = (left == 0) | (right == 0)
-                mine = ~some & ~held
-                counts += np.bincount(of[left[mine]] * CLASSES + of[right[mine]], minlength=CLASSES * CLASSES)
-                at = np.flatnonzero(some)
-                words, number = part.column(3).flatten(), np.cumsum(flat == 0) - 1
-                sides = []
-                for side, shift in ((left[at], 0), (right[at], 1)):
-                    outside = side == 0
-                    sides += [words.take(pa.array(np.where(outside, number[at + shift], 0), mask=~outside)), pa.array(np.where(outside, 0, of[side]).astype(np.int32), mask=outside)]
-                row = part.column(0).take(pa.array(doc[at]))
-                yield pa.RecordBatch.from_arrays([row, pa.array(held[at]), *sides, pa.array(np.ones(len(at), np.int64))], names=names)
+                mine = ~(rare[:-1] | rare[1:] | held)
+                counts += np.bincount(slots[:-1][mine] * np.int32(CLASSES) + slots[1:][mine], minlength=CLASSES * CLASSES)
+                # The first place is an end, so every such word has one before it, and the last one an end behind it.
+                at, words = np.flatnonzero(rare), part.column(3).flatten()
+                side = lambda x: pa.array(slots[x].astype(np.int32), mask=rare[x])
+                row, out = part.column(0).take(pa.array(doc[at - 1])), pa.array(held[at - 1])
+                none, one = pa.nulls(len(at), pa.binary()), pa.array(np.ones(len(at), np.int64))
+                yield pa.RecordBatch.from_arrays([row, out, none, side(at - 1), words, side(at + 1), one], names=names)
+                two = np.flatnonzero(np.diff(at) == 1)
+                if len(two):
+                    k, unknown = pa.array(two), pa.nulls(len(two), pa.int32())
+                    yield pa.RecordBatch.from_arrays([row.take(k), out.take(k), words.take(k), unknown, words.take(pa.array(two + 1)), unknown, one.take(k)], names=names)
         used = np.flatnonzero(counts)
         n, none = len(used), pa.nulls(len(used), pa.binary())
-        sides = [none, pa.array((used // CLASSES).astype(np.int32)), none, pa.array((used % CLASSES).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool)), *sides, pa.array(counts[used])], names=names)
-
-    return codes.select("row", "held", "codes", "rare").mapInArrow(run, PAIR)
-
-
-def resolved(pairs: DataFrame, tail: DataFrame) -> DataFrame:
-    """Pairs with the classes of the words outside the head (null: unknown) and, where the second is one, its count
-    (``n``; 0: unknown). Only pairs that have a word there take part in a join."""
-    of = tail.select("word", "class", "n")
-    first = pairs.filter("before is not null").join(of.select(F.col("word").alias("before"), F.col("class").alias("c")), "before", "left").withColumn("before_class", F.col("c"))
-    columns = ["row", "held", "before_class", "word", "word_class", "times"]
-    half = first.select(columns)
-    second = pairs.filter("before is null and word is not null").select(columns).unionByName(half.filter("word is not null"))
-    second = second.join(of, "word", "left").withColumn("word_class", F.col("class")).withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = pairs.filter("before is null and word is null").select(columns).unionByName(half.filter("word is null")).withColumn("n", F.lit(None).cast("long"))
-    columns = ["row", "held", "before_class", "word_class", "times", "n"]
-    return second.select(columns).unionByName(rest.select(columns))
-
-
-def modelled(head: Head, classes: np.ndarray, tail: DataFrame, pairs: DataFrame, documents: int, words: tuple[int, int]) -> Model:
-    """From the classes of all words and the pairs of the training documents; ``words``: tokens and distinct words."""
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool)), none, pa.array((used // CLASSES).astype(np.int32)), none, pa.array((used % CLASSES).astype(np.int32)), pa.array(counts[used])], names=names
+        )
+
+    return codes.select("row", "held", "codes", "rare").mapInArrow(run, RARE)
+
+
+def resolved(rare: DataFrame, tail: DataFrame) -> DataFrame:
+    """(row, held, before_class, word_class, after_class, times, n) with the classes of the words outside the head: the
+    unknown ones have -1 and the count ``n`` 0. Pairs have no ``n`` and no class before."""
+    of = tail.select("word", F.col("class").alias("word_class"), "n")
+    columns = ["row", "held", "before_class", "word_class", "after_class", "times", "n"]
+    known = lambda c: F.coalesce(c, F.lit(-1))
+    single = rare.filter("before is null and word is not null").join(of, "word", "left").withColumn("word_class", known("word_class")).withColumn("n", F.coalesce("n", F.lit(0)))
+    first = of.select(F.col("word").alias("before"), F.col("word_class").alias("first_class"))
+    second = of.select("word", F.col("word_class").alias("second_class"))
+    pairs = rare.filter("before is not null").join(first, "before", "left").join(second, "word", "left")
+    pairs = pairs.withColumn("word_class", known("first_class")).withColumn("after_class", known("second_class")).withColumn("n", F.lit(None).cast("long"))
+    within = rare.filter("word is null").withColumn("word_class", F.col("before_class")).withColumn("before_class", F.lit(None).cast("int")).withColumn("n", F.lit(None).cast("long"))
+    return single.select(columns).unionByName(pairs.select(columns)).unionByName(within.select(columns))
+
+
+def modelled(head: Head, classes: np.ndarray, tail: DataFrame, found: DataFrame, documents: int, words: tuple[int, int]) -> Model:
+    """From the classes of all words and the neighbours in the training documents; ``words``: tokens and distinct words."""
     followed = np.zeros((CLASSES, CLASSES), np.int64)
-    for r in pairs.filter("not held").groupBy("before_class", "word_class").agg(F.sum("times").alias("n")).collect():
-        followed[r.before_class, r.word_class] = r.n
-    of = classes[1 : head.end].astype(np.int64)
-    mass, types, single = (np.bincount(of, w, CLASSES) for w in (head.counts[1:].astype(float), None, (head.counts[1:] == 1).astype(float)))
-    mass[0], types[0] = documents, 1
-    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("single")).collect():
+    for r in found.filter("not held").groupBy("before_class", "word_class", "after_class").agg(F.sum("times").alias("n")).collect():
+        for a, b in ((r.before_class, r.word_class), (r.word_class, r.after_class)):
+            if a is not None and b is not None:
+                followed[a, b] += r.n
+    of, counts = classes[1 : head.end].astype(np.int64), head.counts[1:].astype(float)
+    mass, types, single = (np.bincount(of, w, CLASSES).astype(float) for w in (counts, None, (counts == 1).astype(float)))
+    twice = float((counts == 2).sum())
+    seen = [F.count_if(F.col("n") == k).alias(f"seen{k}") for k in (1, 2)]
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types"), *seen).collect():
         mass[r["class"]] += r.n
         types[r["class"]] += r.types
-        single[r["class"]] += r.single
-    single[0] = -1
-    unknown = int(single.argmax()) if single[1:].any() else max(1, int(types[1:].argmax()) + 1)
-    types[unknown] += 1
-    total = mass + ALPHA * types
-    share = (followed.sum(axis=0) + 1) / (followed.sum() + CLASSES)
-    transition = np.log10((followed + MU * share) / (followed.sum(axis=1, keepdims=True) + MU))
-    tokens, distinct = words[0] + documents, words[1] + (documents > 0)
+        single[r["class"]] += r.seen1
+        twice += r.seen2
+    once = float(single.sum())
+    discount = float(np.clip(once / (once + 2 * twice), 0.1, 0.9)) if once else 0.1
+    unknown = int(single[1:].argmax()) + 1 if once else int(types[1:].argmax()) + 1
+    mass[0], tokens, distinct = documents, words[0] + documents, words[1] + (documents > 0)
     base_total = tokens + ALPHA * (distinct + 1)
-    counts = np.concatenate([head.counts, [documents]]).astype(float)
-    where = np.concatenate([[unknown], of, [0]])
-    emission = np.log10((counts + ALPHA) / np.maximum(total[where], ALPHA))
-    emission[head.end] = 0.0
-    return Model(np.append(np.concatenate([[unknown], of]), 0), emission, np.log10((counts + ALPHA) / base_total), counts > 0, transition, np.maximum(total, ALPHA), base_total, unknown, tokens)
+    # Classes without a word are never entered; the end always may come.
+    used = (mass > 0) | (np.arange(CLASSES) == 0)
+    share = np.where(used, followed.sum(axis=0) + 1, 0)
+    moved = (followed + MU * share / share.sum()) / (followed.sum(axis=1, keepdims=True) + MU)
+    left = discount * types / np.maximum(mass, 1)
+    left[0] = 0
+    # An unknown word has some probability also where no class has anything left.
+    least = ALPHA / (base_total + 1)
+    to_unknown = (1 - least) * (moved @ left) + least
+    with np.errstate(divide="ignore"):
+        transition = np.log10(np.concatenate([(1 - least) * moved, to_unknown[:, None]], axis=1))
+    transition[np.isinf(transition)] = 0  # never read
+    emission = np.zeros(head.end + 1)
+    emission[1 : head.end] = np.log10((counts - discount) / mass[of])
+    by_number = np.concatenate([[0], counts, [documents]])
+    return Model(np.concatenate([[unknown], of, [0]]).astype(np.uint8), emission, np.log10((by_number + ALPHA) / base_total), by_number > 0, transition, mass, discount, base_total, unknown, tokens)
 
 
 def head_scores(codes: DataFrame, model: Model, end: int) -> DataFrame:
@@ -504,9 +535,10 @@ def head_scores(codes: DataFrame, model: Model, end: int) -> DataFrame:
         for batch in batches:
             flat, sizes = line(batch.column(3), end)
             left, right = flat[:-1], flat[1:]
+            slots = m.classes[flat]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             inside = right > 0
-            score = np.where(inside, m.emission[right], 0) + np.where(inside & (left > 0), m.transition[m.classes[left], m.classes[right]], 0)
+            score = np.where(inside, m.emission[right], 0) + np.where(inside & (left > 0), m.transition[slots[:-1], slots[1:]], 0)
             sums = [np.add.reduceat(x, starts) for x in ((inside & m.known[right]).astype(np.int64), np.where(inside, m.base[right], 0), score)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (sizes, *sums))], names=["row", "id", "held", "n_tokens", "known", "base", "score"])
 
@@ -514,18 +546,20 @@ def head_scores(codes: DataFrame, model: Model, end: int) -> DataFrame:
     return codes.select("row", "id", "held", "codes").mapInArrow(run, f"row long, id {id_type}, held boolean, n_tokens long, known long, base double, score double")
 
 
-def rest_scores(pairs: DataFrame, model: Model) -> DataFrame:
-    """(row, more_known, more_base, more_score): what pairs with a word outside the head add."""
-    spark, unknown = pairs.sparkSession, F.lit(model.unknown)
-    cells = [(i, j, float(model.transition[i, j]), float(model.total[j])) for i in range(CLASSES) for j in range(CLASSES)]
-    table = F.broadcast(spark.createDataFrame(cells, "before_class int, word_class int, moved double, total double"))
-    rows = pairs.filter("row >= 0").withColumn("before_class", F.coalesce("before_class", unknown)).withColumn("word_class", F.coalesce("word_class", unknown)).join(table, ["before_class", "word_class"])
-    word = F.col("n").isNotNull()
-    count = F.col("n") + F.lit(ALPHA)
+def rest_scores(found: DataFrame, model: Model) -> DataFrame:
+    """(row, more_known, more_base, more_score): what words outside the head add, with the transitions to and from them."""
+    moved = F.array(*[F.lit(float(x)) for x in model.transition.ravel()])
+    mass = F.array(*[F.lit(float(x)) for x in model.mass])
+    rows = found.filter("row >= 0").select("row", "n", "before_class", "word_class", "after_class")
+    come = lambda c: F.when(F.col(c) < 0, model.unknown).otherwise(F.col(c))
+    go = lambda c: F.when(F.col(c) < 0, CLASSES).otherwise(F.col(c))
+    step = lambda a, b: F.coalesce(F.get(moved, come(a) * (CLASSES + 1) + go(b)), F.lit(0.0))
+    word, known = F.col("n").isNotNull(), F.col("n") > 0
+    emitted = F.when(known, F.log10((F.col("n") - F.lit(model.discount)) / F.get(mass, go("word_class")))).otherwise(0.0)
     return rows.groupBy("row").agg(
-        F.count_if(F.col("n") > 0).alias("more_known"),
-        F.sum(F.when(word, F.log10(count / F.lit(model.base_total))).otherwise(0.0)).alias("more_base"),
-        F.sum(F.col("moved") + F.when(word, F.log10(count / F.col("total"))).otherwise(0.0)).alias("more_score"),
+        F.count_if(known).alias("more_known"),
+        F.sum(F.when(word, F.log10((F.col("n") + F.lit(ALPHA)) / F.lit(model.base_total))).otherwise(0.0)).alias("more_base"),
+        F.sum(step("before_class", "word_class") + step("word_class", "after_class") + emitted).alias("more_score"),
     )
 
 
@@ -546,7 +580,7 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     classes = classes.copy()
     classes[numbered.column(0).to_numpy()] = numbered.column(1).to_numpy()
     tail = others.filter("code is null")
-    found = materialize(resolved(rare_pairs(codes, known, classes), tail))
+    found = materialize(resolved(rare_words(codes, known, classes), tail))
     model = modelled(known, classes, tail, found, documents, (total[0], total[1]))
     rest = rest_scores(found, model)
     got = head_scores(codes, model, known.end).join(if_small(materialize(rest)), "row", "left")
