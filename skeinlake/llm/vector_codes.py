@@ -125,7 +125,8 @@ def matrix(column: pa.ListArray, length: int) -> np.ndarray:
 
 
 def first_vectors(kept: DataFrame, many: int) -> np.ndarray:
-    """Vectors of the smallest ids: each task sends its smallest ones, the rest is a top-k of a few rows a task."""
+    """Vectors of the smallest ids that have the length of the first: each task sends its smallest ones, the rest is a top-k of
+    a few rows a task."""
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -140,11 +141,10 @@ def first_vectors(kept: DataFrame, many: int) -> np.ndarray:
 
     got = kept.select("id", "v").mapInArrow(smallest, "id long, v array<double>")
     rows = got.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.col("id").asc_nulls_last()).limit(many).collect()
-    length = len(rows[0].v) if rows else 0
-    if length % PARTS:
-        length = 0
-    same = [r.v for r in rows if len(r.v) == length]
-    return np.array(same, np.float64).reshape(len(same), length)
+    lengths = {len(r.v) for r in rows}
+    if len(lengths) > 1:
+        return first_vectors(kept.filter(F.size("v") == len(rows[0].v)), many)
+    return np.array([r.v for r in rows], np.float64).reshape(len(rows), max(lengths, default=0))
 
 
 def named(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None = None) -> DataFrame:
@@ -159,7 +159,7 @@ def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     component in a round."""
     ship_code(vectors.sparkSession)
     kept = named(vectors, id_col, vector_col)
-    start = first_vectors(kept.filter(F.size("v") > 0), entries)
+    start = first_vectors(kept.filter((F.size("v") > 0) & (F.size("v") % PARTS == 0)), entries)
     length = start.shape[1]
     if not length:
         return None
