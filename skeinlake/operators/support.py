@@ -90,15 +90,3 @@ def named_files(files: DataFrame, keyword: str) -> DataFrame:
     stem = F.regexp_replace("file", r"\.[^.]+$", "")
     hit = files.filter(stem.contains(keyword))
     return hit.orderBy((stem == keyword).desc(), "file").limit(1)
-
-
-def save_snapshot(pack: DataFrame, path: str, version: str, chapter: int) -> None:
-    """A versioned copy of an assembled context. (B-33)"""
-    pack.write.mode("overwrite").parquet(f"{path}/version={version}/chapter={chapter}")
-
-
-def load_snapshot(spark, path: str, version: str, chapter: int) -> DataFrame | None:
-    """The copy of that version and chapter, None if there is none (another version's isn't used). (B-33, Y-25)"""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/chapter={chapter}")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(folder.toString()) if fs.exists(folder) else None

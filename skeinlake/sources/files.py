@@ -49,20 +49,21 @@ def clean_markdown(col: Column) -> Column:
 
 def chapters(files: DataFrame, stats_name: str, names: DataFrame | None = None) -> DataFrame:
     """Chapters of a Markdown corpus by path: number, title, length of the cleaned text, a value of the statistics list,
-    and the names of a list that occur in the text. (A-04, D-12, F-26)
+    and the sorted names of a table that occur in the text. (A-04, D-12, F-26)
 
-    ``names`` (column name) is a list of candidates, all of which every text is tested against: one row that is
-    broadcast, so it must fit in a task's memory; none of it is left out.
+    ``names`` (column name) may have any number of rows; see ``names_in_texts``. Paths tell files apart.
     """
+    from ..operators.names import name_lists
+
     got = files.withColumn("chapter", chapter_of_path(F.col("path"))).filter("chapter is not null")
     clean = clean_markdown(F.col("text"))
     title = F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1))
-    found = F.array().cast("array<string>")
-    if names is not None:
-        listed = names.agg(F.sort_array(F.collect_set("name")).alias("__names")).withColumn("__one", F.lit(1))
-        got = got.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")
-        found = F.filter("__names", lambda n: F.col("text").contains(n))
-    return got.select("path", "chapter", F.when(title != "", title).alias("title"), F.char_length(clean).alias("word_count"), stats_field(F.col("text"), stats_name).alias("stat"), found.alias("characters"), "text")
+    none = F.array().cast("array<string>")
+    if names is None:
+        got = got.withColumn("__names", none)
+    else:
+        got = got.join(name_lists(got, names, "path", "text").select("path", F.col("names").alias("__names")), "path", "left")
+    return got.select("path", "chapter", F.when(title != "", title).alias("title"), F.char_length(clean).alias("word_count"), stats_field(F.col("text"), stats_name).alias("stat"), F.coalesce("__names", none).alias("characters"), "text")
 
 
 def chapter_summary(text: Column, own: Column | None, title: str, stats_name: str, first: int = 500) -> Column:
