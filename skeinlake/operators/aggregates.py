@@ -40,10 +40,10 @@ def one_row(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b), "__one"), keyed).drop("__one")
 
 
-def count_per(df: DataFrame, group: str, name: str = "n", missing: str | None = None) -> DataFrame:
-    """Rows per group, null under a name of its own. (E-06, E-12, E-15, E-16)"""
+def count_per(df: DataFrame, group: str, name: str = "n", missing: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Rows per group, null under a name of its own, and further aggregates by name. (E-06, E-12, E-15, E-16)"""
     key = F.coalesce(F.col(group).cast("string"), F.lit(missing)).alias(group) if missing else F.col(group)
-    return df.groupBy(key).agg(F.count("*").alias(name))
+    return df.groupBy(key).agg(F.count("*").alias(name), *[c.alias(n) for n, c in (more or {}).items()])
 
 
 def pattern_usage(reading: DataFrame, n: int, patterns: str = "coolpoint_patterns") -> DataFrame:

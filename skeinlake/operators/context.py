@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compact, confidence_band, frequency, has_any, length_score, recency
+from .lookup import per_group_top
 
 #: Share of recency, share of the second measure, bonus.
 W_RECENCY, W_SECOND, W_BONUS = 0.7, 0.3, 0.2
@@ -93,14 +94,19 @@ def dominant(df: DataFrame, label: str, at: str = "chapter") -> DataFrame:
 
 
 def pick_rules(rules: DataFrame, least: int, most: int, group: str | None = None, rank: str = "priority", rule: str = "id") -> DataFrame:
-    """At most ``most`` distinct rules by priority; groups with fewer than ``least`` have ``enough`` false. (X-12)"""
+    """At most ``most`` distinct rules by priority; groups with fewer than ``least`` have ``enough`` false. (X-12)
+
+    Rules are counted by an aggregation and the first few of each task come together, not all rules of a group.
+    """
     from pyspark.sql import Window
 
-    keys = [group] if group else []
-    once = rules.groupBy(*keys, rule).agg(F.min(rank).alias(rank))
-    w = Window.partitionBy(*keys).orderBy(rank, rule)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return once.withColumns({"place": F.row_number().over(w), "enough": n >= least}).filter(F.col("place") <= most)
+    key = group or "__all"
+    rows = rules if group else rules.withColumn(key, F.lit(0))
+    once = rows.groupBy(key, rule).agg(F.min(rank).alias(rank))
+    counts = once.groupBy(F.col(key).alias("__key")).agg((F.count("*") >= least).alias("enough"))
+    best = per_group_top(once, key, most, rank, rule).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(rank, rule)))
+    got = best.join(counts, F.col(key).eqNullSafe(F.col("__key")))
+    return got.select(*([group] if group else []), rule, rank, "place", "enough")
 
 
 def style_candidates(scenes: DataFrame, least_score: float = 80, least_chars: int = 200, most_chars: int = 2000, score: str = "score", text: str = "content") -> DataFrame:

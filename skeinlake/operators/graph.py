@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import polarity
-from .joins import fill_from_snapshot, latest_as_of
+from .joins import fill_from_snapshot, hydrate, latest_as_of
+from .lookup import per_group_top
 from .storage import materialize
 
 EDGE = ["from_entity", "to_entity", "type"]
@@ -79,6 +80,48 @@ def subgraph(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> tuple[l
     return out, list(nodes)
 
 
+def subgraphs(edges: DataFrame, centers: list, depth: int = 2, cap: int = 50) -> dict:
+    """``subgraph`` of many centres at once: centre -> (edges, nodes). (R-10, G-02)
+
+    A hop is one join of the edges with the frontiers of all centres, which are broadcast: they are at most ``cap`` edges'
+    ends for each centre, as what is brought in a hop is.
+    """
+    spark, kind = edges.sparkSession, edges.schema["from_entity"].dataType.simpleString()
+    events = "event_id" in edges.columns
+    order = ["__late", "chapter desc", *(["event_id desc"] if events else []), *EDGE]
+    depth, cap = max(1, depth), max(1, cap)
+    centers = list(dict.fromkeys(centers))
+    found = {c: ([], {c: None}) for c in centers}
+    frontier = {c: [c] for c in centers}
+    for hop in range(1, depth + 1):
+        open_ = {c: nodes for c, nodes in frontier.items() if nodes and len(found[c][0]) < cap}
+        if not open_:
+            break
+        known = [(k, x, x in set(open_[c])) for k, c in enumerate(centers) if c in open_ for x in found[c][1]]
+        near = F.broadcast(spark.createDataFrame([(k, x) for k, x, new in known if new], f"__k int, __x {kind}"))
+        ends = edges.withColumn("__x", F.explode(F.array_distinct(F.array("from_entity", "to_entity"))))
+        touch = ends.join(near, "__x").drop("__x").dropDuplicates(["__k", *EDGE, "chapter", *(["event_id"] if events else [])])
+        if hop > 1:  # edges with an end inside were seen in an earlier hop
+            inner = F.broadcast(spark.createDataFrame([(k, x) for k, x, new in known if not new], f"__k int, __x {kind}"))
+            for end in ("from_entity", "to_entity"):
+                touch = touch.join(inner.withColumnRenamed("__x", end), ["__k", end], "left_anti")
+        late = F.col("event_id").isNull() if events else F.lit(False)
+        rows = per_group_top(touch.withColumn("__late", late), "__k", cap, *order).collect()
+        rows.sort(key=lambda r: (r["__k"], r["__late"], -r.chapter, -(r.event_id or 0) if events else 0, *[r[c] for c in EDGE]))
+        frontier = {c: [] for c in centers}
+        for r in rows:
+            c = centers[r["__k"]]
+            out, nodes = found[c]
+            if len(out) >= cap:
+                continue
+            out.append((r.from_entity, r.to_entity, r.type, r.chapter, hop))
+            for x in (r.from_entity, r.to_entity):
+                if x not in nodes:
+                    nodes[x] = None
+                    frontier[c].append(x)
+    return {c: (out, list(nodes)) for c, (out, nodes) in found.items()}
+
+
 def subgraph_frame(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> DataFrame:
     """The edges of ``subgraph`` as a frame. (G-05)"""
     got, _ = subgraph(edges, center, depth, cap)
@@ -87,6 +130,27 @@ def subgraph_frame(edges: DataFrame, center, depth: int = 2, cap: int = 50) -> D
     return edges.sparkSession.createDataFrame(got, schema)
 
 
+def relationship_report(
+    entities: DataFrame, aliases: DataFrame, edges: DataFrame, legacy: DataFrame, name: str | None = None, lead: str = "", depth: int = 2, cap: int = 40
+) -> DataFrame:
+    """(from_name, to_name, label, hostile): the lines of the relationship report. (G-05)
+
+    Around the protagonist of the index, ``depth`` levels and ``cap`` edges; if the index has none, the legacy records
+    (name, relation, hostile, affection, hatred) around ``lead``: those with a relation as allies or enemies or, where no
+    record has one, a line each for an affection and a hatred above 0.
+    """
+    center = protagonist(entities, aliases, name)
+    if center is not None:
+        got = subgraph_frame(edges, center, depth, cap)
+        for end, out in (("from_entity", "from_name"), ("to_entity", "to_name")):
+            got = hydrate(got, entities.select("id", F.col("canonical_name").alias(out)), {out: F.col(end).cast("string")}, key=end)
+        return got.select("from_name", "to_name", F.col("type").alias("label"), F.lit(False).alias("hostile"))
+    if not legacy.filter("relation is not null").isEmpty():
+        return legacy.filter("relation is not null").select(F.lit(lead).alias("from_name"), F.col("name").alias("to_name"), F.col("relation").alias("label"), F.coalesce("hostile", F.lit(False)).alias("hostile"))
+    lines = F.array(*[F.when(F.col(c) > 0, F.struct(F.concat(F.lit(f"{c} "), F.col(c)).alias("label"), F.lit(c == "hatred").alias("hostile"))) for c in ("affection", "hatred")])
+    return legacy.select(F.lit(lead).alias("from_name"), F.col("name").alias("to_name"), F.explode(F.array_compact(lines)).alias("x")).select("from_name", "to_name", "x.*")
+
+
 def order_nodes(nodes: DataFrame, center, seen: str = "last_appearance") -> DataFrame:
     """The centre first, then the latest seen, then by id. (T-14)"""
     return nodes.orderBy((F.col("id") == F.lit(center)).desc(), F.desc_nulls_last(seen), "id")
@@ -108,6 +172,58 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     return reached
 
 
+#: Seeds that one row of a node's state holds, and edges of a node from which on they are dealt out.
+SEED_BITS, MANY_EDGES = 63, 100_000
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = 1, many_edges: int = MANY_EDGES) -> DataFrame:
+    """(id, hop, word, bits): which seeds reach a node first at which hop, all seeds in one breadth-first search. (R-10)
+
+    Seeds are numbered by rank; number n is bit n % 63 of word n // 63, so a node has one row for 63 seeds. A hop joins the
+    frontier with the edges once and adds up what is reached with an ``or``, which is partial before the shuffle. Nodes
+    with many edges have them dealt out over several join keys, and their frontier rows sent to each.
+    """
+    spark = edges.sparkSession
+    both = edges.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b")).unionByName(edges.select(F.col("to_entity").alias("a"), F.col("from_entity").alias("b"))).distinct()
+    both = materialize(both)
+    # Fewer than edges / many_edges rows.
+    hubs = F.broadcast(materialize(both.groupBy("a").count().filter(F.col("count") > many_edges).select("a", F.ceil(F.col("count") / many_edges).cast("int").alias("__parts"))))
+    dealt = F.pmod(F.xxhash64("b"), F.coalesce("__parts", F.lit(1))).cast("int")
+    both = both.join(hubs, "a", "left").select("a", "b", dealt.alias("__part"))
+    state = numbered(seeds).select("id", F.floor(F.col("n") / SEED_BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(n % {SEED_BITS} as int))").alias("bits"))
+    state = state.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    frontier = reached = materialize(state.withColumn("hop", F.lit(0)))
+    for hop in range(1, hops + 1):
+        sent = frontier.join(hubs, frontier["id"] == F.col("a"), "left").select(F.col("id").alias("a"), "word", "bits", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part"))
+        step = both.join(sent, ["a", "__part"]).select(F.col("b").alias("id"), "word", F.lit(0).cast("long").alias("old"), F.col("bits").alias("new"))
+        had = reached.select("id", "word", F.col("bits").alias("old"), F.lit(0).cast("long").alias("new"))
+        both_ways = step.unionByName(had).groupBy("id", "word").agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new"))
+        frontier = materialize(both_ways.select("id", "word", F.expr("new & ~old").alias("bits"), F.lit(hop).alias("hop")).filter("bits <> 0"))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier.select(reached.columns))
+    return reached.select("id", "hop", "word", "bits")
+
+
+def numbered(seeds: DataFrame) -> DataFrame:
+    """(id, n): distinct seeds with numbers from 0 in their order, counted by ranges, not in one task."""
+    ids = seeds.select(F.col(seeds.columns[0]).alias("id")).filter("id is not null").distinct()
+    ranges = materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id()))
+    sizes, start, starts = sorted(tuple(r) for r in ranges.groupBy("__p").agg(F.count("*").alias("n"), F.min("__r").alias("first")).collect()), 0, []
+    for part, n, first in sizes:
+        starts.append((part, start - first))
+        start += n
+    table = F.broadcast(ids.sparkSession.createDataFrame(starts, "__p int, __shift long"))
+    return ranges.join(table, "__p").select("id", (F.col("__r") + F.col("__shift")).alias("n"))
+
+
+def reached_pairs(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, id, hop) of ``reach`` written out."""
+    bits = F.expr(f"filter(sequence(0, {SEED_BITS - 1}), i -> shiftright(bits, i) & 1 = 1)")
+    flat = found.select("id", "hop", "word", F.explode(bits).alias("bit")).select("id", "hop", (F.col("word") * SEED_BITS + F.col("bit")).cast("long").alias("n"))
+    return flat.join(numbered(seeds).withColumnRenamed("id", "seed"), "n").select("seed", "id", "hop")
+
+
 def mermaid(edges: list[tuple], names: dict | None = None) -> str:
     """A subgraph as diagram text; node names are made safe. (G-03, F-33)"""
     import re

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 
 def by_alias(entities: DataFrame, aliases: DataFrame, alias: str | None = None) -> DataFrame:
     """Entities under an alias (all aliases if None), with the alias' type. (D-01, X-15)"""
@@ -19,9 +21,10 @@ def with_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return entities.join(sets, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-def hydrate(ids: DataFrame, entities: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Every id with its entity's columns, defaults where it is unknown. (D-03 with an inner join, D-05, D-17)"""
-    got = ids.join(entities, "id", "left")
+def hydrate(rows: DataFrame, entities: DataFrame, defaults: dict[str, Column], how: str = "left", key: str = "id") -> DataFrame:
+    """Every row with the columns of the entity that ``key`` names, defaults where it is unknown; with an inner join, only
+    rows of known ones. (D-03, D-05, D-17)"""
+    got = rows.join(entities.withColumnRenamed("id", key), key, how)
     return got.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 
@@ -87,20 +90,53 @@ def fill_from_snapshot(latest: DataFrame, snapshot: DataFrame, keys: list[str],
     return latest.unionByName(absent, allowMissingColumns=True).filter("action <> 'remove'")
 
 
-def containing_range(points: DataFrame, ranges: DataFrame, at: str, first: str, last: str, tie: str, bucket: int = 64) -> DataFrame:
+#: Rows of a lookup table that may be broadcast, and rows of a key from which on its row is broadcast anyway.
+SMALL_ROWS, HOT_ROWS = 1_000_000, 1_000_000
+
+
+def join_lookup(rows: DataFrame, table: DataFrame, keys: list[str], small: int | None = None, hot: int | None = None) -> DataFrame:
+    """Inner join with a table that has one row for each key, read several times: make it cheap to read.
+
+    A table of few rows is broadcast after a count. Beyond that both sides are shuffled, but for keys with more than
+    ``hot`` rows, of which there are fewer than rows / ``hot``: their lines are broadcast, so their rows stay apart.
+    """
+    small, hot = SMALL_ROWS if small is None else small, HOT_ROWS if hot is None else hot
+    if table.count() <= small:
+        return rows.join(F.broadcast(table), keys)
+    many = rows.groupBy(*keys).count().filter(F.col("count") > hot).drop("count")
+    many = materialize(many)
+    cold = rows.join(F.broadcast(many), keys, "left_anti").join(table, keys)
+    return cold.unionByName(rows.join(F.broadcast(table.join(F.broadcast(many), keys, "left_semi")), keys))
+
+
+def dyadic(first: str, last: str) -> Column:
+    """The nodes (level, node) of a binary tree over the whole numbers that make up [first, last]: at most two a level, so
+    2 log n rows whatever the width; none for a reversed range or a null end. A node covers 2^level numbers from
+    node * 2^level. Ends are taken below 2^62."""
+    low, high = f"-shiftright(-cast({first} as bigint), i)", f"shiftright(cast({last} as bigint) + 1, i)"
+    node = "named_struct('level', i, 'node', {})"
+    left = f"case when {low} < {high} and ({low}) & 1 = 1 then {node.format(low)} end"
+    right = f"case when {low} < {high} and ({high}) & 1 = 1 then {node.format(high + ' - 1')} end"
+    return F.expr(f"array_compact(flatten(transform(sequence(0, 62), i -> array({left}, {right}))))")
+
+
+def containing_range(points: DataFrame, ranges: DataFrame, at: str, first: str, last: str, tie: str) -> DataFrame:
     """The range that holds each point: the greatest start, then the smallest tie-breaker (D-15).
 
     Every point row is kept for itself, also if others equal it; a point that no range holds has no row, as the lookup
-    finds nothing for it. Ranges are dealt out to the buckets they touch, so this is an equi-join on the bucket, not a
-    theta join.
+    finds nothing for it. A range is cut into nodes of a binary tree, of which only the best range of each is kept: a
+    point meets one row for each level that ranges use, however wide or many the ranges are.
     """
-    p = points.withColumn("__b", F.floor(F.col(at) / bucket)).withColumn("__row", F.monotonically_increasing_id())
-    r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col(last) / bucket))))
-    hit = p.join(r, "__b").filter((F.col(at) >= F.col(first)) & (F.col(at) <= F.col(last))).drop("__b")
-    best = F.struct(F.col(first), -F.col(tie))
-    rest = [c for c in ranges.columns]
-    got = hit.groupBy("__row", *points.columns).agg(F.max_by(F.struct(*rest), best).alias("__r"))
-    return got.select(*points.columns, *[f"__r.{c}" for c in rest])
+    cut = ranges.withColumn("__n", F.explode(dyadic(first, last)))
+    best = materialize(cut.groupBy(F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node")).agg(F.min_by(F.struct(*ranges.columns), F.struct(-F.col(first), F.col(tie))).alias("__r")))
+    levels = sorted(r[0] for r in best.select("__level").distinct().collect())  # 63 at most
+    values = points.select(F.col(at).alias("__at")).filter("__at is not null").distinct()
+    nodes = F.array(*[F.struct(F.lit(i).alias("__level"), F.shiftright(F.col("__at").cast("long"), i).alias("__node")) for i in levels]) if levels else F.array().cast("array<struct<__level:int,__node:bigint>>")
+    asked = values.withColumn("__n", F.explode(nodes)).select("__at", "__n.*")
+    hit = join_lookup(asked, best, ["__level", "__node"])
+    own = hit.groupBy("__at").agg(F.min_by("__r", F.struct(-F.col(f"__r.{first}"), F.col(f"__r.{tie}"))).alias("__r"))
+    got = join_lookup(points.withColumn("__at", F.col(at)), materialize(own), ["__at"])
+    return got.select(*points.columns, *[f"__r.{c}" for c in ranges.columns])
 
 
 def expand_frontier(edges: DataFrame, frontier: DataFrame, a: str = "from_entity", b: str = "to_entity") -> DataFrame:

@@ -78,21 +78,19 @@ def containing(df: DataFrame, col: str, needle: str) -> DataFrame:
 def per_group_top(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:
     """The first ``n`` rows of each group. (T-11, Y-38)
 
-    An aggregation keeps the n best per task and group before the shuffle, so a group with most of the rows isn't
-    brought together; the exact order is then taken among what is left.
+    The n best of each task and group, and then of each salt, are kept before the exact order is taken, so a group with
+    most of the rows isn't brought together, also if they tie.
     """
     from pyspark.sql import Window
 
-    salted = Window.partitionBy(group, "__part").orderBy(*[order_key(o) for o in order])
-    small = df.withColumn("__part", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in _keys(order)]), F.lit(64))).withColumn("__r", F.row_number().over(salted)).filter(F.col("__r") <= n)
-    final = Window.partitionBy(group).orderBy(*[order_key(o) for o in order])
+    by = [order_key(o) for o in order]
+    # Of the whole row, so rows that tie in the order are spread; of equal rows, any n will do.
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]), F.lit(64))
+    small = df.withColumn("__part", salt).withColumn("__r", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*by))).filter(F.col("__r") <= n)
+    final = Window.partitionBy(group).orderBy(*by)
     return small.withColumn("__r", F.row_number().over(final)).filter(F.col("__r") <= n).drop("__r", "__part")
 
 
-def _keys(order: tuple[str, ...]) -> list[str]:
-    return [o.partition(" ")[0] for o in order]
-
-
 def by_ids(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """Rows whose id is listed (C-26, R-03, Y-02, Y-03). Spark picks a broadcast by the measured size."""
     return df.join(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), col, "left_semi")

@@ -209,15 +209,16 @@ def _named(words: list[str], entities: DataFrame, aliases: DataFrame, cap: int)
 def expand_related(seeds: list, edges: DataFrame, hops: int | None = None, top_edges: int = 200, cfg: Config = DEFAULT) -> list:
     """The seeds, then the nodes of each one's subgraph, at most ``cfg.graph_cap``. (R-10)
 
-    Unlike the reference, all seeds come before what they lead to, so the cap never drops a seed for a neighbour.
+    Unlike the reference, all seeds come before what they lead to, so the cap never drops a seed for a neighbour. All
+    seeds are expanded in one search, a join a hop.
     """
-    from .graph import subgraph
+    from .graph import subgraphs
 
+    seeds = list(dict.fromkeys(seeds))[: cfg.graph_cap]
     out = dict.fromkeys(seeds)
-    for s in seeds:
-        if len(out) >= cfg.graph_cap:
-            break
-        out.update(dict.fromkeys(subgraph(edges, s, hops or cfg.graph_hops, max(20, top_edges))[1]))
+    if len(out) < cfg.graph_cap:
+        for _, nodes in subgraphs(edges, seeds, hops or cfg.graph_hops, max(20, top_edges)).values():
+            out.update(dict.fromkeys(nodes))
     return list(out)[: cfg.graph_cap]
 
 
@@ -244,7 +245,7 @@ def graph_hybrid(
     given) are candidates by the names and aliases they hold. ``rerank`` maps (id, score) to (id, score); if it fails or
     returns no rows, the merged order stays.
     """
-    from .joins import term_hits
+    from .names import term_counts
 
     plain = base.select(doc_id, "score")
     seeds = normalize_ids([c.strip() for c in centers or [] if c.strip()], entities, aliases, cfg=cfg) or seed_entities(query, entities, aliases, cfg=cfg)
@@ -258,7 +259,8 @@ def graph_hybrid(
             now = chunks.agg(F.max(chapter)).first()[0] or 0
         of_seeds = sorted({t for i in seeds for t in terms.get(i, [])})
         of_related = sorted({t for ts in terms.values() for t in ts} - set(of_seeds))
-        named = seen.withColumn("__hits", term_hits(seen, terms, text)).filter("__hits > 0").orderBy(F.desc("__hits"), F.desc(chapter), doc_id).limit(max(8 * k, candidates))
+        hits = term_counts(seen, terms, doc_id, text).withColumnRenamed("hits", "__hits")
+        named = seen.join(hits, doc_id).orderBy(F.desc("__hits"), F.desc(chapter), doc_id).limit(max(8 * k, candidates))
         q = F.array(*[F.lit(float(x)) for x in qvec])
         near = named.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).withColumn("__near", cosine(F.col(vec), q)).orderBy(F.desc("__near"), doc_id).limit(max(4 * k, 2 * cfg.rerank_top_n))
         near = near.select(doc_id, graph_priors(F.col("__near"), F.col(text), of_seeds, of_related, F.col(chapter), F.lit(now), cfg).alias("score"))

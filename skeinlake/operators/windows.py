@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import per_group_top
+
 
 def longest_runs(df: DataFrame, key: str, block: str, order: list[str], match: Column) -> DataFrame:
     """Per key: rows, longest run of matching rows and longest run of others. (W-01, W-02)
@@ -88,11 +90,10 @@ def stride_sample(df: DataFrame, now: int, stride: int = 20, most: int = 5, at:
 
 
 def retain_last(df: DataFrame, n: int, key: str | None, order: list[str]) -> DataFrame:
-    """The last ``n`` rows, of each key if there is one. (W-08)"""
-    by = [F.desc(c) for c in order]
+    """The last ``n`` rows, of each key if there is one; a key's rows aren't brought together. (W-08)"""
     if key is None:
-        return df.orderBy(*by).limit(n)
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter(F.col("__r") <= n).drop("__r")
+        return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+    return per_group_top(df, key, n, *[f"{c} desc" for c in order])
 
 
 def ranks(df: DataFrame, score: str, tie: str) -> DataFrame:
