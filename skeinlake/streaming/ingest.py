@@ -33,11 +33,18 @@ def ingest_stream(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuer
 
 
 def notify(changes: DataFrame, send: Callable[[list], None], checkpoint: str, most: int = 64) -> StreamingQuery:
-    """Calls ``send`` with the names of changed files, at most ``most`` a batch: a notification, which may be dropped,
-    not a delivery. (Y-36)"""
+    """Calls ``send`` with the sorted names of changed files, at most ``most`` in a call, until a batch's names are all
+    sent; a batch that runs again sends them again. (Y-36)"""
 
     def push(batch: DataFrame, _: int) -> None:
-        send([r[0] for r in batch.select("path").distinct().orderBy("path").limit(most).collect()])
+        held: list = []
+        for row in batch.select("path").distinct().orderBy("path").toLocalIterator():
+            held.append(row[0])
+            if len(held) == most:
+                send(held)
+                held = []
+        if held:
+            send(held)
 
     return changes.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
