@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import lookup as L
+from ..operators import upsert as B
 from ..operators import windows as W
 from .bindings import Bound, day, sql
 from .q_lookup import simple
 from .registry import query
 
+
+
+def _days(b, kind):
+    """Each user's days with an event of a kind."""
+    return b.t.events.filter(F.col("event_type") == kind).select("user_id", day().cast("long").alias("d")).distinct()
+
+
 # joins
 simple("entities_by_alias_D01", lambda b: J.by_alias(b.entities.select("id", "type", "tier"), b.aliases, "NATION_3"), "select alias, entity_type, id, type, tier from aliases join entities on id = entity_id and type = entity_type where alias = 'NATION_3'")
 simple("entities_by_any_alias_D01", lambda b: J.by_alias(b.entities.select("id", "type", "tier"), b.aliases), "select alias, entity_type, id, type, tier from aliases join entities on id = entity_id and type = entity_type")
 simple(
     "scored_with_vectors_D03",
-    lambda b: b.t.documents.select("doc_id", "lang", "n_chars").join(b.t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").filter("lang = 'en' and n_chars > 500"),
+    lambda b: J.hydrate(b.t.documents.filter("lang = 'en' and n_chars > 500").select(F.col("doc_id").alias("id"), "lang", "n_chars"), b.t.embeddings.select(F.col("vec_id").alias("id"), "label"), {}, "inner").withColumnRenamed("id", "doc_id"),
     "select d.doc_id, d.lang, d.n_chars, e.label from documents d join embeddings e on e.vec_id = d.doc_id where d.lang = 'en' and d.n_chars > 500",
 )
 simple(
@@ -108,7 +117,7 @@ simple(
 )
 simple(
     "relationships_with_names_D17",
-    lambda b: b.links.join(b.entities.select(F.col("id").alias("from_entity"), F.col("canonical_name").alias("from_name")), "from_entity", "left").join(b.entities.select(F.col("id").alias("to_entity"), F.col("canonical_name").alias("to_name")), "to_entity", "left"),
+    lambda b: J.hydrate(J.hydrate(b.links, b.entities.select("id", F.col("canonical_name").alias("from_name")), {}, key="from_entity"), b.entities.select("id", F.col("canonical_name").alias("to_name")), {}, key="to_entity"),
     "select l.*, a.canonical_name as from_name, c.canonical_name as to_name from links l left join entities a on a.id = from_entity left join entities c on c.id = to_entity",
 )
 
@@ -141,7 +150,7 @@ simple(
     lambda b: A.index_stats({"v": [F.count("*").alias("vectors"), F.max("vec_id").alias("max_id")], "t": [F.count_distinct("term").alias("terms")]}, {"v": b.t.embeddings, "t": b.t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))}),
     "select (select count(*) from embeddings) as vectors, (select max(vec_id) from embeddings) as max_id, (select count(distinct t) from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as t from documents)) as terms",
 )
-simple("style_stats_E06", lambda b: b.samples.groupBy("scene_type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score")), "select scene_type, count(*) as n, round(avg(score), 3) as avg_score from samples group by scene_type")
+simple("style_stats_E06", lambda b: A.count_per(b.samples, "scene_type", more={"avg_score": F.round(F.avg("score"), 3)}), "select scene_type, count(*) as n, round(avg(score), 3) as avg_score from samples group by scene_type")
 simple("pattern_usage_E07", lambda b: A.pattern_usage(b.reading_power, 50), "select pattern, count(*) as uses from (select unnest(coolpoint_patterns) as pattern from (select * from reading_power order by chapter desc limit 50)) group by pattern")
 simple("hook_usage_E08", lambda b: A.hook_usage(b.reading_power, 50), "select hook_type, count(*) as uses from (select * from reading_power where hook_type <> '' order by chapter desc limit 50) group by hook_type")
 simple("review_trend_E09", lambda b: A.review_trend(b.reviews, 12), "select count(*) as n, round(avg(overall_score), 2) as overall_avg from (select * from reviews order by end_chapter desc limit 12)")
@@ -158,7 +167,7 @@ simple(
     lambda b: A.shares(b.t.events, "event_type", ["click", "view", "purchase"], ["user_id"]).select("user_id", "n", *[F.round(f"pct_{x}", 6).alias(f"pct_{x}") for x in ("click", "view", "purchase")]),
     "select user_id, count(*) as n, " + ", ".join(f"round(count(*) filter (event_type = '{x}') * 100.0 / count(*), 6) as pct_{x}" for x in ("click", "view", "purchase")) + " from events group by user_id",
 )
-simple("dashboard_totals_E15", lambda b: b.t.documents.groupBy("lang").agg(F.sum("n_chars").alias("words"), F.count("*").alias("chapters")), "select lang, cast(sum(n_chars) as bigint) as words, count(*) as chapters from documents group by lang")
+simple("dashboard_totals_E15", lambda b: A.count_per(b.t.documents, "lang", "chapters", more={"words": F.sum("n_chars")}), "select lang, cast(sum(n_chars) as bigint) as words, count(*) as chapters from documents group by lang")
 simple("archive_sizes_E16", lambda b: A.count_per(b.debts, "status", "n"), "select status, count(*) as n from debts group by status")
 simple(
     "alias_index_E17",
@@ -209,7 +218,7 @@ simple(
 )
 simple(
     "append_if_new_U04",
-    lambda b: b.t.events.filter("event_type = 'click'").select("user_id", day().alias("d")).distinct().join(b.t.events.filter("event_type = 'view'").select("user_id", day().alias("d")), ["user_id", "d"], "left_anti").select("user_id", F.col("d").cast("long").alias("d")),
+    lambda b: B.insert_if_absent(_days(b, "view").withColumn("old", F.lit(True)), _days(b, "click").withColumn("old", F.lit(False)), ["user_id", "d"]).filter("not old").drop("old"),
     "select distinct user_id, date_diff('day', date '2024-01-01', cast(ts as date)) + 1 as d from events e where event_type = 'click' and not exists (select 1 from events v where v.event_type = 'view' and v.user_id = e.user_id and cast(v.ts as date) = cast(e.ts as date))",
 )
-simple("distinct_patterns_U05", lambda b: b.reading_power.select("chapter", F.size(F.array_distinct("coolpoint_patterns")).cast("long").alias("n")), "select chapter, len(list_distinct(coolpoint_patterns)) as n from reading_power")
+simple("distinct_patterns_U05", lambda b: b.reading_power.select("chapter", F.coalesce(S.count_patterns(F.array_join("coolpoint_patterns", ";")), F.lit(0)).cast("long").alias("n")), "select chapter, len(list_distinct(coolpoint_patterns)) as n from reading_power")

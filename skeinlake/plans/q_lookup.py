@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import lookup as L
 from .bindings import Bound, sql
 from .registry import query
@@ -79,7 +80,7 @@ simple("recent_chunks_T10", lambda b: L.top(L.between(b.scenes.filter("location
 simple("recent_chunks_none_T10", lambda b: L.top(b.scenes.drop("summary"), 0, "chapter desc"), "select chapter, scene_index, location from scenes limit 0")
 simple("samples_per_type_T11", lambda b: L.per_group_top(b.samples, "scene_type", 3, "score desc", "id"), "select id, scene_type, content, score from (select *, row_number() over (partition by scene_type order by score desc, id) as r from samples) where r <= 3")
 simple("page_of_entities_T13", lambda b: L.page(b.entities, 3, 12, "id"), "select * from entities order by id limit 12 offset 24")
-simple("node_order_T14", lambda b: b.entities.orderBy((F.col("id") == 17).desc(), F.col("last_appearance").desc_nulls_last(), "id").limit(25), "select * from entities order by case when id = 17 then 0 else 1 end, last_appearance desc nulls last, id limit 25")
+simple("node_order_T14", lambda b: G.order_nodes(b.entities, 17).limit(25), "select * from entities order by case when id = 17 then 0 else 1 end, last_appearance desc nulls last, id limit 25")
 
 # list endpoints
 simple("api_entities_C25", lambda b: b.entities.filter("not is_archived").orderBy(F.col("last_appearance").desc_nulls_last(), "id"), "select * from entities where not is_archived")

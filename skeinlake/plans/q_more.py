@@ -14,6 +14,7 @@ from ..operators import upsert as B
 from ..sources import files as S
 from .bindings import Bound, sql
 from .q_lookup import simple
+from .q_retrieval import COS, _qvec, _vectors, rounded
 from .q_state import _threads
 from .registry import ORACLES, query
 
@@ -54,7 +55,7 @@ simple("recent_meta_Y24", lambda b: P.recent_meta(b.t.documents.select(F.lpad(F.
 simple("opening_texts_Y37", lambda b: P.opening_texts(b.chapters.select("chapter", F.col("summary").alias("text"))).select("chapter", F.col("chars").cast("long").alias("chars"), "prompt_text"), "select chapter, length(regexp_replace(summary, '\\s+', '', 'g')) as chars, left(summary, 6000) as prompt_text from chapters order by chapter limit 3")
 simple("titles_Y29", lambda b: b.t.pages.select("page_id", P.file_title(F.concat("page_id", F.lit("_title.md")), F.lit(None).cast("string")).alias("title")), "select page_id, 'title' as title from pages")
 simple("meta_entry_F13", lambda b: b.t.customer.select("c_custkey", P.meta_entry(F.create_map(F.lit("0007"), F.col("c_name"), F.lit("12"), F.col("c_mktsegment")), 7).alias("m"), P.meta_entry(F.create_map(F.lit("00012"), F.col("c_name")), 12).alias("n")), "select c_custkey, c_name as m, c_name as n from customer")
-simple("seeds_by_alias_R08_R09", lambda b: b.entities.join(b.aliases.filter("alias in ('NATION_1', 'NATION_2')").select(F.col("entity_id").alias("id")), "id", "left_semi").select("id"), "select id from entities where id in (select entity_id from aliases where alias in ('NATION_1', 'NATION_2'))")
+simple("seeds_by_alias_R08_R09", lambda b: b.entities.sparkSession.createDataFrame([(i,) for i in R.seed_entities("NATION_1 or NATION_2", b.entities, b.aliases, cap=b.entities.count())], "id long"), "select id from entities where id in (select entity_id from aliases where alias in ('NATION_1', 'NATION_2'))")
 simple("first_alias_match_X15", lambda b: J.by_alias(b.entities.select("id", "type"), b.aliases).groupBy("alias").agg(F.min("id").alias("id")), "select alias, min(entity_id) as id from aliases group by alias")
 
 
@@ -90,6 +91,14 @@ def candidates_by_ids(spark, folder):
     return L.by_ids(b.t.embeddings.select("vec_id", "label"), b.t.documents.filter("lang = 'de'").select("doc_id"), "vec_id")
 
 
+@query("vectors_by_ids_Y02", f"with {COS} select doc_id, round(score, 6) as score from cs where doc_id in (select doc_id from documents where lang = 'de') order by cs.score desc, doc_id limit 10")
+def vectors_by_ids(spark, folder):
+    """The nearest vectors among listed ids."""
+    ids = Bound(spark, folder).t.documents.filter("lang = 'de'").select("doc_id")
+    pool = L.by_ids(_vectors(spark, folder), ids, "doc_id")
+    return rounded(R.vector_search(pool, _qvec(spark, folder), 10, "doc_id"), "score")
+
+
 @query("vector_count_Y05", "select count(*) as n, count(*) <= 500 as full_scan from embeddings")
 def vector_count(spark, folder):
     return Bound(spark, folder).t.embeddings.agg(F.count("*").alias("n")).withColumn("full_scan", F.col("n") <= 500)
@@ -113,9 +122,11 @@ def rejected_payloads(spark, folder):
     return S.payloads(raw)[1].select(F.regexp_extract("raw", r"(\d+)", 1).cast("long").alias("event_id"))
 
 
-@query("missing_table_C27", "select 0 as n")
+@query("missing_table_C27", "select 'region' as name, count(*) as n from region union all select 'supplier', count(*) from supplier union all select 'debts', 0")
 def missing_table(spark, folder):
-    return S.table(spark, folder, "debts").agg(F.count("*").cast("int").alias("n"))
+    """Rows of two tables that are there and of one that isn't but has a record type."""
+    frames = [S.table(spark, folder, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ("region", "supplier", "debts")]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @query("protagonist_id_G04", sql("select min(id) as id from entities where is_protagonist"))

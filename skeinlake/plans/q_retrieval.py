@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import lookup as L
 from ..operators import retrieval as R
 from ..sources.files import lexical_reranker
 from .bindings import Bound, sql
@@ -204,8 +205,7 @@ def snippets(spark, folder):
 @query("hydrated_parents_Y03", "select conv_id, turn, cast(0.0 as double) as score, 'parent' as source from conversations where turn = 0 and conv_id in (select conv_id from conversations where turn > 3)")
 def hydrated_parents(spark, folder):
     c = Bound(spark, folder).t.conversations
-    ids = c.filter("turn > 3").select("conv_id").distinct()
-    return c.filter("turn = 0").join(ids, "conv_id", "left_semi").select("conv_id", "turn", F.lit(0.0).alias("score"), F.lit("parent").alias("source"))
+    return L.by_ids(c.filter("turn = 0"), c.filter("turn > 3").select("conv_id"), "conv_id").select("conv_id", "turn", F.lit(0.0).alias("score"), F.lit("parent").alias("source"))
 
 
 # graphs
@@ -262,30 +262,40 @@ def subgraph_one_hop(spark, folder):
     return G.subgraph_frame(G.edges_as_of(b.relationship_events, b.links, 20), 8, 1, 50)
 
 
-@query("neighbours_R10", sql("""with u as (select from_entity as a, to_entity as b from links where chapter >= 28 union select to_entity, from_entity from links where chapter >= 28),
+_NEIGHBOURS = """with u as (select from_entity as a, to_entity as b from links union select to_entity, from_entity from links),
 h1 as (select distinct b as id from u where a = 8), h2 as (select distinct u.b as id from u join h1 on u.a = h1.id)
-select 8 as id, 0 as hop union all select id, 1 from h1 where id <> 8 union all select id, 2 from h2 where id <> 8 and id not in (select id from h1)"""))
-def neighbours(spark, folder):
-    b = Bound(spark, folder)
-    return G.neighbours(b.links.filter("chapter >= 28"), spark.createDataFrame([(8,)], "id long"), 2)
+select 8 as id, 0 as hop union all select id, 1 from h1 where id <> 8 union all select id, 2 from h2 where id <> 8 and id not in (select id from h1)"""
 
 
-@query("neighbours_whole_R10", sql("""with u as (select from_entity as a, to_entity as b from links union select to_entity, from_entity from links),
-h1 as (select distinct b as id from u where a = 8), h2 as (select distinct u.b as id from u join h1 on u.a = h1.id)
-select 8 as id, 0 as hop union all select id, 1 from h1 where id <> 8 union all select id, 2 from h2 where id <> 8 and id not in (select id from h1)"""))
-def neighbours_whole(spark, folder):
-    """Over all links; ``neighbours_R10`` and its SQL see those of the last chapters."""
+@query("neighbours_whole_R10", sql(_NEIGHBOURS))
+def neighbours(spark, folder):
     return G.neighbours(Bound(spark, folder).links, spark.createDataFrame([(8,)], "id long"), 2)
 
 
-@query("typed_graph_G05", sql("""with n as (select 'c' || c_custkey as from_entity, 'n' || c_nationkey as to_entity, 'lives_in' as type from customer union all
-select 's' || s_suppkey, 'n' || s_nationkey, 'based_in' from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' from nation)
-select type, count(*) as edges, count(distinct to_entity) as targets from n group by type"""))
+@query("neighbours_R10", sql(_NEIGHBOURS))
+def neighbours_of_many(spark, folder):
+    """The same from the search for many sources, of one."""
+    return G.reach(Bound(spark, folder).links, spark.createDataFrame([(8,)], "id long"), 2).select("id", "hop")
+
+
+@query("typed_graph_G05", sql(_AS_OF.format(n=20).rstrip() + """,
+p as (select min(id) as id from entities where is_protagonist),
+h1 as (select from_entity, to_entity, type, chapter from e, p where from_entity = p.id or to_entity = p.id order by chapter desc, from_entity, to_entity, type limit 40),
+fr as (select x from (select from_entity as x from h1 union select to_entity from h1) where x not in (select id from p)),
+h2 as (select from_entity, to_entity, type, chapter, row_number() over (order by chapter desc, from_entity, to_entity, type) as r from e, p where (from_entity in (select x from fr) or to_entity in (select x from fr)) and from_entity <> p.id and to_entity <> p.id),
+g as (select * from h1 union all select from_entity, to_entity, type, chapter from h2 where r <= 40 - (select count(*) from h1))
+select coalesce(a.canonical_name, cast(from_entity as varchar)) as from_name, coalesce(c.canonical_name, cast(to_entity as varchar)) as to_name, type as label, false as hostile from g left join entities a on a.id = from_entity left join entities c on c.id = to_entity"""))
 def typed_graph(spark, folder):
-    t = Bound(spark, folder).t
-    edges = (
-        t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("to_entity"), F.lit("lives_in").alias("type"))
-        .unionByName(t.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("to_entity"), F.lit("based_in").alias("type")))
-        .unionByName(t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("to_entity"), F.lit("part_of").alias("type")))
-    )
-    return edges.groupBy("type").agg(F.count("*").alias("edges"), F.count_distinct("to_entity").alias("targets"))
+    """Two levels around the flagged entity."""
+    b = Bound(spark, folder)
+    legacy = spark.createDataFrame([], "name string, relation string, hostile boolean, affection long, hatred long")
+    return G.relationship_report(b.entities, b.aliases, G.edges_as_of(b.relationship_events, b.links, 20), legacy)
+
+
+@query("legacy_graph_G05", """select 'lead' as from_name, c_name as to_name, 'affection ' || cast(c_acctbal as bigint) as label, false as hostile from customer where cast(c_acctbal as bigint) > 0
+union all select 'lead', c_name, 'hatred ' || c_nationkey, true from customer where c_nationkey > 0""")
+def legacy_graph(spark, folder):
+    """Without a protagonist in the index, the older document form: two measures a character."""
+    b = Bound(spark, folder)
+    legacy = b.t.customer.select(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("boolean").alias("hostile"), F.round("c_acctbal").cast("long").alias("affection"), F.col("c_nationkey").cast("long").alias("hatred"))
+    return G.relationship_report(b.entities.withColumn("is_protagonist", F.lit(False)), b.aliases, b.links, legacy, lead="lead")

@@ -70,3 +70,4 @@ simple("format_F34", lambda b: b.t.customer.select("c_custkey", S.grouped(F.col(
 simple("extract_chapter_F35", lambda b: b.t.part.select("p_partkey", S.first_positive(F.lit("none"), F.col("p_name"), F.col("p_size")).alias("c")), "select p_partkey, cast(nullif(p_size, 0) as bigint) as c from part")
 simple("total_casts_F36", lambda b: b.t.part.select("p_partkey", S.to_double(F.col("p_name"), -1.0).alias("d"), S.to_long(F.col("p_size").cast("string"), 0).alias("l")), "select p_partkey, coalesce(try_cast(p_name as double), -1.0) as d, cast(p_size as bigint) as l from part")
 simple("rounding_F37", lambda b: b.t.lineitem.groupBy("l_returnflag").agg(S.round_half_up(F.avg("l_discount"), 4).alias("r")), "select l_returnflag, round(avg(l_discount), 4) as r from lineitem group by 1")
+simple("section_F21", lambda b: b.t.part.select("p_partkey", S.section(F.concat(F.lit("# Kind\n"), "p_type", F.lit("\n\n## Name\n\n "), "p_name", F.lit("\n# End\n")), "Name").alias("name")), "select p_partkey, p_name as name from part")

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import routing as Q
 from ..functions import scalars as S
 from ..operators import context as X
 from ..operators import graph as G
-from ..operators import health as K
 from ..operators import lookup as L
 from ..operators import reports as P
 from ..operators import retrieval as R
+from ..operators import snapshots as H
 from ..operators import support as Y
+from ..operators import tables as M
 from ..operators import upsert as B
 from ..operators.storage import shared_root
-from ..schemas import SCHEMAS
 from ..sources import files
 from ..streaming import ingest as I
 from .bindings import Bound, sql
@@ -92,11 +94,10 @@ def replaced_partitions(spark, folder):
 
 @query("snapshot_B33_Y25", "select s_suppkey, s_name from supplier")
 def snapshot(spark, folder):
-    """Saved under a version and loaded again; another version's copy isn't used."""
+    """Saved under a version and loaded again."""
     path = _folder(spark)
-    Y.save_snapshot(Bound(spark, folder).t.supplier.select("s_suppkey", "s_name"), path, "2", 7)
-    assert Y.load_snapshot(spark, path, "1", 7) is None
-    return Y.load_snapshot(spark, path, "2", 7)
+    H.save_snapshot(Bound(spark, folder).t.supplier.select("s_suppkey", "s_name"), path, "2", 7)
+    return H.load_snapshot(spark, path, "2", 7)
 
 
 @query("ingested_stream_Y09_B26", "select cast(event_id as bigint) + 1 as chapter, event_type as title from events where event_type <> 'error'")
@@ -109,42 +110,67 @@ def ingested_stream(spark, folder):
     return spark.read.parquet(f"{path}/out/chapters").select("chapter", "title")
 
 
-@query("missing_columns_A12_Y06", "select * from (values ('embedding'), ('parent_chunk_id')) t(name)")
+@query("missing_columns_A12_Y06", "select vec_id, label, embedding is not null as has_vector, null::varchar as parent_chunk_id, null::bigint as chapter from embeddings")
 def missing_columns(spark, folder):
-    want = T.StructType.fromDDL("vec_id long, label int, embedding array<float>, parent_chunk_id string")
-    have = Bound(spark, folder).t.embeddings.drop("embedding")
-    return spark.createDataFrame([(c,) for c in files.columns_missing(have, want)], "name string")
+    """Every row under a record type of which the table lacks two columns."""
+    want = T.StructType.fromDDL("vec_id long, label int, embedding array<float>, parent_chunk_id string, chapter long")
+    have = Bound(spark, folder).t.embeddings
+    assert files.columns_missing(have, want) == ["parent_chunk_id", "chapter"]
+    return M.conform(have, want).select("vec_id", "label", F.col("embedding").isNotNull().alias("has_vector"), "parent_chunk_id", "chapter")
 
 
-# routing: words, markers and separators are parameters
+def _migrated(spark, folder):
+    path = _folder(spark)
+    M.save_table(Bound(spark, folder).t.embeddings.select("vec_id", "label"), path)
+    M.migrate_table(spark, path, lambda df: df.withColumn("kind", F.concat(F.lit("k"), "label")).drop("label"))
+    return path
+
+
+@query("migrated_table_B28_Y06", "select vec_id, 'k' || label as kind from embeddings")
+def migrated_table(spark, folder):
+    """A migration that fails leaves what the one before it published."""
+    path = _migrated(spark, folder)
+    try:
+        M.migrate_table(spark, path, lambda df: df.withColumn("bad", F.raise_error(F.lit("no"))))
+    except PySparkException:
+        pass
+    return M.load_table(spark, path)
+
+
+@query("restored_table_Y06", "select vec_id, label from embeddings")
+def restored_table(spark, folder):
+    """The copy before the migration, back again."""
+    path = _migrated(spark, folder)
+    assert M.restore_table(spark, path)
+    return M.load_table(spark, path)
+
+
+# routing of a table of queries: words, markers and separators are parameters
 _WORDS = {"relationship": ["relation"], "scene": ["where"], "setting": ["rule"], "entity": ["who"]}
-_ASKED = ["relation of 甲乙 and 丙丁, 第3章", "who is the 3 heroes", "where, chapters 9-4章", "rule of 天地人", "what happened"]
+_KINDS = ["relation of 甲乙 and 丙丁 and 甲乙, 第", "who is the ", "where, chapters 9-", "rule of 天地人 ", "what happened"]
 
 
-@query(
-    "routing_R13_R14_Y08",
-    """select * from (values (0, 'relationship', '甲乙,丙丁', 3, 3, true), (1, 'entity', '', null, null, false), (2, 'scene', '', 4, 9, false),
-(3, 'setting', '天地人', null, null, false), (4, 'plot', '', null, null, false)) t(n, intent, entities, first, last, needs_graph)""",
-)
-def routing(spark, folder):
-    got = [R.route(q, _WORDS, marker=R.CHAPTER) for q in _ASKED]
-    rows = [(n, r["intent"], ",".join(r["entities"]), *(r["time_scope"] or (None, None)), r["needs_graph"]) for n, r in enumerate(got)]
-    return spark.createDataFrame(rows, "n int, intent string, entities string, first int, last int, needs_graph boolean")
+def _asked(b):
+    """A query for each turn, by its number."""
+    text = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("turn") % 5 + 1).cast("int"))
+    return b.t.conversations.select("conv_id", "turn", F.concat(text, F.col("conv_id") % 20, F.when(F.col("conv_id") % 2 == 0, "章").otherwise(""), F.lit("; "), "role").alias("query"))
 
 
-@query(
+_ASKED = """(select conv_id, turn, cast(conv_id % 20 as bigint) as c, case when conv_id % 2 = 0 then true else false end as m, role,
+['relationship', 'entity', 'scene', 'setting', 'plot'][turn % 5 + 1] as intent, ['甲乙,丙丁', '', '', '天地人', ''][turn % 5 + 1] as entities from conversations)"""
+simple(
+    "routing_R13_R14_Y08",
+    lambda b: _asked(b).withColumn("r", Q.route(F.col("query"), _WORDS, marker=R.CHAPTER)).select("conv_id", "turn", "r.intent", F.array_join("r.entities", ",").alias("entities"), F.col("r.time_scope.first").alias("first"), F.col("r.time_scope.last").alias("last"), "r.needs_graph"),
+    f"select conv_id, turn, intent, entities, case when m then case when intent = 'scene' then least(c, 9) else c end end as first, case when m then case when intent = 'scene' then greatest(c, 9) else c end end as last, intent = 'relationship' as needs_graph from {_ASKED}",
+)
+simple(
     "planned_steps_R15",
-    """select * from (values (0, 0, 'relationship_graph', 'graph_lookup'), (0, 1, 'relationship_evidence', 'graph_hybrid'), (1, 0, 'default_retrieval', 'hybrid'),
-(2, 0, 'default_retrieval', 'bm25'), (3, 0, 'default_retrieval', 'bm25'), (4, 0, 'default_retrieval', 'hybrid')) t(n, place, name, strategy)""",
+    lambda b: _asked(b).select("conv_id", "turn", F.posexplode(Q.steps(Q.route(F.col("query"), _WORDS, ("relationship", "setting")), R.STRATEGIES)).alias("place", "s")).select("conv_id", "turn", "place", "s.name", "s.strategy"),
+    f"""select conv_id, turn, place, case intent when 'relationship' then ['relationship_graph', 'relationship_evidence'][place + 1] when 'setting' then 'graph_enhanced_retrieval' else 'default_retrieval' end as name,
+case intent when 'relationship' then ['graph_lookup', 'graph_hybrid'][place + 1] when 'setting' then 'graph_hybrid' when 'scene' then 'bm25' else 'hybrid' end as strategy from {_ASKED}, (values (0), (1)) t(place) where place = 0 or intent = 'relationship'""",
 )
-def planned_steps(spark, folder):
-    rows = [(n, k, s["name"], s["strategy"]) for n, q in enumerate(_ASKED) for k, s in enumerate(R.plan_subqueries(R.route(q, _WORDS, marker=R.CHAPTER)))]
-    return spark.createDataFrame(rows, "n int, place int, name string, strategy string")
-
-
-@query("split_query_R16", "select * from (values (0, 'a'), (1, 'b c'), (2, 'd')) t(n, part)")
-def split_query(spark, folder):
-    return spark.createDataFrame(list(enumerate(R.split_query("a, b c；；d,"))), "n int, part string")
+simple("split_query_R16", lambda b: _asked(b).filter("turn % 5 = 4").select("conv_id", "turn", F.posexplode(Q.split_query(F.concat("query", F.lit("；；")))).alias("n", "part")),
+       "select conv_id, turn, n, case n when 0 then 'what happened' || conv_id % 20 || case when conv_id % 2 = 0 then '章' else '' end else role end as part from conversations, (values (0), (1)) t(n) where turn % 5 = 4")
 
 
 # documents with nested maps
@@ -154,8 +180,9 @@ _FLAT = "select c_custkey, c_name, c_mktsegment, c_nationkey from customer where
 def _document(b):
     c = b.t.customer
     record = F.struct(F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("name"), F.lit("core").alias("tier"), F.lit(1).alias("first_appearance"), F.col("c_custkey").alias("last_appearance"), F.array(F.concat(F.lit("alias "), "c_nationkey")).alias("aliases"))
-    per = c.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), record.alias("r")))).alias("by_id"))
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "by_id"))).alias("entities"))
+    # A document holds a hundred records.
+    per = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("document"), "c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), record.alias("r")))).alias("by_id"))
+    return per.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "by_id"))).alias("entities"))
 
 
 simple("migrated_entities_B27_Y14", lambda b: Y.migrate_document(_document(b))["entities"], "select cast(c_custkey as varchar) as id, c_mktsegment as type, case when c_custkey % 5 > 0 then c_name end as canonical_name, 'core' as tier, 1 as first_appearance, c_custkey as last_appearance from customer")
@@ -212,16 +239,13 @@ simple(
 )
 
 
-def _driver_rows(name, rows, ddl, body):
-    """What a helper on the driver gives for listed arguments."""
-    query(name, body)(lambda spark, folder: spark.createDataFrame(rows(), ddl))
-
-
-_driver_rows("stages_X07", lambda: [(c, X.stage(c)) for c in range(1, 151)], "chapter int, stage string", "select c::int as chapter, case when c <= 30 then 'early' when c >= 120 then 'late' else 'mid' end as stage from range(1, 151) t(c)")
-_driver_rows("archive_due_K11", lambda: [(c, K.archive_due(10 * c, c, 1000)) for c in range(0, 130)], "chapter int, due boolean", "select c::int as chapter, c >= 100 or (c > 0 and c % 10 = 0) as due from range(0, 130) t(c)")
-_driver_rows("bars_Y32", lambda: [(w, len(P.bar(float(w)))) for w in range(0, 3000, 100)], "words int, marks int", "select w::int as words, greatest(1, least(12, cast(trunc(12 - w / 2000.0 * 12) as int))) as marks from range(0, 3000, 100) t(w)")
-_driver_rows("enabled_Y26", lambda: [(w, P.enabled_for("Epic ", w.split(","))) for w in ("epic", " EPIC ,x", "other", "all", "*", "")], "listed string, enabled boolean", "select * from (values ('epic', true), (' EPIC ,x', true), ('other', false), ('all', true), ('*', true), ('', false)) t(listed, enabled)")
-_driver_rows("json_argument_Y40", lambda: [(v, str(P.json_argument(v)["k"])) for v in ('{"k": 1}', '{"k": "x"}')], "value string, k string", """select * from (values ('{"k": 1}', '1'), ('{"k": "x"}', 'x')) t(value, k)""")
+simple("stages_X07", lambda b: b.chapters.select("chapter", Q.stage(F.col("chapter")).alias("stage")), "select chapter, case when chapter <= 30 then 'early' when chapter >= 120 then 'late' else 'mid' end as stage from chapters")
+simple("archive_due_K11", lambda b: b.chapters.select("chapter", Q.archive_due(F.col("word_count"), F.col("chapter"), 20_000).alias("due")), "select chapter, word_count >= 20000 or (chapter > 0 and chapter % 10 = 0) as due from chapters")
+simple("bars_Y32", lambda b: b.chapters.select("chapter", F.length(Q.bar(F.when(F.col("chapter") % 4 > 0, F.col("word_count") / 2))).alias("marks")), "select chapter, case when chapter % 4 > 0 then greatest(1, least(12, cast(trunc(12 - word_count / 2.0 / 2000.0 * 12) as int))) else 0 end as marks from chapters")
+simple("enabled_Y26", lambda b: b.t.customer.select("c_custkey", Q.enabled_for(F.concat(F.lit(" "), F.initcap("c_mktsegment")), F.split(F.when(F.col("c_custkey") % 7 == 0, "x,ALL").otherwise("machinery, Building "), ",")).alias("enabled")), "select c_custkey, c_custkey % 7 = 0 or c_mktsegment in ('MACHINERY', 'BUILDING') as enabled from customer")
+simple("json_argument_Y40", lambda b: b.t.events.select("event_id", Q.json_argument(F.when(F.col("event_type") == "error", "{broken").otherwise(F.col("props")), "$.k", "bigint").alias("k")), "select event_id, case when event_type <> 'error' then cast(json_extract_string(props, '$.k') as bigint) end as k from events")
+simple("volume_planned_B32", lambda b: B.latest_wins(b.t.orders.select(F.col("o_custkey").alias("volume"), "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 50).alias("planned")), ["volume"], ["o_orderdate", "o_orderkey"]), "select o_custkey as volume, o_orderdate, o_orderkey, o_orderkey % 50 as planned from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
+simple("review_checkpoints_B32", lambda b: B.append_all([b.t.labels.select(F.col("doc_id").alias("chapter"), F.lit("quality").alias("checkpoint"), F.col("quality").cast("long").alias("value")), b.t.labels.filter("toxic = 1").select(F.col("doc_id").alias("chapter"), F.lit("toxic").alias("checkpoint"), F.col("toxic").cast("long").alias("value"))]), "select doc_id as chapter, 'quality' as checkpoint, cast(quality as bigint) as value from labels union all select doc_id, 'toxic', 1 from labels where toxic = 1")
 
 
 @query("mermaid_F33_G03", sql("select 'n_' || from_entity || '[\"' || from_entity || '\"] -->|' || type || ' @' || chapter || '| n_' || to_entity || '[\"' || to_entity || '\"]' as line from (select * from links where from_entity = 8 or to_entity = 8 order by chapter desc, from_entity, to_entity, type limit 10)"))
@@ -236,9 +260,8 @@ def rendered(spark, folder):
     return spark.createDataFrame([(x,) for x in got.splitlines() if x.startswith("| ") and "---" not in x and "r_name" not in x], "line string")
 
 
-@query("known_columns_A12", "select cast(count(*) as int) as n from (values (1)) t(x) where x = 0")
+@query("known_columns_A12", "select n_nationkey as id, n_name as canonical_name, null::varchar as tier from nation")
 def known_columns(spark, folder):
-    """A missing table of a known record type is empty, with all its columns."""
-    got = files.table(spark, folder, "debts")
-    assert not files.columns_missing(got, SCHEMAS["debts"])
-    return got.agg(F.count("*").cast("int").alias("n"))
+    """A table under a record type that has more columns than it."""
+    want = T.StructType.fromDDL("id long, canonical_name string, tier string")
+    return M.conform(Bound(spark, folder).t.nation.select(F.col("n_nationkey").alias("ID"), F.col("n_name").alias("canonical_name"), "n_regionkey"), want)

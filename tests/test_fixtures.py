@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinlake import schemas
 from skeinlake.functions import scalars as S
-from skeinlake.operators import aggregates, context, graph, health, joins, ledger, lookup, retrieval, support, upsert, windows
+from skeinlake.operators import aggregates, context, graph, health, joins, ledger, lookup, retrieval, snapshots, support, upsert, windows
 from skeinlake.sources import files
 from skeinlake.streaming import ingest as stream
 
@@ -504,10 +504,11 @@ def test_migration_and_snapshots(spark, tmp_path):
     got = support.migrate_document(doc)
     assert got["entities"].count() == 2 and got["aliases"].count() == 2 and values(got["skipped"], "id") == [("z",)]
     pack = spark.createDataFrame([(1, "x")], "a int, b string")
-    assert support.load_snapshot(spark, f"file://{tmp_path}", "v1", 3) is None
-    support.save_snapshot(pack, f"file://{tmp_path}", "v1", 3)
-    assert support.load_snapshot(spark, f"file://{tmp_path}", "v1", 3).count() == 1
-    assert support.load_snapshot(spark, f"file://{tmp_path}", "v2", 3) is None
+    assert snapshots.load_snapshot(spark, f"file://{tmp_path}", "v1", 3) is None
+    snapshots.save_snapshot(pack, f"file://{tmp_path}", "v1", 3)
+    assert snapshots.load_snapshot(spark, f"file://{tmp_path}", "v1", 3).count() == 1
+    with pytest.raises(snapshots.VersionMismatch):
+        snapshots.load_snapshot(spark, f"file://{tmp_path}", "v2", 3)
 
 
 def test_task_machine(spark):
