@@ -245,6 +245,8 @@ class Index:
         # One look at each distinct seed of a text, however often it is repeated; an item is marked, not listed, so a seed
         # that all items share costs one stroke.
         seen = np.unique(np.stack([doc, low[hit], high[hit]], 1), axis=0)
+        if not len(seen):
+            return out
         starts = np.flatnonzero(np.diff(seen[:, 0], prepend=-1))
         mark = np.zeros(len(self.items), bool)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(seen)], strict=True):

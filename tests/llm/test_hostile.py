@@ -118,6 +118,12 @@ def test_template_seeds_give_the_same_leaks():
     assert got == plain_leaks(items, texts, 0.8) and len(got) >= 20
 
 
+def test_known_words_without_a_shared_seed():
+    """A batch in which every window of known words is unknown as a window."""
+    index = decontaminate.Index([(1, "one two three four five six seven"), (2, "a b")])
+    assert index.leaks(["six five four three two one seven " * 3, "one two", "", None], 0.8) == [[], [], [], []]
+
+
 def test_many_items_of_one_template_are_quick():
     rng = random.Random(9)
     words = [f"w{k}" for k in range(5000)]
