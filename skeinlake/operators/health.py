@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_of, has_any, review_end
+from .storage import materialize
 
 
 def absence(col: Column) -> Column:
@@ -62,18 +63,20 @@ def strand_violations(stats: DataFrame, streak: int = 5, gap_second: int = 10, g
     )
 
 
-def positions(df: DataFrame, order: list[str], block: int = 10_000, by: str | None = None) -> DataFrame:
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``position`` (0-based, over all rows) in a total order without one global window.
 
-    Rows fall in ranges of the leading order column (``by`` names a dense integer one); a small table of the ranges'
-    sizes gives each range its start.
+    Rows are cut into ranges at sampled boundaries, so dense and sparse stretches of the order make ranges alike; the
+    driver keeps one number a range, from which its positions start.
     """
-    lead = by or order[0]
-    got = df.withColumn("__b", F.floor(F.col(lead) / block))
-    sizes = got.groupBy("__b").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return got.join(starts, "__b").withColumn("position", (F.col("__s") + own - 1).cast("long")).drop("__b", "__s")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ranges = materialize(ranges.withColumn("__r", F.monotonically_increasing_id()))
+    start, starts = 0, []
+    for r in ranges.groupBy("__p").agg(F.count("*").alias("n"), F.min("__r").alias("first")).orderBy("__p").collect():
+        starts.append((r["__p"], start - r.first))
+        start += r.n
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __s long"))
+    return ranges.join(table, "__p").withColumn("position", F.col("__r") + F.col("__s")).drop("__p", "__r", "__s")
 
 
 def pacing(chapters: DataFrame, size: int = 100) -> DataFrame:

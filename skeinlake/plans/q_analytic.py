@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import lookup as L
+from ..operators import names as N
 from ..operators import upsert as B
 from ..operators import windows as W
 from .bindings import Bound, day, sql
@@ -83,7 +84,7 @@ simple(
 )
 simple(
     "names_in_text_D12",
-    lambda b: b.chapters.select("chapter", F.explode(F.array_compact(F.array(*[F.when(F.col("summary").contains(w), F.lit(w)) for w in ("moron", "loser", "scum", "tion ")]))).alias("name")),
+    lambda b: N.names_in_texts(b.chapters, b.t.documents.sparkSession.createDataFrame([(w,) for w in ("moron", "loser", "scum", "tion ")], "name string"), "chapter", "summary").select("chapter", "name"),
     "select chapter, name from chapters, (values ('moron'), ('loser'), ('scum'), ('tion ')) n(name) where contains(summary, name)",
 )
 _EDGE = ["from_entity", "to_entity", "type"]

@@ -284,7 +284,7 @@ h1 as (select from_entity, to_entity, type, chapter from e, p where from_entity
 fr as (select x from (select from_entity as x from h1 union select to_entity from h1) where x not in (select id from p)),
 h2 as (select from_entity, to_entity, type, chapter, row_number() over (order by chapter desc, from_entity, to_entity, type) as r from e, p where (from_entity in (select x from fr) or to_entity in (select x from fr)) and from_entity <> p.id and to_entity <> p.id),
 g as (select * from h1 union all select from_entity, to_entity, type, chapter from h2 where r <= 40 - (select count(*) from h1))
-select coalesce(a.canonical_name, cast(from_entity as varchar)) as from_name, coalesce(c.canonical_name, cast(to_entity as varchar)) as to_name, type as label, false as hostile from g left join entities a on a.id = from_entity left join entities c on c.id = to_entity"""))
+select coalesce(a.canonical_name, cast(from_entity as varchar)) as from_name, coalesce(c.canonical_name, cast(to_entity as varchar)) as to_name, g.type as label, false as hostile from g left join entities a on a.id = from_entity left join entities c on c.id = to_entity"""))
 def typed_graph(spark, folder):
     """Two levels around the flagged entity."""
     b = Bound(spark, folder)
@@ -292,10 +292,10 @@ def typed_graph(spark, folder):
     return G.relationship_report(b.entities, b.aliases, G.edges_as_of(b.relationship_events, b.links, 20), legacy)
 
 
-@query("legacy_graph_G05", """select 'lead' as from_name, c_name as to_name, 'affection ' || cast(c_acctbal as bigint) as label, false as hostile from customer where cast(c_acctbal as bigint) > 0
+@query("legacy_graph_G05", """select 'lead' as from_name, c_name as to_name, 'affection ' || cast(floor(c_acctbal) as bigint) as label, false as hostile from customer where floor(c_acctbal) > 0
 union all select 'lead', c_name, 'hatred ' || c_nationkey, true from customer where c_nationkey > 0""")
 def legacy_graph(spark, folder):
     """Without a protagonist in the index, the older document form: two measures a character."""
     b = Bound(spark, folder)
-    legacy = b.t.customer.select(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("boolean").alias("hostile"), F.round("c_acctbal").cast("long").alias("affection"), F.col("c_nationkey").cast("long").alias("hatred"))
+    legacy = b.t.customer.select(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("boolean").alias("hostile"), F.floor("c_acctbal").cast("long").alias("affection"), F.col("c_nationkey").cast("long").alias("hatred"))
     return G.relationship_report(b.entities.withColumn("is_protagonist", F.lit(False)), b.aliases, b.links, legacy, lead="lead")

@@ -74,7 +74,8 @@ def sessions(events: DataFrame, ts: str, gap: str, keys: list[str], late: str =
 def ledger_stream(events: DataFrame) -> DataFrame:
     """Balances from a stream of ledger events: (debt_id, balance, n) per update. (L-04)
 
-    State per debt is one number; events of a batch are folded in (chapter, kind, id) order.
+    State per debt is one number; events of a batch are folded in (chapter, kind, id) order, those that come in a later
+    batch after them. ``stateful.Ledger`` folds such events in their place.
     ``events`` has debt_id, chapter, id, kind, amount (of a payment, or the rate of an interest, or the principal of a
     creation).
     """

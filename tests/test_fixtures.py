@@ -339,7 +339,7 @@ def test_pacing(spark):
 
 def test_positions_equal_a_global_rank(spark):
     ids = sorted(random.Random(0).sample(range(100_000), 700))
-    got = health.positions(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5), ["id"], block=777)
+    got = health.positions(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5), ["id"])
     assert {r.id: r.position for r in got.collect()} == {x: i for i, x in enumerate(ids)}
 
 
