@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, if_small, materialize
 
 #: Rows aimed at per range, keys sampled per range, and the least and greatest number of ranges.
 ROWS_PER_RANGE = 50_000
@@ -133,7 +133,8 @@ def places(rows: DataFrame, shards: int) -> DataFrame:
     # One row per range: the running totals go over the ranges, whose number is bounded.
     over = _running(sums.groupBy("range").agg(F.sum("cn").alias("rn"), F.sum("cs").alias("rs")), ["rn", "rs"])
     cells = sums.select(*cell, *inner).join(over, "range").select(*cell, (F.col("rn_before") + F.col("cn_before")).alias("n_before"), (F.col("rs_before") + F.col("cs_before")).alias("s_before"))
-    cells = materialize(cells)
+    # Cells are few: a range has one, or as many as its rows need.
+    cells = if_small(materialize(cells))
     order = Window.partitionBy(*cell).orderBy("g", "r", "u")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = placed.join(cells, cell).select(
