@@ -176,7 +176,7 @@ class Index:
         windows, so no leak is left out; one pass over the items' places decides for all of them."""
         present = np.zeros(len(self.windows) + 1, bool)
         at = np.flatnonzero((text[:-2] > 0) & (text[1:-1] > 0) & (text[2:] > 0)) if len(text) >= TILE else np.zeros(0, np.int64)
-        if not len(at) or not len(self.windows):
+        if not len(items) or not len(at) or not len(self.windows):
             return items[:0]
         h = np.unique(window_hashes(text.astype(np.uint64), TILE)[at])
         place = np.minimum(np.searchsorted(self.windows, h), len(self.windows) - 1)
