@@ -102,8 +102,13 @@ def join_named(rows: DataFrame, named: DataFrame, key: str | list[str], hot_rows
 
 
 def join_counted(rows: DataFrame, named: DataFrame, key: str | list[str], most: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``join_named`` where a key may be hot; of at most ``hot_rows`` rows in all (``most``) none is, and a plain join does."""
-    return join_named(rows, named, key, hot_rows) if most > hot_rows else rows.join(named.drop("rows"), key)
+    """``join_named`` if a key is hot, else a plain join. Of at most ``hot_rows`` rows in all (``most``) none is; beyond that
+    ``named`` is worked out first, which tells."""
+    if most > hot_rows:
+        named = materialize(named)
+        if not named.filter(F.col("rows") > hot_rows).isEmpty():
+            return join_named(rows, named, key, hot_rows)
+    return rows.join(named.drop("rows"), key)
 
 
 #: Rows of a narrow table, of a few numbers each, that may be broadcast.
