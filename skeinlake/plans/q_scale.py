@@ -256,7 +256,7 @@ def malformed_answers(spark, folder):
 
 
 # snapshots
-@query("snapshots_B33_Y25", "select s_nationkey % 3 as chapter, 'v' || case when s_nationkey % 3 = 0 then 2 else 1 end as version, s_suppkey, s_name || case when s_nationkey % 3 = 0 then ' again' else '' end as s_name from supplier where s_nationkey % 3 <> 1")
+@query("snapshots_B33_Y25", "select cast(s_nationkey % 3 as bigint) as chapter, 'v' || case when s_nationkey % 3 = 0 then 2 else 1 end as version, s_suppkey, s_name || case when s_nationkey % 3 = 0 then ' again' else '' end as s_name from supplier where s_nationkey % 3 <> 1")
 def snapshots(spark, folder):
     """A copy a chapter; one is replaced under a new version, one deleted; what is listed is loaded."""
     path, s = new_folder(spark), Bound(spark, folder).t.supplier

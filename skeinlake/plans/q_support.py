@@ -260,7 +260,7 @@ def rendered(spark, folder):
     return spark.createDataFrame([(x,) for x in got.splitlines() if x.startswith("| ") and "---" not in x and "r_name" not in x], "line string")
 
 
-@query("known_columns_A12", "select n_nationkey as id, n_name as canonical_name, null::varchar as tier from nation")
+@query("known_columns_A12", "select cast(n_nationkey as bigint) as id, n_name as canonical_name, null::varchar as tier from nation")
 def known_columns(spark, folder):
     """A table under a record type that has more columns than it."""
     want = T.StructType.fromDDL("id long, canonical_name string, tier string")
