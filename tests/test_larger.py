@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from skeinlake.functions.scalars import tokenize
+from skeinlake.operators.index import word_counts
 
 
 def test_answers_of_turns_with_few_words(spark, tmp_path):
@@ -15,3 +21,13 @@ def test_answers_of_turns_with_few_words(spark, tmp_path):
         want |= {(conv, turn, role, turn, "high", w[0]), (conv, turn, role, turn, None, w[1]), (conv, turn, role, turn + 1, "high", w[2])}
     assert got == want
     assert [tuple(r) for r in entry.queries()["malformed_answers_K10"](spark, str(tmp_path)).collect()] == [(1, 4)]
+
+
+def test_words_of_a_long_text_are_counted_by_runs(spark):
+    """Twenty thousand different words: comparing each with each takes minutes."""
+    long = " ".join("".join("abcdefghij"[int(d)] for d in str(k % 20_000)) for k in range(40_000))
+    texts = spark.createDataFrame([(1, long), (2, "b a b"), (3, ""), (4, None)], "id long, text string")
+    began = time.perf_counter()
+    got = {r.id: {w.term: w.n for w in r.words} if r.words is not None else None for r in texts.select("id", word_counts(tokenize(F.col("text"))).alias("words")).collect()}
+    assert time.perf_counter() - began < 20
+    assert len(got[1]) == 20_000 and set(got[1].values()) == {2} and got[2] == {"a": 1, "b": 2} and got[3] == {} and not got[4]
