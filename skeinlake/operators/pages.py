@@ -1,7 +1,7 @@
 """Pages of a stored order: any page, or the rows behind a key, from the ranges that hold it. (T-13)
 
 The rows are written once in range partitions of the order, and the driver keeps one line a range: its number of rows
-and its last key. Page 100,000 is an offset in one range; nothing before it is sorted or read.
+and its last key. Page 100,000 is rows of one range by their number; nothing before it is sorted.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .storage import new_folder
 
 #: Rows of a range. Ranges come from sampled boundaries, so they differ somewhat; equal keys are never parted.
 RANGE_ROWS = 1_000_000
+#: Ranges at most: each is a line in the driver, a task and a file. Of more rows the ranges are longer.
+MOST_RANGES = 512
 
 
 def _behind(order: tuple[str, ...], key: tuple) -> Column:
@@ -39,11 +41,13 @@ def _behind(order: tuple[str, ...], key: tuple) -> Column:
 
 @dataclass
 class Pages:
-    """``parts`` are the ranges that have rows, in order, ``ends`` the running totals, ``last`` each range's last key."""
+    """``parts`` are the ranges that have rows, in order, ``starts`` the numbers of their first rows, ``ends`` the running
+    totals, ``last`` each range's last key."""
 
     rows: DataFrame
     order: tuple[str, ...]
     parts: list[int]
+    starts: list[int]
     ends: list[int]
     last: DataFrame
 
@@ -62,8 +66,13 @@ class Pages:
         """Page ``number`` (from 1, clamped to 1) of ``size`` rows; none behind the last."""
         start = (max(1, number) - 1) * size
         low, high = bisect_right(self.ends, start), bisect_right(self.ends, start + size - 1) + 1
-        skip = start - (self.ends[low - 1] if low else 0)
-        return self._some(low, high).orderBy(*[order_key(o) for o in self.order]).offset(skip).limit(size)
+        # Rows of a range are numbered in their order: of it only those of the page are sorted.
+        mine = F.lit(False)
+        for k in range(low, min(high, len(self.parts))):
+            skip = start - (self.ends[k - 1] if k else 0)
+            mine |= (F.col("__part") == self.parts[k]) & F.col("__row").between(self.starts[k] + max(0, skip), self.starts[k] + skip + size - 1)
+        some = self.rows.filter(F.col("__part").isin(self.parts[low:high]) & mine).drop("__part", "__row")
+        return some.orderBy(*[order_key(o) for o in self.order]).limit(size)
 
     def after(self, key: tuple, size: int) -> DataFrame:
         """The ``size`` rows that follow ``key``, which need not be there."""
@@ -79,11 +88,11 @@ def pages(df: DataFrame, *order: str, range_rows: int = RANGE_ROWS) -> Pages:
     spark, keys = df.sparkSession, [order_key(o) for o in order]
     names = [o.partition(" ")[0] for o in order]
     path = new_folder(spark)
-    ranges = max(1, -(-df.count() // range_rows))
+    ranges = min(MOST_RANGES, max(1, -(-df.count() // range_rows)))
     cut = df.repartitionByRange(ranges, *keys).withColumn("__part", F.spark_partition_id()).sortWithinPartitions("__part", *keys)
     cut.withColumn("__row", F.monotonically_increasing_id()).write.partitionBy("__part").parquet(path)
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__part", T.IntegerType())])).parquet(path)
-    stats = rows.groupBy("__part").agg(F.count("*").alias("n"), F.max_by(F.struct(*names), "__row").alias("k")).orderBy("__part").collect()
+    stats = rows.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"), F.max_by(F.struct(*names), "__row").alias("k")).orderBy("__part").collect()
     kinds = T.StructType([T.StructField("__part", T.IntegerType()), *[T.StructField(n, df.schema[n].dataType) for n in names]])
     last = spark.createDataFrame([(r["__part"], *r.k) for r in stats], kinds)
-    return Pages(rows, order, [r["__part"] for r in stats], list(accumulate(r.n for r in stats)), last)
+    return Pages(rows, order, [r["__part"] for r in stats], [r["first"] for r in stats], list(accumulate(r.n for r in stats)), last)
