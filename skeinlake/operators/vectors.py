@@ -28,6 +28,8 @@ from .storage import materialize, new_folder
 MOST_CELLS, SAMPLE_PER_CELL, ROUNDS = 1024, 64, 8
 #: Vectors and queries of a group.
 GROUP_VECTORS, GROUP_QUERIES = 20_000, 1_000
+#: Rows that a task compares with all centroids at once, and rows that it hands on at once.
+BATCH_QUERIES, BATCH_ROWS = 512, 1 << 14
 #: Room for rounding in bounds.
 ROOM = 1e-9
 
@@ -51,6 +53,10 @@ def _units(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(n == 0, 1, n)[:, None], n
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, BATCH_QUERIES) for batch in batches for at in range(0, batch.num_rows, BATCH_QUERIES))
+
+
 def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None])
 
@@ -82,7 +88,7 @@ def build_index(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "em
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             x, n = _units(batch, 1)
             cell, far = np.full(len(x), len(c)), np.zeros(len(x))
             some = np.flatnonzero(n > 0)
@@ -112,7 +118,7 @@ def _asked(queries: DataFrame, index: VectorIndex, k: int, home: bool) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, radii, counts = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             x, n = _units(batch, 1)
             qid, q, cells = batch.column(0), batch.column(1), []
             far = np.sqrt(_squares(x, centers)) if len(centers) else np.zeros((len(x), 0))
@@ -132,7 +138,10 @@ def _asked(queries: DataFrame, index: VectorIndex, k: int, home: bool) -> DataFr
                     cells.append(rest if np.isnan(least[i]) else rest[best[i, rest] >= least[i]])
             of = np.repeat(np.arange(len(x)), [len(c) for c in cells])
             flat = np.concatenate([*cells, np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([qid.take(pa.array(of)), q.take(pa.array(of)), pa.array(flat)], names=["qid", "q", "cell"])
+            # A query may ask for all cells, each with its vector: so many rows at once, whatever the batch.
+            for at in range(0, len(flat), BATCH_ROWS):
+                some = pa.array(of[at : at + BATCH_ROWS])
+                yield pa.RecordBatch.from_arrays([qid.take(some), q.take(some), pa.array(flat[at : at + BATCH_ROWS])], names=["qid", "q", "cell"])
 
     columns = ["qid", "q"] if home else ["qid", "q", "least"]
     return queries.select(*columns).mapInArrow(run, f"qid {kind}, q array<double>, cell int")
@@ -154,8 +163,7 @@ def _compared(asked: DataFrame, index: VectorIndex, k: int) -> DataFrame:
         qid, ids, scores = [], [], []
         if mine.num_rows and theirs.num_rows:
             q, qn = _units(mine.select(["q"]).combine_chunks().to_batches()[0], 0)
-            width = np.array([len(v) for v in theirs.column("v").to_pylist()])
-            raw = theirs.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(width), -1)
+            raw = theirs.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(theirs.num_rows, -1)
             length = np.sqrt((raw * raw).sum(axis=1))
             names, keys = np.array(theirs.column("id").to_pylist(), object), mine.column("qid").to_pylist()
             raw_q = mine.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
