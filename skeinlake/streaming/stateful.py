@@ -40,24 +40,27 @@ class Folded(StatefulProcessor):
         self.log = handle.getMapState("log", self.place_schema, self.event_schema, self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = {}
+        new: dict[tuple, tuple] = {}
         for row in rows:
             # Of several events at one place the last by its content holds, whichever came first.
             place, event = self.place(row), self.event(row)
-            if self.log.containsKey(place):
-                event = max(event, tuple(self.log.getValue(place)), key=str)
             new[place] = max(event, new.get(place, event), key=str)
-        for place, event in new.items():
-            self.log.updateValue(place, event)
-        last = tuple(self.last.get()) if self.last.exists() else None
+        # Each call on the state is a round trip, so the log is read only for events that belong before the last one.
+        last = self.last.get()
+        last = tuple(last) if last is not None else None
         if last is not None and min(new) <= last:
-            state, events = self.zero(), {tuple(p): tuple(e) for p, e in self.log.iterator()} | new
+            state, events = self.zero(), {tuple(p): tuple(e) for p, e in self.log.iterator()}
+            new = {p: max(e, events.get(p, e), key=str) for p, e in new.items()}
+            events |= new
         else:
-            state, events = tuple(self.state.get()) if self.state.exists() else self.zero(), new
+            state, events = tuple(self.state.get()) if last is not None else self.zero(), new
+        for place, event in new.items():
+            self.log.updateValue(place, event)
         for place in sorted(events):
             state = self.advance(state, events[place])
         self.state.update(state)
-        self.last.update(max([*new, *([last] if last is not None else [])]))
+        if last is None or max(new) > last:
+            self.last.update(max(new))
         self.after(state, timerValues)
         yield self.result(key, state)
 
