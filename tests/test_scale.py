@@ -138,6 +138,54 @@ def test_containing_range(spark, seed):
     assert sorted((r.chapter, r.volume) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 60, 10**6])
+def test_ranges_by_blocks(spark, block, monkeypatch):
+    """Wide, nested, equal and single-number ranges, many with one end, cut at blocks of a few rows; points
+    with many rows."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", block, raising=False)
+    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    rng = random.Random(block)
+    ends = [(a, a + rng.choice([0, 1, 5, 100, 10**9])) for a in (rng.randrange(-300, 300) for _ in range(120))]
+    ends += [(k, 200 - k) for k in range(0, 80, 3)] + [(40, 40 + k) for k in range(30)] + [(77, 77)] * 10 + [(3, -3), (None, 5), (5, None), (-(1 << 62), 1 << 62), (150, (1 << 63) - 1)]
+    ranges = [(None if k == 50 else f"v{rng.randrange(40):02d}", a, b) for k, (a, b) in enumerate(ends)]
+    points = [rng.randrange(-400, 400) for _ in range(150)] + [None, 77, 77, 77, 1 << 61, (1 << 63) - 1]
+    got = joins.containing_range(spark.createDataFrame([(p, k) for k, p in enumerate(points)], "chapter long, n int"), spark.createDataFrame(ranges, "volume string, first long, last long"), "chapter", "first", "last", "volume")
+    want = set()
+    for n, p in enumerate(points):
+        holds = [(-a, v is not None, v or "") for v, a, b in ranges if None not in (p, a, b) and a <= p <= b]
+        if holds:
+            a, known, v = min(holds)
+            want.add((p, n, v if known else None, -a))
+    assert got.columns == ["chapter", "n", "volume", "first", "last"]
+    rows = got.collect()
+    assert all(r.first <= r.chapter <= r.last for r in rows) and len(rows) == len(want)
+    assert {(r.chapter, r.n, r.volume, r.first) for r in rows} == want
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s := stages.apply(k)).stageId(): s.shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_wide_ranges_shuffle_few_rows(spark, monkeypatch):
+    """What is shuffled grows with points and ranges, not with the levels of the widest range."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 500, raising=False)
+    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
+    points = spark.range(0, 6000, 3, 4).select(F.col("id").alias("chapter"))
+    ranges = spark.range(0, 2000, 1, 4).select(F.col("id").alias("volume"), (F.col("id") * 3).alias("first"), (F.col("id") * 3 + F.expr("case when id % 9 = 0 then 1000000000 when id % 2 = 0 then 400 else 2 end")).alias("last"))
+    before, broadcast = shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.containing_range(points, ranges, "chapter", "first", "last", "volume").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {(r.chapter, r.volume) for r in got} == {(3 * k, k) for k in range(2000)}
+    assert 0 < sum(n for k, n in shuffled_rows(spark).items() if k not in before) <= 12 * 4000
+
+
 def test_hot_lookup(spark):
     rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(200)], "key long, n long")
     table = spark.createDataFrame([(k, f"v{k}") for k in range(150)], "key long, v string")
