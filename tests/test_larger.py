@@ -123,6 +123,53 @@ def test_state_is_asked_for_only_where_it_is_needed():
     assert send((2, "interest", 1, 0.5), (3, "payment", 2, 20.0)) == [(1, 195.0, 3)] and calls == ["get", "iterator"]
 
 
+def test_a_bucket_of_keys_takes_a_few_calls_on_the_state():
+    """Not some for each key: a trigger reads and writes the states of all keys at once, the log only if one is late."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Log(list):
+        def get(self):
+            calls.append("log")
+            return iter(self)
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.append(value)
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+
+    ledger = T.Bucketed(T.Ledger(), "debt", part_events=300)
+    ledger.held, ledger.log = Value(), Log()
+
+    def send(rows):
+        calls.clear()
+        frame = pd.DataFrame(rows, columns=["bucket", "debt", "chapter", "kind", "id", "amount"])
+        got = pd.concat(ledger.handleInputRows((7,), iter([frame[:100], frame[100:]]), Now()))
+        return {r.id: (r.balance, r.n_events) for r in got.itertuples()}
+
+    keys = range(200)
+    assert send([(7, k, 5, "created", 0, 100.0) for k in keys] + [(7, k, 3, "payment", 2, 10.0) for k in keys]) == {k: (90.0, 1) for k in keys}
+    assert calls == ["get", "append", "append", "update"]
+    assert send([(7, k, 4, "interest", 1, 0.5) for k in keys]) == {k: (135.0, 2) for k in keys} and calls == ["get", "append", "update"]
+    late = send([(7, k, 2, "interest", 1, 0.5) for k in range(50)] + [(7, k, 3, "payment", 2, 20.0) for k in range(50)])
+    assert late == {k: (195.0, 3) for k in range(50)} and calls == ["get", "log", "append", "update"]
+
+
 def test_blocks_of_names_are_stored_once(spark, monkeypatch):
     """A block reads its own names, not all of them again."""
     counted = []
