@@ -13,7 +13,8 @@ from skeinlake.operators import graph as G
 from skeinlake.operators import names as N
 from skeinlake.operators import pages as P
 from skeinlake.operators import vectors as V
-from skeinlake.operators.index import word_counts
+from skeinlake.operators.index import WordIndex, word_counts
+from skeinlake.operators.storage import new_folder
 from skeinlake.streaming import stateful as T
 
 
@@ -39,6 +40,22 @@ def test_words_of_a_long_text_are_counted_by_runs(spark):
     assert len(got[1]) == 20_000 and set(got[1].values()) == {2} and got[2] == {"a": 1, "b": 2} and got[3] == {} and not got[4]
 
 
+def test_postings_are_made_where_their_documents_are(spark):
+    """Neither texts nor postings are shuffled: all blocks of a cell come from the task that has its documents."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = WordIndex(spark, new_folder(spark), cell_docs=8)
+        words = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(97)]
+        index.apply(spark.createDataFrame([(k, " ".join(words[(k * j) % 97] for j in range(1, 2 + k % 40))) for k in range(200)], "chunk_id long, content string"))
+        index.apply(spark.createDataFrame([(k, "b c" if k % 2 else None) for k in range(50)], "chunk_id long, content string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = index._read(index.state()[1], "blocks").withColumn("file", F.input_file_name())
+    assert {r.n for r in blocks.groupBy("seg", "cell").agg(F.count_distinct("file").alias("n")).collect()} == {1}
+    assert blocks.groupBy("seg", "cell", "term").count().filter("count > 1").isEmpty() and blocks.agg(F.max("n")).first()[0] <= 8
+    assert blocks.filter("seg = 0").select(F.explode("postings.id")).distinct().count() == 200
+
+
 def test_pages_keep_a_bounded_number_of_ranges(spark, monkeypatch):
     """However short the ranges are asked to be, the driver's lines are bounded; pages stay the same."""
     monkeypatch.setattr(P, "MOST_RANGES", 4)
