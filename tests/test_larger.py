@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 import __spark_entry__ as entry
@@ -77,6 +78,21 @@ def test_pairs_are_written_out_behind_the_last_shuffle(spark):
     assert plan.index("Generate") < plan.index("Join")
 
 
+def test_what_is_reached_is_not_shuffled(spark, monkeypatch):
+    """Few rows of a frontier reach much: they go to the edges, and what is reached stays where it is found."""
+    edges = spark.createDataFrame([(k, 1000 + k % 3 + j) for k in range(200) for j in (0, 2)], "from_entity long, to_entity long")
+    seeds = spark.createDataFrame([(k,) for k in range(0, 200, 2)], "id long")
+    found = G.reach(edges, seeds, 2, many_edges=50)
+    pairs = G.reached_pairs(found, seeds)
+    rows = sorted(map(tuple, pairs.collect()))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "keys=[b#" in plan and not re.search(r"Exchange hashpartitioning\(b#\d+L?, word", plan) and "SortMergeJoin" not in plan
+    monkeypatch.setattr(G, "SENT_ROWS", 0)
+    monkeypatch.setattr(G, "SENT_WORDS", 0)
+    assert rows == sorted(map(tuple, G.reached_pairs(G.reach(edges, seeds, 2, many_edges=50), seeds).collect())) and {r[2] for r in rows} == {0, 1, 2}
+
+
 def test_what_is_asked_of_all_cells_comes_in_small_batches(spark, monkeypatch):
     """A vector asks for many cells: none of the batches that a task hands on holds them all."""
     monkeypatch.setattr(V, "BATCH_ROWS", 7)
